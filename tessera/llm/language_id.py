@@ -32,7 +32,7 @@ from .common import mix, pick, short_batches, slices
 
 ORDER, SAMPLE_DOCS = 4, 2000
 #: Rejection: the calibration quantile, what is added to it, and the allowance for short texts (nats a character).
-QUANTILE, MARGIN, SHORT = 0.999, 0.35, 6.0
+QUANTILE, MARGIN, SHORT = 0.999, 1.0, 6.0
 U64 = np.uint64
 
 

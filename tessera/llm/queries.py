@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, id_store, language_id, packing, secrets
+from . import decontaminate, id_store, language_id, packing, secrets, vptree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,8 +33,12 @@ def op8_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_store.round_trip(spark, _table(spark, sf_dir, "documents"))
 
 
+def op10_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(spark, _table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_benchmark_decontamination, op3_language_id, op4_best_fit_packing, op6_secret_scans, op8_id_store)}
+    return {f.__name__: f for f in (op2_benchmark_decontamination, op3_language_id, op4_best_fit_packing, op6_secret_scans, op8_id_store, op10_vantage_point_trees)}
 
 
 def oracle_sql() -> dict[str, str]:
