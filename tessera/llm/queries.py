@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, id_store, jaccard_join, language_id, packing, secrets, vptree
+from . import decontaminate, id_store, jaccard_join, language_id, lm_score, packing, secrets, vptree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find(spark, _table(spark, sf_dir, "documents")))
 
 
+def op7_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(spark, _table(spark, sf_dir, "documents"))
+
+
 def op8_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_store.round_trip(spark, _table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_benchmark_decontamination, op3_language_id, op4_best_fit_packing, op5_ngram_jaccard_join, op6_secret_scans, op8_id_store, op10_vantage_point_trees)}
+    return {f.__name__: f for f in (op2_benchmark_decontamination, op3_language_id, op4_best_fit_packing, op5_ngram_jaccard_join, op6_secret_scans, op7_suffix_tree_scores, op8_id_store, op10_vantage_point_trees)}
 
 
 def oracle_sql() -> dict[str, str]:
