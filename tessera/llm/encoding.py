@@ -12,6 +12,13 @@ import functools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+
+STOPS = ".,;:!?"
+#: Marks a word that begins a line.
+FIRST = "\x01"
+#: White space that isn't one space or line end between two other characters, or the mark itself.
+ODD = r"[\s\pZ\x00-\x1f\x7f-\x{a0}]{2}|^[\s\pZ\x00-\x1f\x7f-\x{a0}]|[\s\pZ\x00-\x1f\x7f-\x{a0}]$|\x01"
 
 
 def default_tokenizer() -> str:
@@ -24,7 +31,7 @@ def default_tokenizer() -> str:
 class Encoder:
     """Encodes texts into arrays of unsigned ids. `most` bounds the pieces that are remembered."""
 
-    def __init__(self, path: str, most: int = 700_000) -> None:
+    def __init__(self, path: str, most: int = 600_000) -> None:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -33,63 +40,75 @@ class Encoder:
         #: A byte-level splitter without a prefix space cuts before a single inner space and around a single line end.
         self.cuts = isinstance(self.tok.pre_tokenizer, ByteLevel) and not self.tok.pre_tokenizer.add_prefix_space and self.tok.normalizer is None
         self.wide = np.dtype("<u2") if self.tok.get_vocab_size() <= 65536 else np.dtype("<u4")
-        self.most, self.known = most, {"\n": b""}
-        self.known["\n"] = self._plain("\n")
+        self.most = most
+        self.known: dict[str, bytes] = {}
+        self.line_end = (self.tok.encode("\n", add_special_tokens=False).ids or [0])[0]
+        #: Ids whose token begins with a space: the first of each space-led word.
+        self.led = np.array([(self.tok.id_to_token(i) or "").startswith("Ġ") for i in range(self.tok.get_vocab_size())])
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype=self.wide).tobytes()
 
+    def _words(self, words: list[str], lead: str) -> list[bytes]:
+        """Ids of words behind a space, or at a line's begin: encoded as one text, cut at what leads each word."""
+        out: list[bytes] = []
+        for lo in range(0, len(words), 64):
+            part = words[lo : lo + 64]
+            ids = np.array(self.tok.encode_batch_fast([lead + lead.join(part)], add_special_tokens=False)[0].ids, dtype=self.wide)
+            at = np.flatnonzero(self.led[ids] if lead == " " else ids == self.line_end)
+            if len(at) != len(part):
+                out += [self._plain(" " + w if lead == " " else w) for w in part]
+                continue
+            raw, size, skip = ids.tobytes(), self.wide.itemsize, lead != " "
+            begin, end = ((at + skip) * size).tolist(), [*(at[1:] * size).tolist(), len(ids) * size]
+            out += [raw[a:z] for a, z in zip(begin, end, strict=True)]
+        return out
+
     def _learn(self, pieces: set[str]) -> dict[str, bytes]:
         """The ids of pieces not yet known. A letters-only word and the stops behind it encode apart."""
-        heads = {w: h for w in pieces if (h := w.rstrip(".,;:!?")) != w and h.strip(" ").isalpha()}
-        tails = {w: w[len(h) :] for w, h in heads.items()}
-        new = {*(w for w in pieces if w not in heads), *heads.values(), *tails.values()}
-        ask = sorted(w for w in new if w.strip() and w not in self.known)
-        out = {w: self._plain(w) for w in new if not w.strip()}
-        for lo in range(0, len(ask), 100_000):
-            part = ask[lo : lo + 100_000]
-            got = self.tok.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids, word = np.array(got.ids, dtype=self.wide), np.array(got.word_ids)
-            cut = (np.flatnonzero(np.diff(word)) + 1) * self.wide.itemsize
-            raw, at = ids.tobytes(), [0, *cut.tolist(), len(ids) * self.wide.itemsize]
-            out.update(zip(part, (raw[a:z] for a, z in zip(at, at[1:], strict=False)), strict=True))
-        either = lambda w: out[w] if w in out else self.known[w]
-        out.update((w, either(h) + either(tails[w])) for w, h in heads.items())
+        heads = {w: h for w in pieces if (h := w.rstrip(STOPS)) != w and h.isalpha()}
+        firsts = [w for w in pieces if w[0] == FIRST]
+        words = {*pieces.difference(heads, firsts, "\n"), *(h for h in heads.values() if h not in self.known)}
+        words = list(words)
+        out = dict(zip(words, self._words(words, " "), strict=True))
+        out.update(zip(firsts, self._words([w[1:] for w in firsts], "\n"), strict=True))
+        tails = {t: self._plain(t) for t in {w[len(h) :] for w, h in heads.items()}}
+        for w, h in heads.items():
+            out[w] = (out[h] if h in out else self.known[h]) + tails[w[len(h) :]]
+        if "\n" in pieces:
+            out["\n"] = self._plain("\n")
         return out
 
-    def _pieces(self, text: str) -> list[str] | None:
-        """The text cut into pieces that encode alone as they do in place; None where that isn't certain."""
-        if not text or "  " in text or "\n\n" in text or text[0].isspace() or text[-1].isspace():
-            return None
-        out: list[str] = []
-        for i, line in enumerate(text.split("\n")):
-            if line[0] == " " or line[-1].isspace() or not line.isprintable():
-                return None
-            if i:
-                out.append("\n")
-            first, *rest = line.split(" ")
-            out.append(first)
-            out += [" " + w for w in rest]
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces: a word behind a space, a line end, or FIRST and a word that begins a line."""
+        out: list[bytes | None] = list(map(self.known.get, pieces))
+        if None in out:
+            gaps = [i for i, x in enumerate(out) if x is None]
+            new = self._learn({pieces[i] for i in gaps})
+            for i in gaps:
+                out[i] = new[pieces[i]]
+            if len(self.known) + len(new) <= self.most:  # when full, what came first, so the frequent pieces, stays
+                self.known.update(new)
         return out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray | None] = []
-        cut = [self._pieces(t) if self.cuts else None for t in texts]
-        for text, pieces in zip(texts, cut, strict=True):
-            if pieces is None:
-                out.append(np.frombuffer(self._plain(text), dtype=self.wide))
-                continue
-            try:
-                raw = b"".join(map(self.known.__getitem__, pieces))
-            except KeyError:
-                new = self._learn(set(pieces).difference(self.known))
-                if len(self.known) + len(new) <= self.most:
-                    self.known.update(new)
-                    new = self.known
-                else:  # full: what came first, so the frequent pieces, stays
-                    new |= {w: self.known[w] for w in set(pieces).difference(new)}
-                raw = b"".join(map(new.__getitem__, pieces))
-            out.append(np.frombuffer(raw, dtype=self.wide))
+    def encode(self, column: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of a string column; null is empty."""
+        texts = column.fill_null("").cast(pa.large_string())
+        if self.cuts:
+            odd = pc.or_(pc.match_substring_regex(texts, ODD), pc.equal(pc.binary_length(texts), 0))
+        else:
+            odd = pa.array([True] * len(texts), pa.bool_())
+        plain = pc.if_else(odd, pa.scalar("a", pa.large_string()), texts)
+        lines = pc.binary_join_element_wise(pa.scalar(FIRST, pa.large_string()), pc.replace_substring(plain, "\n", f" \n {FIRST}"), pa.scalar("", pa.large_string()))
+        words = pc.split_pattern(lines, " ")
+        coded = words.flatten().dictionary_encode()
+        ids = pa.array(self._ids(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        at = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)
+        flat = np.frombuffer(ids.buffers()[2], self.wide, int(at[-1]) // self.wide.itemsize)
+        bounds = at[np.asarray(words.offsets)] // self.wide.itemsize
+        out = [flat[a:z] for a, z in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
+        for i in np.flatnonzero(np.asarray(odd)).tolist():
+            out[i] = np.frombuffer(self._plain(texts[i].as_py()), self.wide)
         return out
 
 
@@ -100,4 +119,4 @@ def encoder(path: str) -> Encoder:
 
 
 def encode_column(column: pa.Array, path: str) -> list[np.ndarray]:
-    return encoder(path).encode(column.fill_null("").to_pylist())
+    return encoder(path).encode(column)

@@ -43,7 +43,7 @@ def piece_table(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) ->
         from pyspark import TaskContext
 
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for b in slices(batches):
+        for b in slices(batches, most=8 << 20):
             rows: list[tuple] = []
             for doc, ids in zip(b.column("doc_id").to_pylist(), encode_column(b.column("text"), tokenizer), strict=True):
                 ids = np.append(ids.astype("<u4"), np.uint32(end_id))
