@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, id_store, jaccard_join, language_id, lm_score, packing, secrets, vptree
+from . import decontaminate, id_store, jaccard_join, language_id, line_dedup, lm_score, packing, secrets, vptree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_lines(spark, _table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
@@ -46,8 +50,8 @@ def op10_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_benchmark_decontamination, op3_language_id, op4_best_fit_packing, op5_ngram_jaccard_join, op6_secret_scans, op7_suffix_tree_scores, op8_id_store, op10_vantage_point_trees)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_benchmark_decontamination, op3_language_id, op4_best_fit_packing, op5_ngram_jaccard_join, op6_secret_scans, op7_suffix_tree_scores, op8_id_store, op10_vantage_point_trees)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_line_dedup": line_dedup.SQL}
