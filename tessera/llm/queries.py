@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, id_store, jaccard_join, language_id, line_dedup, lm_score, packing, secrets, vptree
+from . import decontaminate, id_store, jaccard_join, language_id, line_dedup, lm_score, packing, pii, secrets, vptree
+
+
+#: The key of the surrogates that the query draws; a user passes their own secret.
+PII_KEY = "tessera"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,12 +49,16 @@ def op8_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_store.round_trip(spark, _table(spark, sf_dir, "documents"))
 
 
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op10_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(spark, _table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_benchmark_decontamination, op3_language_id, op4_best_fit_packing, op5_ngram_jaccard_join, op6_secret_scans, op7_suffix_tree_scores, op8_id_store, op10_vantage_point_trees)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_benchmark_decontamination, op3_language_id, op4_best_fit_packing, op5_ngram_jaccard_join, op6_secret_scans, op7_suffix_tree_scores, op8_id_store, op9_pii_surrogates, op10_vantage_point_trees)}
 
 
 def oracle_sql() -> dict[str, str]:
