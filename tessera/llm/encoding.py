@@ -31,7 +31,7 @@ def default_tokenizer() -> str:
 class Encoder:
     """Encodes texts into arrays of unsigned ids. `most` bounds the pieces that are remembered."""
 
-    def __init__(self, path: str, most: int = 600_000) -> None:
+    def __init__(self, path: str, most: int = 450_000) -> None:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -91,8 +91,8 @@ class Encoder:
                 self.known.update(new)
         return out
 
-    def encode(self, column: pa.Array) -> list[np.ndarray]:
-        """The ids of each text of a string column; null is empty."""
+    def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a string column end to end, each text's closed by end_id, and their n + 1 bounds; null is empty."""
         texts = column.fill_null("").cast(pa.large_string())
         if self.cuts:
             odd = pc.or_(pc.match_substring_regex(texts, ODD), pc.equal(pc.binary_length(texts), 0))
@@ -104,12 +104,20 @@ class Encoder:
         coded = words.flatten().dictionary_encode()
         ids = pa.array(self._ids(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
         at = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)
-        flat = np.frombuffer(ids.buffers()[2], self.wide, int(at[-1]) // self.wide.itemsize)
+        flat = np.frombuffer(ids.buffers()[2], self.wide, int(at[-1]) // self.wide.itemsize) if len(ids) else np.zeros(0, self.wide)
         bounds = at[np.asarray(words.offsets)] // self.wide.itemsize
-        out = [flat[a:z] for a, z in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
-        for i in np.flatnonzero(np.asarray(odd)).tolist():
-            out[i] = np.frombuffer(self._plain(texts[i].as_py()), self.wide)
-        return out
+        strange = np.flatnonzero(np.asarray(odd)).tolist()
+        own = {i: np.frombuffer(self._plain(texts[i].as_py()), self.wide) for i in strange}
+        sizes = np.diff(bounds)
+        sizes[strange] = [len(own[i]) for i in strange]
+        closed = np.concatenate([[0], np.cumsum(sizes + 1)])
+        out = np.full(closed[-1], end_id, np.dtype("<u4"))
+        if strange:
+            for i in range(len(texts)):
+                out[closed[i] : closed[i + 1] - 1] = own[i] if i in own else flat[bounds[i] : bounds[i + 1]]
+        else:
+            out[np.arange(len(flat)) + np.repeat(np.arange(len(sizes)), sizes)] = flat
+        return out, closed
 
 
 @functools.cache
@@ -118,5 +126,5 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode_column(column: pa.Array, path: str) -> list[np.ndarray]:
-    return encoder(path).encode(column)
+def encode_column(column: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    return encoder(path).encode(column, end_id)

@@ -37,32 +37,44 @@ from pyspark.sql import functions as F
 from .common import mix, pick, shared_dir, shared_table, short_batches, slices
 from .encoding import default_tokenizer, encode_column
 
-WINDOW, ADDRESS = 16, 16
-#: Chunks hold 64 ids at least, 4096 at most and about 64 + 256 on average.
-LEAST, MOST, MEAN_BITS = 64, 4096, 8
+WINDOW, ADDRESS, TABLE = 16, 16, 1 << 16
+#: Chunks hold 64 ids at least, 8192 at most and about 64 + 512 on average.
+LEAST, MOST, MEAN_BITS = 64, 8192, 9
 STAGED = "doc_id long, n_tokens long, addresses binary, lengths binary, root binary, bucket int, data binary"
 
 
-def cut_points(ids: np.ndarray) -> np.ndarray:
-    """Ends of the chunks of an id stream: positions where the rolling hash of the last WINDOW ids is 0 in its low bits."""
-    n = len(ids)
-    if n <= LEAST:
-        return np.array([n])
-    rolled, term = np.zeros(n, np.uint64), mix(ids.astype(np.uint64) + np.uint64(1))
-    for k in range(WINDOW):  # sum of hash(id) << age over the window
-        rolled[k:] += term[: n - k] << np.uint64(k)
+@functools.cache
+def _id_hashes() -> np.ndarray:
+    return mix(np.arange(TABLE, dtype=np.uint64) + np.uint64(1))
+
+
+def cut_points(ids: np.ndarray, bounds: np.ndarray) -> list[list[int]]:
+    """Per stream of ids laid end to end, the places where its chunks end: where the rolling hash of the last WINDOW ids is 0 in its low bits.
+
+    A window that reaches into the stream before never decides, since a chunk is longer than a window.
+    """
+    rolled, step = _id_hashes()[ids] if len(ids) and int(ids.max()) < TABLE else mix(ids.astype(np.uint64) + np.uint64(1)), 1
+    while step < WINDOW:  # sum of hash(id) << age over the window, by doubling
+        older = rolled[:-step] << np.uint64(step)
+        rolled[step:] += older
+        step *= 2
     marks = np.flatnonzero((rolled >> np.uint64(WINDOW)) & np.uint64((1 << MEAN_BITS) - 1) == 0) + 1
-    ends, last = [], 0
-    for m in marks.tolist():
-        if m - last < LEAST:
-            continue
-        ends += range(last + MOST, m, MOST)
-        ends.append(m)
-        last = m
-    if last < n:
-        ends += range(last + MOST, n, MOST)
-        ends.append(n)
-    return np.array(ends)
+    out, k, marks = [], 0, [*marks.tolist(), len(ids) + 1]
+    for last, end in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
+        ends: list[int] = []
+        while marks[k] <= last:
+            k += 1
+        while marks[k] < end:
+            m = marks[k]
+            if m - last >= LEAST:
+                ends += range(last + MOST, m, MOST)
+                ends.append(m)
+                last = m
+            k += 1
+        ends += range(last + MOST, end, MOST)
+        ends.append(end)
+        out.append(ends)
+    return out
 
 
 def address(raw: bytes) -> bytes:
@@ -136,22 +148,25 @@ def stage(docs: DataFrame, tokenizer: str, end_id: int, buckets: int) -> DataFra
         def packed() -> list[tuple]:
             return [(None, None, b"".join(a for a, _ in got), np.array([len(r) // 4 for _, r in got], "<u4").tobytes(), None, k, press.compress(narrow(b"".join(r for _, r in got)))) for k, got in sorted(held.items())]
 
-        for b in slices(batches):
+        for b in slices(batches, most=8 << 20):
             rows = []
-            for doc, ids in zip(b.column("doc_id").to_pylist(), encode_column(b.column("text"), tokenizer), strict=True):
-                ids = np.append(ids.astype("<u4"), np.uint32(end_id))
-                ends = cut_points(ids)
-                raw, at = ids.tobytes(), [0, *(ends * 4).tolist()]
-                parts = [raw[a:z] for a, z in zip(at, at[1:], strict=False)]
-                names_ = [address(p) for p in parts]
-                for a, p in zip(names_, parts, strict=True):
+            flat, bounds = encode_column(b.column("text"), tokenizer, end_id)
+            raw = flat.tobytes()
+            for doc, at, ends in zip(b.column("doc_id").to_pylist(), bounds.tolist(), cut_points(flat, bounds), strict=False):
+                n, names_, lengths = ends[-1] - at, [], []
+                for z in ends:
+                    p = raw[4 * at : 4 * z]
+                    a = address(p)
+                    names_.append(a)
+                    lengths.append(z - at)
+                    at = z
                     if a not in seen:
                         seen.add(a)
                         held.setdefault(int.from_bytes(a[:4], "little") % buckets, []).append((a, p))
                         size += len(p)
-                rows.append((doc, len(ids), b"".join(names_), np.diff(ends, prepend=0).astype("<u4").tobytes(), merkle(names_), None, None))
+                rows.append((doc, n, b"".join(names_), np.array(lengths, "<u4").tobytes(), merkle(names_), None, None))
             yield emit(rows)
-            if size > 64 << 20:  # bounds what a task holds
+            if size > 32 << 20:  # bounds what a task holds
                 yield emit(packed())
                 held, size = {}, 0
         if held:
@@ -274,13 +289,10 @@ def read_digest(spark: SparkSession, path: str) -> DataFrame:
     chunks = spark.read.parquet(f"{path}/chunks").mapInArrow(_checked, "address binary, ids long, crc long")
     recipes = spark.read.parquet(f"{path}/recipes")
     steps = recipes.select("part", "nth", F.col("addresses"), "lengths", "root").mapInArrow(_steps, "part int, nth long, address binary, behind long, ids long")
-    # Distinct addresses per document range first: a chunk shared by many documents is looked up once for each range.
-    wanted = steps.groupBy("part", "address").agg(F.collect_list(F.struct("nth", "behind", "ids")).alias("uses"))
-    found = wanted.join(chunks.withColumnRenamed("ids", "stored"), "address", "left")
-    used = found.select("part", "stored", "crc", F.explode("uses").alias("u"))
+    used = steps.join(chunks.withColumnRenamed("ids", "stored"), "address", "left")
     shifted = F.pandas_udf(_shifted, "long")
-    crc = F.when(F.col("stored").isNull() | (F.col("stored") != F.col("u.ids")), F.raise_error(F.lit("a chunk is missing or has another length"))).otherwise(F.col("crc"))
-    by_doc = used.groupBy(F.col("part"), F.col("u.nth").alias("nth")).agg(F.bit_xor(shifted(crc.cast("long"), F.col("u.behind"))).alias("ids_crc32"), F.sum("u.ids").alias("got"))
+    crc = F.when(F.col("stored").isNull() | (F.col("stored") != F.col("ids")), F.raise_error(F.lit("a chunk is missing or has another length"))).otherwise(F.col("crc"))
+    by_doc = used.groupBy("part", "nth").agg(F.bit_xor(shifted(crc.cast("long"), F.col("behind"))).alias("ids_crc32"), F.sum("ids").alias("got"))
     ok: Column = F.when(F.col("got") == F.col("n_tokens"), F.col("ids_crc32")).otherwise(F.raise_error(F.lit("a recipe's chunks don't add up")))
     return recipes.select("doc_id", "start", "n_tokens", "part", "nth").join(by_doc, ["part", "nth"], "left").select("doc_id", "start", "n_tokens", ok.cast("long").alias("ids_crc32"))
 

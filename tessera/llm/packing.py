@@ -45,9 +45,9 @@ def piece_table(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) ->
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for b in slices(batches, most=8 << 20):
             rows: list[tuple] = []
-            for doc, ids in zip(b.column("doc_id").to_pylist(), encode_column(b.column("text"), tokenizer), strict=True):
-                ids = np.append(ids.astype("<u4"), np.uint32(end_id))
-                at = 0
+            flat, bounds = encode_column(b.column("text"), tokenizer, end_id)
+            for doc, lo, hi in zip(b.column("doc_id").to_pylist(), bounds.tolist(), bounds[1:].tolist(), strict=False):
+                ids, at = flat[lo:hi], 0
                 for k, n in enumerate(cut_lengths(len(ids), capacity)):
                     rows.append((doc, k, at, n, zlib.crc32(ids[at : at + n].tobytes()), part, int(seen[n])))
                     seen[n] += 1
