@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import pick, shared_table
 
-SHARD, QUERY_BLOCK, LEAF = 8192, 512, 32
+SHARD, QUERY_BLOCK, LEAF = 8192, 512, 128
 #: Production setting of the pruning factor; tests hold its recall to 0.9 and more.
-FACTOR = 1.2
+FACTOR = 2.0
 SPARE = 8
 
 
