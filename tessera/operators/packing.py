@@ -1,0 +1,25 @@
+"""Order-dependent packing of parts into requests of bounded size."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def greedy_bins(sizes: Column, limit: int) -> Column:
+    """The bin of each size, in order: a bin is closed when the next part would exceed the limit; a larger part stands alone."""
+    start = F.struct(F.lit(-1).alias("bin"), F.lit(0).cast("long").alias("fill"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        fits = (acc["bin"] >= 0) & (acc["fill"] + s <= limit)
+        bin_ = F.when(fits, acc["bin"]).otherwise(acc["bin"] + 1)
+        return F.struct(bin_.cast("int").alias("bin"), F.when(fits, acc["fill"] + s).otherwise(s).cast("long").alias("fill"), F.concat(acc["out"], F.array(bin_.cast("int"))).alias("out"))
+
+    return F.aggregate(sizes, start, step, lambda acc: acc["out"])
+
+
+def pack(df: DataFrame, group: str, order: str, size: str, limit: int) -> DataFrame:
+    """group, order, size, bin. A group is what one request series may hold, so its parts fit one row."""
+    g = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s")))).alias("p"))
+    g = g.withColumn("b", greedy_bins(F.transform("p", lambda x: x["s"]), limit))
+    return g.select(group, F.inline(F.arrays_zip("p", "b"))).select(group, F.col("p.o").alias(order), F.col("p.s").alias(size), F.col("b").alias("bin"))

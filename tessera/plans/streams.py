@@ -1 +1,44 @@
-"""Queries."""
+"""Batch twins of the streaming operators, over all events."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..registry import query, table
+from ..streaming import events as S
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("select time_bucket(interval 6 hour, ts, timestamp '2024-01-01') as start, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2")
+def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.tumbling(_events(spark, sf_dir), "6 hours", "1 hour").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("with o as (select ts, unnest([0, 1]) as k from events) select time_bucket(interval 6 hour, ts, timestamp '2024-01-01') - (k * interval 6 hour) as start, count(*) as n from o group by 1")
+def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.sliding(_events(spark, sf_dir), "12 hours", "6 hours", "1 hour").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("""
+with g as (select user_id, ts, case when ts >= lag(ts) over w + interval 2 hour then 1 else 0 end as b from events window w as (partition by user_id order by ts)), s as (select *, sum(b) over (partition by user_id order by ts) as k from g)
+select user_id, min(ts) as start, max(ts) + interval 2 hour as "end", count(*) as n from s group by user_id, k""")
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = S.sessions(_events(spark, sf_dir), "2 hours", "1 hour")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+
+
+@query("""
+with r as (select event_id, user_id as job, event_id % 3 as attempt, event_type, ts, event_type = 'error' as terminal, row_number() over (partition by user_id, event_id % 3, event_type order by ts, event_id) as again, max(event_id % 3) over (partition by user_id) as newest from events)
+select event_id, job, case when again > 1 then 'duplicate' when attempt < newest then 'obsolete' when terminal then 'terminal' else 'publish' end as disposition from r""")
+def late_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(spark, sf_dir).select("event_id", F.col("user_id").alias("job"), (F.col("event_id") % 3).alias("attempt"), "event_type", "ts", (F.col("event_type") == "error").alias("terminal"))
+    return S.fenced(e, "job", "attempt", "terminal", "event_type").select("event_id", "job", "disposition")
+
+
+@query("select user_id, max(value) as progress from events group by 1")
+def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.progress(_events(spark, sf_dir), "user_id", "value")
