@@ -9,9 +9,9 @@ tokens. A template recurs when it stands in enough different places: it has at
 least `CONTEXTS` different lines before it and as many behind it (2 for lines of
 more than `PASSAGE` tokens). Recurring templates are dropped from all documents.
 
-Lines that recur because whole documents were copied are no templates: documents
-that share at least half of their characters, line by line, with other documents
-do not count as places. They are left to document-level deduplication.
+Lines that recur because whole documents were copied are no templates: a place
+counts only where less than half of the document's other characters are, line by
+line, in other documents too. Copies are left to document-level deduplication.
 
 Only hashes of lines are shuffled; texts stay where they are read, unless the
 table of lines to drop is too large to be broadcast.
@@ -73,13 +73,17 @@ def recurring(spark: SparkSession, docs: DataFrame) -> DataFrame:
     templates = generalised(docs, rows)
     rows = rows.join(templates, "key", "left").select("doc", "pos", "chars", "tokens", F.coalesce("template", "key").alias("key"))
     rows = shared_table(spark, rows, "line-templates")
-    # Documents that are copies of others by most of their characters.
+    # How much of each document other documents hold too.
     shared = rows.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("key", F.lit(1).alias("shared"))
-    share = rows.join(shared, "key", "left").groupBy("doc").agg((F.sum(F.when(F.col("shared") == 1, F.col("chars")).otherwise(0)) / F.sum("chars")).alias("share"))
-    own = rows.join(share.where(F.col("share") < COPY_SHARE).select("doc"), "doc")
+    marked = rows.join(shared, "key", "left").withColumn("twice", F.when(F.col("shared") == 1, F.col("chars")).otherwise(0))
     # Different neighbours on either side, counted in two steps so that no key's rows meet in one task.
-    order = Window.partitionBy("doc").orderBy("pos")
-    near = own.select("key", "tokens", F.coalesce(F.lag("key").over(order), "doc").alias("before"), F.coalesce(F.lead("key").over(order), "doc").alias("behind"))
+    whole = Window.partitionBy("doc")
+    order = whole.orderBy("pos")
+    near = marked.select(
+        "key", "tokens", "chars", "twice", F.sum("twice").over(whole).alias("all_twice"), F.sum("chars").over(whole).alias("all"),
+        F.coalesce(F.lag("key").over(order), "doc").alias("before"), F.coalesce(F.lead("key").over(order), "doc").alias("behind"),
+    )
+    near = near.where((F.col("all") > F.col("chars")) & (F.col("all_twice") - F.col("twice") < F.lit(COPY_SHARE) * (F.col("all") - F.col("chars"))))
     sides = near.select("key", "tokens", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("before").alias("other")), F.struct(F.lit(1).alias("side"), F.col("behind").alias("other")))).alias("s"))
     distinct = sides.groupBy("key", "s.side", "s.other").agg(F.max("tokens").alias("tokens"))
     counted = distinct.groupBy("key", "side").agg(F.count(F.lit(1)).alias("places"), F.max("tokens").alias("tokens"))
@@ -118,8 +122,10 @@ keyed as (select d.doc_id, d.text, d.pos, d.chars, d.tokens, case when t.masked
 ids as (select *, row_number() over () as doc from docs),
 rows_ as (select i.doc, k.* from keyed k join ids i on k.doc_id is not distinct from i.doc_id and k.text is not distinct from i.text),
 shared as (select key from rows_ group by key having min(doc) <> max(doc)),
-own as (select doc from rows_ group by doc having sum(case when key in (select key from shared) then chars else 0 end) / sum(chars)::double < {COPY_SHARE}),
-near as (select key, tokens, coalesce(lag(key) over w, 'd ' || doc) as before, coalesce(lead(key) over w, 'd ' || doc) as behind from rows_ where doc in (select doc from own) window w as (partition by doc order by pos)),
+marked as (select *, case when key in (select key from shared) then chars else 0 end as twice from rows_),
+beside as (select key, tokens, chars, twice, sum(twice) over (partition by doc) as all_twice, sum(chars) over (partition by doc) as all_chars, coalesce(lag(key) over w, 'd ' || doc) as before, coalesce(lead(key) over w, 'd ' || doc) as behind
+  from marked window w as (partition by doc order by pos)),
+near as (select * from beside where all_chars > chars and all_twice - twice < {COPY_SHARE} * (all_chars - chars)),
 often as (select key from near group by key having least(count(distinct before), count(distinct behind)) >= case when max(tokens) > {PASSAGE} then 2 else {CONTEXTS} end),
 gone as (select distinct doc_id, text, pos from rows_ where key in (select key from often)),
 told as (select s.doc_id, s.text, count(*) as n_lines, count(g.pos) as n_dropped, string_agg(case when g.pos is null then s.line end, chr(10) order by s.pos) as kept
