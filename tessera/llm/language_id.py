@@ -210,9 +210,10 @@ def _calibrate(spark: SparkSession, models: Models, rows: DataFrame) -> None:
         models.limits[models.langs.index(r.lang)] = r.q + MARGIN
 
 
-def predict(spark: SparkSession, docs: DataFrame, models: Models, keep: list[str] | None = None) -> DataFrame:
-    """lang_pred, score, cross_entropy, accepted beside the columns in keep (by default doc_id)."""
+def predict(spark: SparkSession, docs: DataFrame, models: Models, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """lang_pred, score, cross_entropy, accepted (behind prefix) beside the columns in keep (by default doc_id)."""
     keep = keep or ["doc_id"]
+    new = [prefix + c for c in ("lang_pred", "score", "cross_entropy", "accepted")]
     shared = spark.sparkContext.broadcast(models)
     short_batches(spark)
 
@@ -234,11 +235,11 @@ def predict(spark: SparkSession, docs: DataFrame, models: Models, keep: list[str
                 bits = np.where(known, low / np.log(2), 0.0)
                 fine = known & (low <= m.limits[best] + SHORT / np.sqrt(size))
             cols = [b.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(pred, pa.string()), pa.array(score), pa.array(bits), pa.array(fine)], names=[*keep, "lang_pred", "score", "cross_entropy", "accepted"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(pred, pa.string()), pa.array(score), pa.array(bits), pa.array(fine)], names=[*keep, *new])
 
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in keep]).schema)
-    return rows.mapInArrow(run, f"{fields}, lang_pred string, score double, cross_entropy double, accepted boolean")
+    return rows.mapInArrow(run, f"{fields}, {new[0]} string, {new[1]} double, {new[2]} double, {new[3]} boolean")
 
 
 def identify(spark: SparkSession, docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:

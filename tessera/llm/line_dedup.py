@@ -92,8 +92,8 @@ def recurring(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return rows.join(keys, "key").select("doc", "pos")
 
 
-def drop_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs with n_lines and n_dropped added, and without the lines whose template recurs."""
+def drop_lines(spark: SparkSession, docs: DataFrame, prefix: str = "") -> DataFrame:
+    """docs with n_lines and n_dropped (behind prefix) added, and without the lines whose template recurs."""
     drop = recurring(spark, docs.select("doc_id", F.col("text").cast("string").alias("text"))).groupBy("doc").agg(F.collect_set("pos").alias("_drop"))
     drop = shared_table(spark, drop.withColumnRenamed("doc", "_doc"), "lines-to-drop")
     out = docs.withColumn("text", F.col("text").cast("string")).withColumn("_doc", _key()).join(_small(drop), "_doc", "left")
@@ -101,8 +101,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_drop", i)), "\n")
     return out.select(
         *[F.when(F.col("_drop").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-        F.coalesce(F.size(lines), F.lit(1)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size(lines), F.lit(1)).cast("long").alias(f"{prefix}n_lines"),
+        F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias(f"{prefix}n_dropped"),
     )
 
 
