@@ -1,3 +1,3 @@
 """Registered queries, by family."""
 
-from . import decimals, evidence, graphs, periods, pointintime, ranking, relational, sheets, streams, texts  # noqa: F401
+from . import decimals, evidence, graphs, periods, pointintime, ranking, relational, reporting, sheets, streams, texts  # noqa: F401
