@@ -1,0 +1 @@
+"""Readers and sinks that go through Spark's file sources only."""
