@@ -92,3 +92,25 @@ def test_streaming(spark, sf, tmp_path):
     assert {(r.start, r.event_type): r.n for r in out.collect()} == batch
     once = S.run_available(spark, S.distinct_within(S.source(spark, str(src), 10), ["event_type", "user_id"], "40 days"), "append", str(tmp_path / "cp"))
     assert once.count() == spark.read.parquet(str(src)).select("event_type", "user_id").distinct().count()
+
+
+def test_position_clusters(spark, sf):
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey", "l_extendedprice").toPandas()
+    got = catalog.queries()["position_clusters"](spark, sf).toPandas()
+    for key, part in rows.groupby("l_suppkey"):
+        want: list[list[float]] = []
+        for x in sorted(set(part.l_extendedprice)):
+            if want and abs(x - want[-1][0]) <= 200.0:
+                mean, n = want[-1]
+                want[-1] = [(mean * n + x) / (n + 1), n + 1]
+            else:
+                want.append([x, 1])
+        mine = got[got.l_suppkey == key]
+        assert [n for _, n in want] == mine.n.tolist() and all(abs(a - b) < 1e-6 for (a, _), b in zip(want, mine.center, strict=True))
+
+
+def test_nfkc(spark):
+    from tessera.functions.normalise import nfkc_key
+
+    got = [r.k for r in spark.createDataFrame([("Ａ１ b-C 가",), (None,)], "t string").select(nfkc_key("t").alias("k")).collect()]
+    assert got == ["a1bc가", None]
