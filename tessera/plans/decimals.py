@@ -71,8 +71,8 @@ def growth_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select p_partkey, case when p_size > 0 and round(p_retailprice::decimal(12,2)::double / p_size, 1) between 0.1 and 100.0 then round(p_retailprice::decimal(12,2)::double / p_size, 1) end as multiple,
-  round(p_retailprice / (p_size * 20) - 1, 6) as upside from part""")
+with t as (select p_partkey, p_size, p_retailprice, case when p_size > 0 then (round(p_retailprice * 100)::bigint * 20 + p_size * 100) // (p_size * 200) end as tenths from part)
+select p_partkey, case when tenths between 1 and 1000 then tenths / 10.0 end::double as multiple, round(p_retailprice / (p_size * 20) - 1, 6) as upside from t""")
 def inverse_multiple(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     price, size = F.col("p_retailprice").cast("decimal(12,2)"), F.col("p_size").cast("decimal(8,0)")
