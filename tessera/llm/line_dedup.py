@@ -43,22 +43,33 @@ def _key() -> Column:
     return F.xxhash64(F.col("doc_id"), F.col("text"))
 
 
+def _masked(line: Column) -> tuple[Column, Column]:
+    """A line without outer and repeated blanks, and the same with its fields masked."""
+    line = F.btrim(line, F.lit(" \t\r"))
+    uneven = line.contains("  ") | line.contains("\t") | line.contains("\r")
+    plain = F.when(uneven, F.regexp_replace(line, r"[ \t\r]+", " ")).otherwise(line)
+    return plain, F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"[^ ]*[0-9][^ ]*", "<*>")).otherwise(plain)
+
+
 def parsed(docs: DataFrame) -> DataFrame:
-    """doc, pos, masked, tokens, leaf, key, chars of every line that isn't empty."""
+    """doc, pos, tokens, leaf, key, chars of every line that isn't empty."""
     lines = docs.select(_key().alias("doc"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
-    plain = F.regexp_replace(F.regexp_replace("line", r"^[ \t\r]+|[ \t\r]+$", ""), r"[ \t\r]+", " ")
-    lines = lines.select("doc", "pos", plain.alias("line")).where("line <> ''")
-    masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", r"[^ ]*[0-9][^ ]*", "<*>")).otherwise(F.col("line"))
-    lines = lines.select("doc", "pos", F.length("line").alias("chars"), masked.alias("masked"))
+    plain, masked = _masked(F.col("line"))
+    lines = lines.select("doc", "pos", plain.alias("line"), masked.alias("masked")).where("line <> ''")
     tokens = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
-    return lines.select("doc", "pos", "chars", "masked", tokens.alias("tokens"), F.xxhash64(tokens, F.substring_index("masked", " ", LEAD)).alias("leaf"), F.xxhash64("masked").alias("key"))
+    lines = lines.select("doc", "pos", F.length("line").alias("chars"), tokens.alias("tokens"), F.substring_index("masked", " ", LEAD).alias("lead"), F.xxhash64("masked").alias("key"))
+    return lines.select("doc", "pos", "chars", "tokens", F.xxhash64("tokens", "lead").alias("leaf"), "key")
 
 
-def generalised(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(key, template): masked lines that take their leaf's template."""
+def generalised(spark: SparkSession, docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(key, template): masked lines that take their leaf's template. Each different line is read from one document."""
     leaves = rows.groupBy("leaf").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.count(F.lit(1)).alias("lines")).where(f"a <> b and lines >= {CONTEXTS}").select("leaf", "lines")
-    leaves = _small(leaves)
-    kinds = parsed(docs).join(leaves, "leaf").groupBy("leaf", "key", "tokens", "lines").agg(F.first("masked").alias("masked"), F.count(F.lit(1)).alias("n"))
+    kinds = rows.join(_small(leaves), "leaf").groupBy("leaf", "key", "tokens", "lines").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "pos")).alias("at"))
+    asked = kinds.groupBy("at.doc").agg(F.collect_list(F.struct("at.pos", "leaf", "key", "tokens", "lines", "n")).alias("asked"))
+    asked = shared_table(spark, asked, "lines-asked")
+    held = docs.select(_key().alias("doc"), "text").join(_small(asked), "doc").select("asked", F.split("text", "\n").alias("all")).select("all", F.inline("asked"))
+    kinds = held.select("leaf", "key", "tokens", "lines", "n", _masked(F.element_at("all", F.col("pos") + 1))[1].alias("masked")).dropDuplicates(["leaf", "key"])
+    kinds = shared_table(spark, kinds, "line-kinds")
     words = kinds.select("leaf", "key", "tokens", "lines", "n", F.posexplode(F.split("masked", " ")).alias("p", "token"))
     words = words.select("leaf", "key", "tokens", "lines", "n", F.xxhash64("leaf", "p", "token").alias("at"))
     constant = words.groupBy("at").agg(F.sum("n").alias("c"), F.first("lines").alias("lines")).where("c * 2 > lines").select("at")
@@ -68,9 +79,9 @@ def generalised(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 def recurring(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc, pos of every line whose template recurs; doc is the hash of doc_id and text."""
-    rows = parsed(docs).select("doc", "pos", "chars", "tokens", "leaf", "key").dropDuplicates(["doc", "pos"])
+    rows = parsed(docs).dropDuplicates(["doc", "pos"])
     rows = shared_table(spark, rows, "line-keys")
-    templates = generalised(docs, rows)
+    templates = generalised(spark, docs, rows)
     rows = rows.join(templates, "key", "left").select("doc", "pos", "chars", "tokens", F.coalesce("template", "key").alias("key"))
     rows = shared_table(spark, rows, "line-templates")
     # How much of each document other documents hold too.
