@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -9,12 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+@functools.cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="tessera-")
+
+
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage of an iteration: a table in the folder that spark.checkpoint.dir names."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    """Cut the lineage of an iteration: a table in the folder that spark.checkpoint.dir names, or an own one where it is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

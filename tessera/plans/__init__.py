@@ -1,3 +1,3 @@
 """Registered queries, by family."""
 
-from . import decimals, evidence, graphs, periods, pointintime, ranking, relational, reporting, sheets, streams, texts, workspace  # noqa: F401
+from . import collection, decimals, evidence, graphs, periods, pointintime, ranking, relational, reporting, sheets, streams, texts, workspace  # noqa: F401
