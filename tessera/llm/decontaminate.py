@@ -339,3 +339,19 @@ def remove(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: i
     for shared, _ in _blocks(spark, benchmark, window):
         out = out.mapInArrow(lambda batches, shared=shared: (_without(b, shared.value) for b in _shards(batches)), out.schema)
     return out
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: The query in DuckDB's SQL: windows joined to all word runs of their length.
+SQL = rf"""
+with d as (select doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+bi as (select item_id, w, unnest(range(1, greatest(len(w) - {WINDOW - 1}, 1) + 1)) as i from b where len(w) > 0),
+bw as (select distinct item_id, array_to_string(w[i:i + {WINDOW - 1}], ' ') as g, len(w[i:i + {WINDOW - 1}]) as n from bi),
+dn as (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct n from bw) where len(w) >= n),
+dg as (select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') as g from dn),
+m as (select doc_id, i, n, item_id from dg join bw using (g, n)),
+h as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from (select distinct doc_id, i, n from m)) group by 1),
+t as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as ids from (select distinct doc_id, item_id::varchar as item from m) group by 1)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join h using (doc_id) left join t using (doc_id)"""

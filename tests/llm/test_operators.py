@@ -35,8 +35,9 @@ def count(items):  # noqa: ANN001, ANN201
 # 1 line dedup ---------------------------------------------------------------------------------------------------
 
 
-def test_line_dedup_sql(spark, sf):
-    assert difference(spark, queries.queries()["op1_line_dedup"], queries.oracle_sql()["op1_line_dedup"], sf) == ""
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql_twins(spark, sf, name):
+    assert difference(spark, queries.queries()[name], queries.oracle_sql()[name], sf) == ""
 
 
 def test_line_dedup_odd(spark, weird, none):
