@@ -69,6 +69,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + most, "right")) - 1)
             yield b.slice(lo, hi - lo)
             lo = hi
+    pa.default_memory_pool().release_unused()  # the worker may wait long for its next task
 
 
 def mix(x: np.ndarray) -> np.ndarray:

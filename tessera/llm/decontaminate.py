@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import pick, shared_table, short_batches, slices, split_words, text_bytes
 
-WINDOW, SHARD_BYTES, BLOCK, SAMPLE = 10, 6 << 20, 100_000, 16
+WINDOW, SHARD_BYTES, BLOCK, SAMPLE = 10, 2 << 20, 100_000, 16
 FOUND = "row long, doc_id long, n_words long, spans array<struct<first:long,last:long,start:long,end:long>>, items array<string>"
 
 

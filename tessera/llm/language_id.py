@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import mix, pick, short_batches, slices
 
 ORDER, SAMPLE_DOCS = 4, 2000
+#: Text bytes that a worker scores at once; each takes about 120 bytes of arrays.
+SLICE = 1 << 20
 #: Rejection: the calibration quantile, what is added to it, and the allowance for short texts (nats a character).
 QUANTILE, MARGIN, SHORT = 0.999, 1.0, 6.0
 U64 = np.uint64
@@ -174,7 +176,7 @@ def fit(spark: SparkSession, docs: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     sample = rows.where(draw < share).withColumn("calibrates", F.pmod(F.xxhash64(F.lit(7), F.col("doc_id")), F.lit(4)) == 0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, most=SLICE):
             langs = np.array(b.column("lang").to_pylist(), dtype=object)
             texts = b.column("text").to_pylist()
             for lang in sorted(set(langs)):
@@ -200,7 +202,7 @@ def _calibrate(spark: SparkSession, models: Models, rows: DataFrame) -> None:
     shared = spark.sparkContext.broadcast(models)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, most=SLICE):
             h, n, _ = shared.value.cross_entropies(b.column("text").to_pylist())
             at = {x: i for i, x in enumerate(shared.value.langs)}
             own = [at.get(x) for x in b.column("lang").to_pylist()]
@@ -213,14 +215,15 @@ def _calibrate(spark: SparkSession, models: Models, rows: DataFrame) -> None:
 def predict(spark: SparkSession, docs: DataFrame, models: Models, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """lang_pred, score, cross_entropy, accepted (behind prefix) beside the columns in keep (by default doc_id)."""
     keep = keep or ["doc_id"]
+    held = "text" if "text" in keep and dict(docs.dtypes)["text"] == "string" else "_text"  # the text crosses to Python once
     new = [prefix + c for c in ("lang_pred", "score", "cross_entropy", "accepted")]
     shared = spark.sparkContext.broadcast(models)
     short_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in slices(batches, "_text"):
-            texts = [t or "" for t in b.column("_text").to_pylist()]
+        for b in slices(batches, held, SLICE):
+            texts = [t or "" for t in b.column(held).to_pylist()]
             n = len(texts)
             pred, score, bits, fine = ["und"] * n, np.zeros(n), np.zeros(n), np.zeros(n, bool)
             if m.langs:
@@ -237,7 +240,7 @@ def predict(spark: SparkSession, docs: DataFrame, models: Models, keep: list[str
             cols = [b.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(pred, pa.string()), pa.array(score), pa.array(bits), pa.array(fine)], names=[*keep, *new])
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("_text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], *([F.col("text").cast("string").alias("_text")] if held == "_text" else []))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in keep]).schema)
     return rows.mapInArrow(run, f"{fields}, {new[0]} string, {new[1]} double, {new[2]} double, {new[3]} boolean")
 
