@@ -43,7 +43,7 @@ PERSON = rf"(?<![\p{{L}}])(?:{'|'.join(sorted((t.replace('.', '[.]') for t in MA
 #: All kinds in one.
 ANY = f"{EMAIL}|{IP}|{CARD}|{SSN}|{PHONE}|{PERSON}"
 #: What a text with any mention must hold; spares the large pattern elsewhere.
-HINT = r"@|[0-9]{1,3}\.[0-9]{1,3}\.|[0-9]{4}[ -]?[0-9]{4}|[0-9]-[0-9]|\+[0-9]|" + "|".join(f"{t.replace('.', '[.]')} " for t in MALE + FEMALE + OTHER if not t.endswith("."))
+HINT = r"@|[0-9]{1,3}\.[0-9]{1,3}\.|[0-9]{4}[ -]?[0-9]{4}|[0-9]-[0-9]|\+[0-9]|" + f"(?:{'|'.join(sorted({t.rstrip('.') for t in MALE + FEMALE + OTHER}))})[.]? "
 
 #: Surrogate names by script and part.
 NAMES = {

@@ -315,6 +315,13 @@ def test_pii_names_and_collisions(spark):
     assert sum(sum(divmod(int(c) * (2 if k % 2 == 0 else 1), 10)) for k, c in enumerate(card)) % 10 == 0
 
 
+def test_pii_every_title_alone(spark):
+    titles = pii.MALE + pii.FEMALE + pii.OTHER
+    texts = [(k, f"Yesterday {t} Quux spoke.") for k, t in enumerate(titles)]
+    out = {r.doc_id: r for r in pii.replace(spark, spark.createDataFrame(texts, "doc_id long, text string"), "k").collect()}
+    assert [t for k, t in enumerate(titles) if out[k].n_person != 1 or "Quux" in out[k].text or f"Yesterday {t} " not in out[k].text] == []
+
+
 # 10 nearest neighbours ------------------------------------------------------------------------------------------
 
 
