@@ -3,23 +3,29 @@
 Each text is a layer. Three patterns scan a layer; encoded regions in it (URL
 escapes, Unicode and character-reference escapes, base64, and deflate or gzip
 data inside either) open as new layers, which are scanned and opened in turn
-until nothing new appears. A layer whose content was met before in the document
-is not opened again, so cycles end. Every character of a layer carries the place
+until nothing new appears. A layer whose content was met before at the same place
+of the document is not opened again, so cycles end, while equal regions in other
+places get their own spans. Every character of a layer carries the place
 of the source characters it came from, so what is found deep inside maps to
 a span of the stored text.
 
 Defined results: a null text is empty and has no spans; repeated rows give
 repeated results; an empty table gives no rows; extra columns are ignored. A
-decompressed layer is read up to `MOST_BYTES` (a bound on memory against
-decompression bombs); `layers_cut` counts the layers that were longer.
+decompressed layer is read to its end, in pieces of about `PIECE_BYTES` that end
+where no pattern and no encoded region can cross, so memory is bounded by a piece
+and the longest run without such a place; whether it is text is judged on the
+first piece. `layers_cut` counts the layers whose stream is damaged behind that.
 """
 
 from __future__ import annotations
 
 import binascii
+import codecs
+import hashlib
 import html
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,10 +40,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex")
 
-MOST_BYTES = 4 << 20
+PIECE_BYTES = 4 << 20
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: A character that stands in no match and no encoded region, before and after decoding.
+BREAK = re.compile(r"""[^A-Za-z0-9+/_.=:"'\x20%\\&#;{}-]""")
 SPAN = "array<struct<kind:string,start:long,end:long,base:boolean,depth:int,secret:string>>"
 SCHEMA = f"doc_id long, spans {SPAN}, layers int, layers_cut int"
 
@@ -56,16 +64,51 @@ def base_matches(text: str) -> Iterator[tuple[str, int, int, str]]:
         yield "hex", m.start(), m.end(), m[0]
 
 
-def inflate(raw: bytes) -> tuple[bytes, bool] | None:
-    """Deflate or gzip data, opened up to MOST_BYTES; None where raw is neither."""
+def inflate(raw: bytes) -> Iterator[tuple[str, bool, bool]] | None:
+    """The pieces of deflate or gzip data that holds text (see pieces); None where raw is neither deflate nor gzip."""
     if len(raw) < 8 or not (raw[:2] == b"\x1f\x8b" or (raw[0] == 0x78 and (raw[0] << 8 | raw[1]) % 31 == 0)):
         return None
     try:
         d = zlib.decompressobj(47)
-        out = d.decompress(raw, MOST_BYTES)
+        out = d.decompress(raw, PIECE_BYTES)
     except zlib.error:
         return None
-    return out, bool(d.unconsumed_tail)
+    return pieces(d, out)
+
+
+def pieces(d: zlib._Decompress, out: bytes) -> Iterator[tuple[str, bool, bool]]:
+    """(text, last, damaged) to the end of a stream that began with out; nothing where the first piece is no text."""
+    decoder = codecs.getincrementaldecoder("utf-8")()
+    held: list[str] = []
+    first, damaged = True, False
+    while True:
+        try:
+            more = b"" if d.eof else d.decompress(d.unconsumed_tail, PIECE_BYTES)
+        except zlib.error:
+            more, damaged = b"", True
+        try:
+            text = decoder.decode(out, d.eof and not more)
+        except UnicodeDecodeError:
+            return
+        if first and not plain(text):
+            return
+        first, decoder.errors = False, "replace"
+        held.append(text)
+        if not more:
+            yield "".join(held), True, damaged
+            return
+        if m := BREAK.search(text[::-1]):
+            cut = len(text) - m.start()
+            held[-1] = text[:cut]
+            yield "".join(held), False, False
+            held = [text[cut:]]
+        out = more
+
+
+def plain(text: str) -> bool:
+    """Not empty, with hardly any control characters."""
+    odd = sum(ord(c) < 32 and c not in "\t\r\n" or ord(c) == 127 for c in text)
+    return bool(text) and odd * 20 <= len(text)
 
 
 def readable(raw: bytes) -> str | None:
@@ -74,8 +117,7 @@ def readable(raw: bytes) -> str | None:
         text = raw.decode()
     except UnicodeDecodeError:
         return None
-    odd = sum(ord(c) < 32 and c not in "\t\r\n" or ord(c) == 127 for c in text)
-    return text if text and odd * 20 <= len(text) else None
+    return text if plain(text) else None
 
 
 class Layer:
@@ -86,6 +128,13 @@ class Layer:
     def __init__(self, text: str, start: list[int], end: list[int], touched: list[bool], path: tuple[str, ...]) -> None:
         self.text, self.start, self.end, self.touched, self.path = text, start, end, touched, path
 
+    def key(self) -> bytes:
+        """Content and place."""
+        h = hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16)
+        for part in (array("q", self.start), array("q", self.end), bytes(self.touched)):
+            h.update(part)
+        return h.digest()
+
 
 def _line(text: str, lo: int, hi: int) -> tuple[int, int]:
     a, z = text.rfind("\n", 0, lo) + 1, text.find("\n", hi)
@@ -139,8 +188,8 @@ def _unpercent(run: str) -> str:
     return bytes.fromhex(run.replace("%", "")).decode("utf-8", "replace")
 
 
-def opened(layer: Layer | str) -> Iterator[tuple[str, Layer, bool]]:
-    """The layers directly inside a layer: (name, layer, cut short)."""
+def opened(layer: Layer | str) -> Iterator[tuple[str, Layer, bool, bool]]:
+    """The layers directly inside a layer: (name, layer or a piece of it, last piece, damaged)."""
     if isinstance(layer, str):
         text = layer
 
@@ -152,16 +201,20 @@ def opened(layer: Layer | str) -> Iterator[tuple[str, Layer, bool]]:
         def get(i: int) -> tuple[int, int, bool]:
             return layer.start[i], layer.end[i], layer.touched[i]
 
+    def inside(name: str, got: Iterator[tuple[str, bool, bool]], lo: int, hi: int) -> Iterator[tuple[str, Layer, bool, bool]]:
+        s, e = get(lo)[0], get(hi - 1)[1]
+        for text, last, damaged in got:
+            yield name, Layer(text, [s] * len(text), [e] * len(text), [True] * len(text), ()), last, damaged
+
     if "%" in text:
         for name, new in _escapes(text, get, "url", URL, _unpercent):
-            yield name, new, False
+            yield name, new, True, False
         for m in URL.finditer(text):  # escaped bytes may be compressed data
-            if len(m[0]) >= 24 and (got := inflate(bytes.fromhex(m[0].replace("%", "")))) and (inner := readable(got[0])):
-                s, e = get(m.start())[0], get(m.end() - 1)[1]
-                yield "url>deflate", Layer(inner, [s] * len(inner), [e] * len(inner), [True] * len(inner), ()), got[1]
+            if len(m[0]) >= 24 and (got := inflate(bytes.fromhex(m[0].replace("%", "")))):
+                yield from inside("url>deflate", got, m.start(), m.end())
     if "\\" in text or "&#" in text:
         for name, new in _escapes(text, get, "unicode", ESCAPE, _unescape):
-            yield name, new, False
+            yield name, new, True, False
     for m in BASE64.finditer(text):
         run = m[0]
         core = run.rstrip("=").translate({45: 43, 95: 47})
@@ -173,10 +226,7 @@ def opened(layer: Layer | str) -> Iterator[tuple[str, Layer, bool]]:
             continue
         got = inflate(raw)
         if got:
-            inner = readable(got[0])
-            if inner:
-                s, e = get(m.start())[0], get(m.end() - 1)[1]
-                yield "base64>deflate", Layer(inner, [s] * len(inner), [e] * len(inner), [True] * len(inner), ()), got[1]
+            yield from inside("base64>deflate", got, m.start(), m.end())
             continue
         inner = readable(raw)
         if inner is None:
@@ -187,31 +237,41 @@ def opened(layer: Layer | str) -> Iterator[tuple[str, Layer, bool]]:
             start.append(get(m.start() + byte * 4 // 3)[0])
             end.append(get(m.start() + min(last, (byte + n) * 4 // 3 + ((byte + n) * 4 % 3 > 0) - 1))[1])
             byte += n
-        yield "base64", Layer(inner, start, end, [True] * len(inner), ()), False
+        yield "base64", Layer(inner, start, end, [True] * len(inner), ()), True, False
 
 
 def scan(text: str) -> tuple[list[dict], int, int]:
-    """All spans of a text, the layers opened and how many of them were cut."""
+    """All spans of a text, the layers opened and how many of them were damaged."""
     spans = [{"kind": k, "start": s, "end": e, "base": True, "depth": 0, "secret": v} for k, s, e, v in base_matches(text)]
     have = {(x["kind"], x["start"], x["end"]) for x in spans}
-    seen, work, layers, cut_layers = {text}, [(text, ())], 0, 0
-    while work:
-        layer, path = work.pop()
-        for name, new, cut in opened(layer):
-            if new.text in seen:
-                continue
-            seen.add(new.text)
-            layers += 1
-            cut_layers += cut
-            new.path = (*path, name)
-            for kind, s, e, value in base_matches(new.text):
-                if not any(new.touched[s:e]):
-                    continue  # met already, one layer up
-                span = (f"{'>'.join(new.path)}>{kind}", min(new.start[s:e]), max(new.end[s:e]))
-                if span not in have:
-                    have.add(span)
-                    spans.append({"kind": span[0], "start": span[1], "end": span[2], "base": False, "depth": len(new.path), "secret": value})
-            work.append((new, new.path))
+    seen, layers, cut_layers = set(), 0, 0
+
+    def spread(layer: Layer | str, path: tuple[str, ...]) -> None:
+        nonlocal layers, cut_layers
+        work = [(layer, path)]
+        while work:
+            layer, path = work.pop()
+            for name, new, last, damaged in opened(layer):
+                key = new.key()
+                if key in seen:
+                    continue
+                seen.add(key)
+                layers += last
+                cut_layers += damaged
+                new.path = (*path, name)
+                for kind, s, e, value in base_matches(new.text):
+                    if not any(new.touched[s:e]):
+                        continue  # met already, one layer up
+                    span = (f"{'>'.join(new.path)}>{kind}", min(new.start[s:e]), max(new.end[s:e]))
+                    if span not in have:
+                        have.add(span)
+                        spans.append({"kind": span[0], "start": span[1], "end": span[2], "base": False, "depth": len(new.path), "secret": value})
+                if last:
+                    work.append((new, new.path))
+                else:
+                    spread(new, new.path)  # at once, so that only one piece of a stream is held
+
+    spread(text, ())
     rank = {k: i for i, k in enumerate(KINDS)}
     spans.sort(key=lambda x: (x["start"], rank.get(x["kind"], len(KINDS)), x["kind"], x["end"]))
     return spans, layers, cut_layers

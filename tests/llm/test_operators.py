@@ -225,6 +225,25 @@ def test_secrets_nested():
     assert secrets.scan("%2525252541 %41")[1] >= 1
 
 
+def test_secrets_in_every_place():
+    b64 = base64.b64encode(b'password = "hunter2abc"').decode()
+    for part, kind in ((b64, "base64>assign"), (base64.b64encode(gzip.compress(b"password = hunter2abc")).decode(), "base64>deflate>assign"), ("\npass%77ord=hunter22\n", "url>assign"), ("\n\\u0070assword=hunter22\n", "unicode>assign")):
+        spans, layers, _ = secrets.scan(f"a {part} b {part} c")
+        assert len([s for s in spans if s["kind"] == kind]) == 2 == layers, part
+    levels = "%" + "25" * 30 + "41 &" + "#38;" * 30 + "#65; " * 2
+    assert secrets.scan(levels)[1] < 5000
+
+
+@pytest.mark.parametrize("lead", ["filler line é\n" * 330_000, "x" + "é" * 2_200_000 + ",", "ab" * 2_200_000 + " "])
+def test_secrets_behind_four_megabytes(lead):
+    inner = base64.b64encode(b"token = abcdefgh12").decode()
+    packed = base64.b64encode(gzip.compress(f"{lead}password = hunter2abc\n{inner}\n".encode())).decode()
+    assert len(lead.encode()) > 4 << 20
+    spans, layers, cut = secrets.scan(f"a {packed} z")
+    assert {"base64>deflate>assign", "base64>deflate>base64>assign"} <= {s["kind"] for s in spans} and layers == 2 and cut == 0
+    assert {(s["start"], s["end"]) for s in spans} == {(2, 2 + len(packed))}
+
+
 # 7 language model -----------------------------------------------------------------------------------------------
 
 
