@@ -19,6 +19,7 @@ long texts form a shard of their own.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -261,13 +262,17 @@ def _found(batch: pa.RecordBatch, phrases: Phrases) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))], names=["row", "doc_id", "n_words", "spans", "items"])
 
 
+def _cut(text: str | None, spans: list[dict]) -> str | None:
+    """text without its spans, which are in order and apart."""
+    if not spans:
+        return text
+    at = [0, *(c["end"] for c in spans)]
+    return "".join(text[a:z] for a, z in zip(at, [*(c["start"] for c in spans), None], strict=True))
+
+
 def _without(batch: pa.RecordBatch, phrases: Phrases) -> pa.RecordBatch:
     _, spans, _ = scan_shard(batch.column("text"), phrases)
-    texts = batch.column("text").to_pylist()
-    for d, cuts in enumerate(spans):
-        if cuts:
-            at = [0, *(c["end"] for c in cuts)]
-            texts[d] = "".join(texts[d][a:z] for a, z in zip(at, [*(c["start"] for c in cuts), None], strict=True))
+    texts = [_cut(t, s) for t, s in zip(batch.column("text").to_pylist(), spans, strict=True)]
     return batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
 
 
@@ -292,25 +297,29 @@ def _blocks(spark: SparkSession, benchmark: DataFrame, window: int) -> Iterator:
     blocks = max(1, -(-windows.count() // BLOCK))
     for k in range(blocks):
         mine = windows.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k).collect()
-        yield spark.sparkContext.broadcast(Phrases(mine, window)), blocks
+        yield spark.sparkContext.broadcast(Phrases(mine, window))
 
 
 def find(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, spans (merged word ranges with code point places), items of every document."""
     short_batches(spark)
     rows = pick(docs, doc_id="doc_id", text="text").select(F.lit(None).cast("long").alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    parts = []
-    for shared, blocks in _blocks(spark, benchmark, window):
-        if blocks > 1 and not parts:
-            rows = shared_table(spark, rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
-        parts.append(rows.mapInArrow(lambda batches, shared=shared: (_found(b, shared.value) for b in _shards(batches)), FOUND))
-    if len(parts) == 1:
-        return parts[0].drop("row")
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    phrases = list(_blocks(spark, benchmark, window))
+    if len(phrases) == 1:
+        return _scanned(rows, phrases[0]).drop("row")
+    rows = shared_table(spark, rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    return _over_blocks(rows, phrases).drop("row")
+
+
+def _scanned(rows: DataFrame, shared) -> DataFrame:  # noqa: ANN001
+    return rows.mapInArrow(lambda batches: (_found(b, shared.value) for b in _shards(batches)), FOUND)
+
+
+def _over_blocks(rows: DataFrame, phrases: list) -> DataFrame:
+    """FOUND of numbered rows, the spans and items of all blocks of phrases merged."""
+    every = functools.reduce(DataFrame.unionByName, [_scanned(rows, shared) for shared in phrases])
     merged = every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    return merged.select("doc_id", "n_words", _united("spans").alias("spans"), "items")
+    return merged.select("row", "doc_id", "n_words", _united("spans").alias("spans"), "items")
 
 
 def _united(name: str):  # noqa: ANN202
@@ -332,13 +341,24 @@ def digest(found: DataFrame) -> DataFrame:
 def remove(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without the text of hit words; other texts stay as they are, and so do all columns.
 
-    Blocks of phrases follow each other, each on what the one before left.
+    Every text is cut once, by the merged spans of all blocks, so neither the number
+    of blocks nor the dealing of windows to them changes the result.
     """
     short_batches(spark)
     out = docs.withColumn("text", F.col("text").cast("string"))
-    for shared, _ in _blocks(spark, benchmark, window):
-        out = out.mapInArrow(lambda batches, shared=shared: (_without(b, shared.value) for b in _shards(batches)), out.schema)
-    return out
+    phrases = list(_blocks(spark, benchmark, window))
+    if len(phrases) == 1:
+        return out.mapInArrow(lambda batches, shared=phrases[0]: (_without(b, shared.value) for b in _shards(batches)), out.schema)
+    whole = F.struct(*[F.col(f"`{c}`") for c in out.columns]).alias("whole")
+    numbered = shared_table(spark, out.select(F.monotonically_increasing_id().alias("row"), whole), "numbered")
+    rows = numbered.select("row", F.lit(None).cast("long").alias("doc_id"), F.col("whole.text").alias("text"))
+    cuts = shared_table(spark, _over_blocks(rows, phrases).where(F.size("spans") > 0).select("row", "spans"), "cuts")
+    text = F.col("whole.text")
+    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda c: c["end"]))
+    starts = F.concat(F.transform("spans", lambda c: c["start"]), F.array(F.length(text).cast("long")))
+    left = F.array_join(F.zip_with(ends, starts, lambda a, z: F.substring(text, (a + 1).cast("int"), (z - a).cast("int"))), "")
+    kept = F.when(F.col("spans").isNull(), text).otherwise(left)
+    return numbered.join(cuts, "row", "left").select(*[kept.alias(c) if c == "text" else F.col(f"whole.`{c}`").alias(c) for c in out.columns])
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -82,6 +82,20 @@ def test_decontamination_odd(spark, weird, none):
     assert decontaminate.find(spark, none, bench).count() == 0 and decontaminate.digest(decontaminate.find(spark, weird, bench.limit(0))).where("contaminated").count() == 0
 
 
+def test_decontamination_removes_alike_in_any_blocks(spark, sf, docs, none, weird, monkeypatch):
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    passage = bench.where("size(split(text, ' ')) > 30").first().text.rstrip(". ?!")
+    planted = spark.createDataFrame([(-1, f"clean, before {passage} and é behind."), (-2, None), (-3, passage), (-3, passage)], "doc_id long, text string")
+    some = docs.select("doc_id", "text").unionByName(planted)
+    whole = count(rows(decontaminate.remove(spark, some, bench), "doc_id", "text"))
+    odd = count(rows(decontaminate.remove(spark, weird, bench), *weird.columns))
+    monkeypatch.setattr(decontaminate, "BLOCK", 40)
+    left = decontaminate.remove(spark, some, bench)
+    assert count(rows(left, "doc_id", "text")) == whole and {r.doc_id: r.text for r in left.collect()}[-1] == "clean, before  and é behind."
+    out = decontaminate.remove(spark, weird, bench)
+    assert out.columns == weird.columns and count(rows(out, *weird.columns)) == odd and decontaminate.remove(spark, none, bench).count() == 0
+
+
 def test_fm_index_locates():
     rng = np.random.default_rng(1)
     text = np.append(rng.integers(0, 4, 3000), 0)
