@@ -137,8 +137,9 @@ with s as (select l_suppkey, l_orderkey, l_linenumber, l_partkey, row_number() o
 f as (select l_suppkey, flag, min(n) as n from s group by 1, 2) select l_suppkey, string_agg(flag, ',' order by n) as palette from (select *, row_number() over (partition by l_suppkey order by n) as r from f) where r <= 2 group by 1""")
 def capped_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct values in first-seen order, the first two."""
-    g = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag"))).alias("s"))
-    return g.select("l_suppkey", F.array_join(F.slice(F.array_distinct(F.transform("s", lambda x: x["l_returnflag"])), 1, 2), ",").alias("palette"))
+    first = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.min(F.struct("l_orderkey", "l_linenumber", "l_partkey")).alias("first"))
+    g = first.groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct("first", "l_returnflag"))).alias("s"))
+    return g.select("l_suppkey", F.array_join(F.slice(F.transform("s", lambda x: x["l_returnflag"]), 1, 2), ",").alias("palette"))
 
 
 @query("""

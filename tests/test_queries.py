@@ -109,6 +109,14 @@ def test_position_clusters(spark, sf):
         assert [n for _, n in want] == mine.n.tolist() and all(abs(a - b) < 1e-6 for (a, _), b in zip(want, mine.center, strict=True))
 
 
+def test_capped_in_order_collects_flags_only(spark, tmp_path):
+    spark.range(20_000).selectExpr("1 as l_suppkey", "id as l_orderkey", "1 as l_linenumber", "id as l_partkey", "substr('NRA', cast(id % 3 + 1 as int), 1) as l_returnflag").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = catalog.queries()["capped_in_order"](spark, str(tmp_path))
+    assert [tuple(r) for r in got.collect()] == [(1, "N,R")]
+    below = got._jdf.queryExecution().optimizedPlan().toString().split("collect_list")[-1]
+    assert "Aggregate [l_suppkey" in below and "min(" in below
+
+
 def test_nfkc(spark):
     from tessera.functions.normalise import nfkc_key
 
