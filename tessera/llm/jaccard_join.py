@@ -168,10 +168,10 @@ def prefixes(spark: SparkSession, docs: DataFrame, sketch: np.ndarray, documents
     return docs.mapInArrow(run, "token long, doc_id long, n long, ell int")
 
 
-def among(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Rows of docs whose doc_id is (not) in ids: ids are broadcast while they are few, else both sides are shuffled."""
+def among(docs: DataFrame, ids: DataFrame, how: str = "left_semi", on: str = "doc_id") -> DataFrame:
+    """Rows of docs whose id is (not) in ids: ids are broadcast while they are few, else both sides are shuffled."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", how)
+    return docs.join(F.broadcast(ids) if few else ids.hint("merge"), on, how)
 
 
 def verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:

@@ -30,7 +30,7 @@ def test_stages(spark, sf, tmp_path):
     con = duckdb.connect()
     con.register("documents", kept[1].select("doc_id", "text").toPandas())
     assert texts[2] == {i: t for i, _, _, t in con.sql(f"select doc_id, n_lines, n_dropped, text from ({line_dedup.SQL})").fetchall()}
-    first = {i for i, _, c in plain.jaccard_components(sorted(texts[2].items())) if i == c}
+    first = {i for i, _, c in plain.jaccard_components(sorted(texts[2].items()), 5, 80) if i == c}
     assert set(texts[3]) == first and all(texts[2][i] == t for i, t in texts[3].items())
     bench = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     order = sorted(texts[3])
@@ -49,3 +49,20 @@ def test_stages_odd(spark, weird, none, sf):
             docs = stage(spark, docs, sf)
             assert docs.columns == table.columns
         corpus_pipeline.STAGES[-1][1](spark, docs, sf).count()
+
+
+def test_near_copies_by_row(spark, sf):
+    """Five words and 0.8; unrelated texts under one doc_id stay; of copies the smallest doc_id stays, a null one last."""
+    words = [f"w{i}" for i in range(200)]
+    near = words.copy()
+    for k in (20, 70, 120, 170):
+        near[k] = f"edit{k}"
+    far = words.copy()
+    for k in range(10, 200, 20):
+        far[k] = f"far{k}"
+    data = [(7, " ".join(words), 1), (3, " ".join(near), 2), (3, "another text under this id", 3), (None, " ".join(words), 4), (9, " ".join(far), 5), (None, None, 6), (None, "", 7), (3, "another text under this id", 8)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, _row int").repartition(3)
+    kept = corpus_pipeline.keep_one_of_near_copies(spark, docs, sf)
+    got = Counter(rows(kept, "doc_id", "text"))
+    assert kept.columns == docs.columns
+    assert got == Counter([(3, " ".join(near)), (3, "another text under this id"), (9, " ".join(far)), (None, None), (None, "")])
