@@ -21,16 +21,25 @@ U64 = np.uint64
 BATCH_ROWS = "1000"
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share, named by spark.checkpoint.dir.
+
+    Where it is unset, a temporary folder serves a local master only; on a cluster each
+    executor would write to its own disk, so that is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return _own_dir()
+
+
 @functools.cache
 def _own_dir() -> str:
     return tempfile.mkdtemp(prefix="tessera-")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
-
-
 def shared_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it again."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -38,6 +47,14 @@ def shared_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
+    """Broadcast df, a written table, behind a check of its bytes (as JSON, which is no shorter than the rows); beyond it both sides are shuffled."""
+    from pyspark.sql import functions as F
+
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if size <= most_bytes else df.hint("merge")
+
+
 def short_batches(spark: SparkSession) -> None:
     """Hand whole texts to Python in short Arrow batches, which bounds a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)

@@ -1,14 +1,30 @@
 """Surrogates for personal data, in DataFrame operations only.
 
-Detected entities (e-mail and IPv4 addresses, telephone, card and social security
-numbers, and names behind a form of address) get replacements drawn by a keyed
-hash of the entity: an address stays an address of the same shape, a number
-keeps its grouping, its leading digits and whether its check digit is right, a name
-keeps its script and the gender its form of address or given name shows, and
-upper case stays upper case. Equal entities, however they are written, get equal
-surrogates in the whole corpus. A collision check redraws a surrogate that
-another entity of its kind has, or that is itself an entity of the corpus, until
-all differ; after `ATTEMPTS` draws an entity gets a numbered placeholder.
+Detected entities are e-mail and IPv4 addresses, telephone, card and social security
+numbers, and names behind a form of address. Replacements are keyed and keep type
+and format:
+
+* an address or number goes through a keyed permutation of all values of its format
+  (a Feistel network over its characters or octets), so different entities of one
+  format get different surrogates whatever their number. An e-mail keeps its length,
+  its places of letters, digits and signs and its top-level domain, and equal domains
+  stay equal; an IPv4 address keeps its private network and the length of each octet;
+  a number keeps its grouping, its country or issuer digits and whether its check
+  digit is right;
+* a name is composed of syllables by the keyed hash, in its own script (Latin, Cyrillic,
+  Greek or Armenian; any other script gets Latin ones), with an ending of its gender.
+  Cyrillic and Greek family names have one entity for both genders and are written in the
+  gender of the mention. Drawn names grow by a syllable with each redraw, so there is no
+  end of them.
+
+Collision checks: a surrogate that is itself an entity of the corpus, or that another
+entity has, is redrawn by the next permutation or longer name until none is left. Only a
+format of which the corpus holds more than a quarter of all values is not held to
+the first rule (there may be nothing else left); its one permutation keeps all different.
+
+Coreference: equal entities, however they are written, get equal surrogates in the
+whole corpus. In a document that names a person behind a form of address, the same
+given and family names standing alone, later or earlier, follow their surrogates.
 
 Entities are gathered into one table of distinct values. Each text is cut at its
 mentions once and joined again with the replacements, so no replacement is ever
@@ -21,12 +37,12 @@ rows; extra columns stay as they are.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_table
-
-ATTEMPTS, BROADCAST_ROWS = 40, 1_000_000
+from .common import shared_table, small
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
@@ -40,27 +56,40 @@ FEMALE = ["Mrs", "Mrs.", "Ms", "Ms.", "Miss", "Frau", "Madame", "Mme", "Señora"
 OTHER = ["Dr", "Dr.", "Prof", "Prof."]
 _WORD = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
 PERSON = rf"(?<![\p{{L}}])(?:{'|'.join(sorted((t.replace('.', '[.]') for t in MALE + FEMALE + OTHER), key=len, reverse=True))}) {_WORD}(?: {_WORD})?(?!\p{{L}})"
+#: A capitalised word that stands alone and begins no e-mail address; looked at only in texts with a person.
+WORD = rf"(?<!\p{{L}}){_WORD}(?!\p{{L}}|[A-Za-z0-9._%+-]*@)"
 #: All kinds in one.
 ANY = f"{EMAIL}|{IP}|{CARD}|{SSN}|{PHONE}|{PERSON}"
 #: What a text with any mention must hold; spares the large pattern elsewhere.
 HINT = r"@|[0-9]{1,3}\.[0-9]{1,3}\.|[0-9]{4}[ -]?[0-9]{4}|[0-9]-[0-9]|\+[0-9]|" + f"(?:{'|'.join(sorted({t.rstrip('.') for t in MALE + FEMALE + OTHER}))})[.]? "
 
-#: Surrogate names by script and part.
-NAMES = {
-    "latin m": "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leon Martin Nico Oscar Paul Robert Simon Thomas Victor".split(),
-    "latin f": "Anna Bella Clara Diana Emma Flora Greta Helen Irene Julia Karla Laura Maria Nora Olga Paula Rosa Sara Tessa Vera".split(),
-    "latin -": "Alex Andrea Chris Dominique Eden Francis Jamie Kim Lee Morgan Noel Quinn Robin Sam Taylor Toni".split(),
-    "latin family": "Abel Barton Castor Dorn Ebert Fabre Garland Hofer Imbert Jansen Keller Lambert Moreau Norton Ortega Pascal Quint Renard Sander Tanner Ulrich Vidal Weber Zeller".split(),
-    "cyrillic m": "Антон Борис Виктор Глеб Денис Егор Иван Кирилл Максим Павел".split(),
-    "cyrillic f": "Алла Вера Галина Дарья Елена Инна Лидия Мария Нина Ольга".split(),
-    "cyrillic -": "Саша Женя Валя Слава Тоня Юля".split(),
-    "cyrillic family": "Абрамов Белов Громов Дроздов Ершов Зимин Котов Лосев Морозов Носков Орлов Панин Рябов Савин Титов Уваров".split(),
+#: Given names that show a gender behind a form of address that shows none.
+GIVEN = {
+    "m": "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leon Martin Nico Oscar Paul Robert Simon Thomas Victor John James Антон Борис Виктор Глеб Денис Егор Иван Кирилл Максим Павел".split(),
+    "f": "Anna Bella Clara Diana Emma Flora Greta Helen Irene Julia Karla Laura Maria Nora Olga Paula Rosa Sara Tessa Vera Алла Вера Галина Дарья Елена Инна Лидия Мария Нина Ольга".split(),
+}
+#: Consonants and vowels of the syllables by script.
+SYLLABLES = {
+    "latin": ("b d f g h k l m n p r s t v z".split(), "a e i o u".split()),
+    "cyrillic": ("б в г д ж з к л м н п р с т ф".split(), "а е и о у".split()),
+    "greek": ("β γ δ ζ θ κ λ μ ν π ρ σ τ φ χ".split(), "α ε ι ο η".split()),
+    "armenian": ("բ գ դ զ կ լ մ ն պ ր ս տ վ ֆ շ".split(), "ա ե ի ո է".split()),
 }
+#: Endings by script and part (male, female, neutral, family).
+ENDINGS = {
+    "latin m": "o us an er in ard on el".split(), "latin f": "a ia ina ella ette ise anne ora".split(), "latin -": "y is en e".split(), "latin family": "man son berg ley ner sen wick ford".split(),
+    "cyrillic m": "ан ор ин ей ил ат".split(), "cyrillic f": "а ия ета ара оня уся".split(), "cyrillic -": "е и".split(), "cyrillic family": "ов ев ин".split(),
+    "greek m": "ος ης ας".split(), "greek f": "α η ω".split(), "greek -": "ι υ".split(), "greek family": "ίδης άκης".split(),
+    "armenian m": "են ան ակ".split(), "armenian f": "ուհի ինե".split(), "armenian -": "ո ի".split(), "armenian family": "յան ունի".split(),
+}
+PERSONAL = list(ENDINGS)
+#: Characters before the ending: so many syllables and a consonant at the first draw, one more at each redraw.
+FIRST_SYLLABLES, ROUNDS = 3, 4
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast df behind a check of its size; beyond it both sides are shuffled."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df.hint("merge")
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _digits(c: Column) -> Column:
@@ -69,58 +98,100 @@ def _digits(c: Column) -> Column:
 
 def _kind(m: Column) -> Column:
     return (
-        F.when(m.contains("@"), "email").when(m.rlike(r"^\p{L}"), "person").when(m.rlike(r"^[0-9]+(\.[0-9]+){3}$"), "ip")
+        F.when(m.contains("@"), "email").when(m.rlike(r"^\p{L}"), F.when(m.contains(" "), "person").otherwise("word")).when(m.rlike(r"^[0-9]+(\.[0-9]+){3}$"), "ip")
         .when(m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn").when(m.rlike(r"^[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}$"), "card").otherwise("phone")
     )
 
 
 def _gender(title: Column, given: Column) -> Column:
     said = F.when(title.isin(MALE), "m").when(title.isin(FEMALE), "f")
-    for g in ("m", "f"):
-        said = said.when(given.isin([x for k, v in NAMES.items() if k.endswith(f" {g}") for x in v]), g)
+    for g, names in GIVEN.items():
+        said = said.when(given.isin(names), g)
     return said.otherwise("-")
 
 
 def _script(word: Column) -> Column:
-    return F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    return F.when(word.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"^\p{IsGreek}"), "greek").when(word.rlike(r"^\p{IsArmenian}"), "armenian").otherwise("latin")
+
+
+def _one_family(script: Column, gender: Column, low: Column) -> Column:
+    """The masculine form of a family name that is written in a feminine one."""
+    shown = gender != "m"
+    return (
+        F.when(shown & (script == "cyrillic") & low.rlike("(ская|цкая)$"), F.regexp_replace(low, "ая$", "ий"))
+        .when((script == "cyrillic") & ((shown & low.rlike("(ова|ева|ёва)$")) | ((gender == "f") & low.rlike("(ина|ына)$"))), F.regexp_replace(low, "а$", ""))
+        .when(shown & (script == "greek") & low.rlike("(ίδη|άκη)$"), F.concat(low, F.lit("ς")))
+        .otherwise(low)
+    )
 
 
 def parts(m: Column) -> Column:
-    """A mention's entities: array of (kind, norm). A name has one for each of its words, any other mention has one."""
+    """A mention's entities: array of (kind, norm, word, feminine). A name has one for each of its words, any other mention has one."""
+
+    def entity(kind: Column, norm: Column, word: Column, feminine: Column) -> Column:
+        return F.struct(kind.alias("kind"), norm.alias("norm"), word.alias("word"), feminine.alias("feminine"))
+
     kind, words = _kind(m), F.split(m, " ")
-    given = F.when(F.size(words) > 2, F.element_at(words, 2))
+    given, family = F.when(F.size(words) > 2, F.element_at(words, 2)), F.element_at(words, -1)
+    gender = _gender(words[0], given)
+    one = _one_family(_script(family), gender, F.lower(family))
     names = F.filter(
         F.array(
-            F.when(given.isNotNull(), F.struct(F.concat(_script(m), F.lit(" "), _gender(words[0], given)).alias("kind"), F.lower(given).alias("norm"))),
-            F.struct(F.concat(_script(m), F.lit(" family")).alias("kind"), F.lower(F.element_at(words, -1)).alias("norm")),
+            F.when(given.isNotNull(), entity(F.concat(_script(given), F.lit(" "), gender), F.lower(given), given, F.lit(False))),
+            entity(F.concat(_script(family), F.lit(" family")), one, family, (gender == "f") | (one != F.lower(family))),
         ),
         lambda x: x.isNotNull(),
     )
     norm = F.when(kind == "email", F.lower(m)).when(kind == "ip", m).otherwise(_digits(m))
     # A number after + has its country in it; one without is another number.
     norm = F.when((kind == "phone") & m.startswith("+"), F.concat(F.lit("+"), norm)).otherwise(norm)
-    return F.when(kind == "person", names).otherwise(F.array(F.struct(kind.alias("kind"), norm.alias("norm"))))
+    return F.when(kind == "person", names).otherwise(F.array(entity(kind, norm, m, F.lit(False))))
 
 
-def _byte(stream: Column, i: Column) -> Column:
-    """The i-th (from 0, around the end) of the stream's 128 two-digit numbers."""
-    at = (i % 128) * 2 + 1
-    return F.conv(F.substring(stream, at, F.lit(2)), 16, 10).cast("int")
+def _stream(*what: Column) -> Column:
+    """64 keyed numbers of 16 bits, as hex digits."""
+    return _let(F.concat_ws("|", *what), lambda seed: F.concat(*[F.sha2(F.concat(seed, F.lit(f"|{k}")), 256) for k in range(4)]))
 
 
-def _stream(*what: Column) -> Column:
-    seed = F.concat_ws("|", *what)
-    return F.concat(*[F.sha2(F.concat(seed, F.lit(f"|{k}")), 256) for k in range(4)])
+def _number(stream: Column, i: Column | int) -> Column:
+    """The i-th number of a stream, around its end."""
+    at = (F.lit(i) if isinstance(i, int) else i) % 64 * 4 + 1
+    return F.conv(F.substring(stream, at, F.lit(4)), 16, 10).cast("int")
 
 
-def _redrawn(text: Column, stream: Column, keep: Column | int = 0) -> Column:
-    """Digits and small letters behind the first `keep` characters redrawn, all else as it is."""
+def _cell(v: Column, low: Column, size: Column) -> Column:
+    """A place of a format: its value v in [0, size), written as low + v."""
+    return F.struct(v.cast("int").alias("v"), low.cast("int").alias("low"), size.cast("int").alias("size"))
+
+
+def _cells(text: Column, keep: Column) -> Column:
+    """The places of a text: digits and small letters behind the first `keep` characters vary, all else stays."""
+
     def one(c: Column, i: Column) -> Column:
-        b = _byte(stream, i)
-        new = F.when(c.rlike("[0-9]"), (b % 10).cast("string")).when(c.rlike("[a-z]"), F.char(b % 26 + 97)).otherwise(c)
-        return F.when(i < keep, c).otherwise(new)
+        code = F.ascii(c)
+        fixed = _cell(F.lit(0), code, F.lit(1))
+        return F.when(i < keep, fixed).when(c.rlike("[0-9]"), _cell(code - 48, F.lit(48), F.lit(10))).when(c.rlike("[a-z]"), _cell(code - 97, F.lit(97), F.lit(26))).otherwise(fixed)
+
+    return F.transform(F.split(text, ""), one)
+
+
+def _permuted(cells: Column, *seed: Column) -> Column:
+    """A keyed permutation of all values of a format: even and odd places shift each other in turn."""
 
-    return F.array_join(F.transform(F.split(text, ""), one), "")
+    def step(now: Column, r: int) -> Column:
+        def shifted(x: Column) -> Column:
+            others = F.concat_ws(",", F.transform(F.filter(x, lambda c, i: i % 2 != r % 2), lambda c: c["v"].cast("string")))
+            return _let(_stream(*seed, F.lit(str(r)), others), lambda s: F.transform(x, lambda c, i: F.when(i % 2 == r % 2, _cell((c["v"] + _number(s, i)) % c["size"], c["low"], c["size"])).otherwise(c)))
+
+        return _let(now, shifted)
+
+    for r in range(ROUNDS):
+        cells = step(cells, r)
+    return cells
+
+
+def _spelled(cells: Column) -> Column:
+    return F.array_join(F.transform(cells, lambda c: F.char(c["low"] + c["v"])), "")
 
 
 def _luhn(digits: Column) -> Column:
@@ -132,52 +203,106 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.split(digits, ""), add), F.lit(0), lambda acc, x: acc + x)
 
 
+def _octets(ip: Column) -> Column:
+    """The places of an IPv4 address. Private networks and the first octets that hold some stay as they are."""
+    held = F.when(ip.rlike(r"^(192|169|172)\."), 2).when(ip.rlike(r"^(10|127|0)\."), 1).otherwise(0)
+
+    def one(o: Column, i: Column) -> Column:
+        v = o.cast("int")
+        # The first octet's 100 to 255 without 127, 169, 172 and 192 are numbered through.
+        ahead = sum((v > x).cast("int") for x in (127, 169, 172, 192))
+        first = F.when(v < 10, _cell(v - 1, F.lit(1), F.lit(9))).when(v < 100, _cell(v - 11, F.lit(11), F.lit(89))).otherwise(_cell(v - 100 - ahead, F.lit(100), F.lit(152)))
+        other = F.when(v < 10, _cell(v, F.lit(0), F.lit(10))).when(v < 100, _cell(v - 10, F.lit(10), F.lit(90))).otherwise(_cell(v - 100, F.lit(100), F.lit(156)))
+        return F.when(i < held, _cell(F.lit(0), v, F.lit(1))).when(i == 0, first).otherwise(other)
+
+    return F.transform(F.split(ip, r"\."), one)
+
+
+def _dotted(cells: Column) -> Column:
+    def one(c: Column, i: Column) -> Column:
+        v = c["low"] + c["v"]
+        for x in (127, 169, 172, 192):
+            v = F.when((i == 0) & (c["size"] == 152) & (v >= x), v + 1).otherwise(v)
+        return v.cast("string")
+
+    return F.array_join(F.transform(cells, one), ".")
+
+
+def _formed() -> Column:
+    """The places of an entity (null for names); their fixed part and sizes are its format."""
+    kind, norm = F.col("kind"), F.col("norm")
+    domain = F.length(norm) - F.length(F.substring_index(norm, ".", -1))  # letters behind the last point stay
+    country = F.when(norm.startswith("+1"), 2).when(norm.startswith("+"), 3).otherwise(0)
+    return (
+        F.when(kind == "ip", _octets(norm)).when(kind == "card", _cells(F.substring(norm, 1, 15), F.lit(1))).when(kind == "phone", _cells(norm, country)).when(kind == "ssn", _cells(norm, F.lit(0)))
+        .when(kind == "email", F.concat(_cells(F.substring(norm, F.lit(1), domain), F.lit(0)), _cells(F.substring(norm, domain + 1, F.length(norm)), F.lit(64))))
+    )
+
+
+def _composed(name: str) -> Callable[[Column], Column]:
+    """A name of this script and part from a stream."""
+    consonants, vowels = (F.array(*map(F.lit, x)) for x in SYLLABLES[name.split()[0]])
+    endings = F.array(*map(F.lit, ENDINGS[name]))
+
+    def whole(s: Column) -> Column:
+        def choose(pool: Column, i: Column | int) -> Column:
+            return F.element_at(pool, _number(s, i) % F.size(pool) + 1)
+
+        body = F.transform(F.sequence(F.lit(1), F.lit(FIRST_SYLLABLES) + F.col("attempt")), lambda k: F.concat(choose(consonants, k * 2), choose(vowels, k * 2 + 1)))
+        return F.initcap(F.concat(F.array_join(body, ""), choose(consonants, 0), choose(endings, 1)))
+
+    return whole
+
+
 def _drawn(key: str) -> Column:
     """The surrogate of (kind, norm) at its attempt."""
     kind, norm, attempt = F.col("kind"), F.col("norm"), F.col("attempt").cast("string")
-    s = _stream(F.lit(key), kind, norm, attempt)
-    domain = F.substring_index(norm, "@", -1)
+    seed = (F.lit(key), kind, attempt)
+    local, domain = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
     tld = F.substring_index(domain, ".", -1)
     host = F.substring(domain, F.lit(1), F.length(domain) - F.length(tld))
-    email = F.concat(_redrawn(F.substring_index(norm, "@", 1), s), F.lit("@"), _redrawn(host, _stream(F.lit(key), F.lit("domain"), domain, F.greatest(F.col("attempt") - 8, F.lit(0)).cast("string"))), tld)
-    held = F.when(norm.rlike(r"^(192\.168|169\.254|172\.(1[6-9]|2[0-9]|3[01]))\."), 2).when(norm.rlike(r"^(10|127)\."), 1).otherwise(0)
-
-    def octet(o: Column, i: Column) -> Column:
-        b = _byte(s, i)
-        new = F.when(F.col("attempt") > 8, b % 254 + 1).when(F.length(o) == 1, b % 9 + 1).when(F.length(o) == 2, b % 90 + 10).otherwise(b % 155 + 100)
-        return F.when(i < held, o).otherwise(new.cast("string"))
-
-    ip = F.array_join(F.transform(F.split(norm, r"\."), octet), ".")
+    email = F.concat(_spelled(_permuted(_cells(local, F.lit(0)), *seed, domain)), F.lit("@"), _spelled(_permuted(_cells(host, F.lit(0)), F.lit(key), F.lit("host"), tld)), tld)
+    body = _spelled(_permuted(_cells(F.substring(norm, 1, 15), F.lit(1)), *seed))
+    # The last digit stays as far from the right one as it was.
+    card = _let(body, lambda b: F.concat(b, ((20 + _luhn(norm) - _luhn(F.concat(b, F.lit("0"))) % 10) % 10).cast("string")))
     country = F.when(norm.startswith("+1"), 2).when(norm.startswith("+"), 3).otherwise(0)
-    phone = _redrawn(norm, s, country)
-    body = _redrawn(F.substring(norm, 1, 15), s, 1)
-    check = (10 - _luhn(F.concat(body, F.lit("0"))) % 10) % 10
-    last = F.when(_luhn(norm) % 10 == 0, check).otherwise((check + 1 + _byte(s, F.lit(60)) % 9) % 10)
-    card = F.concat(body, last.cast("string"))
-    out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", _redrawn(norm, s))
-    for name, words in NAMES.items():
-        pool = F.array(*[F.lit(w) for w in words])
-        pick = lambda k, pool=pool, n=len(words): F.element_at(pool, _byte(s, F.lit(k)) % n + 1)
-        out = out.when(kind == name, F.when(F.col("attempt") < 3, pick(0)).when(F.col("attempt") < 12, F.concat_ws("-", pick(0), pick(1))).otherwise(F.concat_ws("-", pick(0), pick(1), pick(2))))
+    out = F.when(kind == "email", email).when(kind == "ip", _dotted(_permuted(_octets(norm), *seed))).when(kind == "card", card)
+    out = out.when(kind == "phone", _spelled(_permuted(_cells(norm, country), *seed, F.length(norm).cast("string")))).when(kind == "ssn", _spelled(_permuted(_cells(norm, F.lit(0)), *seed)))
+    for name in PERSONAL:
+        out = out.when(kind == name, _let(_stream(*seed, norm), _composed(name)))
     return out
 
 
 def surrogates(spark: SparkSession, entities: DataFrame, key: str) -> DataFrame:
-    """kind, norm, surrogate for distinct entities (kind, norm); no two of a kind share one, and none is an entity."""
-    fresh = lambda df: df.withColumn("surrogate", _drawn(key))
-    now = shared_table(spark, fresh(entities.withColumn("attempt", F.lit(0))), "surrogates")
-    for attempt in range(ATTEMPTS):
-        first = Window.partitionBy("kind", F.lower("surrogate")).orderBy("attempt", "norm")
-        taken = now.select("kind", F.col("norm").alias("low")).withColumn("entity", F.lit(1))
-        marked = now.withColumn("nth", F.row_number().over(first)).withColumn("low", F.lower("surrogate")).join(taken, ["kind", "low"], "left")
-        bad = (F.col("nth") > 1) | F.col("entity").isNotNull()
-        marked = shared_table(spark, marked.select("kind", "norm", F.when(bad, F.lit(attempt + 1)).otherwise(F.col("attempt")).alias("attempt"), "surrogate", bad.alias("bad")), "surrogates-checked")
-        if not marked.where("bad").limit(1).count():
-            return marked.select("kind", "norm", "surrogate")
-        redrawn = fresh(marked.where("bad").drop("surrogate")).select("kind", "norm", "attempt", "surrogate")
-        now = shared_table(spark, marked.where("not bad").select("kind", "norm", "attempt", "surrogate").unionByName(redrawn), "surrogates")
-    held = F.concat(F.lit("["), F.upper("kind"), F.lit("-"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), "kind", "norm"), 256), 1, 16), F.lit("]"))
-    return marked.select("kind", "norm", F.when(F.col("bad"), held).otherwise(F.col("surrogate")).alias("surrogate"))
+    """kind, norm, surrogate for distinct entities (kind, norm); no two share one, and none is an entity (see the module's rule for crowded formats)."""
+    space = F.when(F.col("kind").isin(PERSONAL), "person").otherwise(F.col("kind"))
+    fixed = lambda c: F.when(c["size"] == 1, c["low"]).otherwise(-c["size"]).cast("string")
+    entities = entities.withColumn("space", space).withColumn("cells", _formed())
+    entities = entities.select("kind", "norm", "space", F.concat_ws(",", "kind", F.transform("cells", fixed)).alias("format"), F.aggregate("cells", F.lit(0.0), lambda acc, c: acc + F.log10(c["size"].cast("double"))).alias("room"))
+    entities = shared_table(spark, entities, "entities")
+    crowded = entities.where("room is not null").groupBy("format").agg(F.count(F.lit(1)).alias("n"), F.first("room").alias("room")).where(F.log10(F.col("n") * 4) > F.col("room")).select("format", F.lit(True).alias("crowded"))
+    crowded = shared_table(spark, crowded, "crowded-formats")
+    pending = entities.join(small(crowded), "format", "left").select("kind", "norm", "space", F.coalesce("crowded", F.lit(False)).alias("crowded"), F.lit(0).alias("attempt"))
+    known = entities.select("space", F.col("norm").alias("low"), F.lit(True).alias("entity")).distinct()
+    done: DataFrame | None = None
+    while True:
+        drawn = shared_table(spark, pending.withColumn("surrogate", _drawn(key)).withColumn("low", F.lower("surrogate")), "drawn")
+        # Values are as many as entities or more, so these groups are small.
+        best = drawn.groupBy("space", "low").agg(F.min(F.struct(~F.col("crowded"), "kind", "norm", "surrogate")).alias("b")).select("space", "low", "b.*").toDF("space", "low", "free", "kind", "norm", "surrogate")
+        good = best.join(known, ["space", "low"], "left").where("not free or entity is null").drop("entity", "free")
+        if done is not None:
+            good = good.join(done.select("space", "low"), ["space", "low"], "left_anti")
+        good = shared_table(spark, good, "accepted")
+        done = good if done is None else done.unionByName(good)
+        pending = drawn.join(good.select("kind", "norm"), ["kind", "norm"], "left_anti").select("kind", "norm", "space", "crowded", (F.col("attempt") + 1).alias("attempt"))
+        pending = shared_table(spark, pending, "pending")
+        if pending.isEmpty():
+            return done.select("kind", "norm", "surrogate")
+
+
+def _form(kind: Column, feminine: Column, surrogate: Column) -> Column:
+    """A name's surrogate in the gender of its mention."""
+    return F.when(feminine & (kind == "cyrillic family"), F.concat(surrogate, F.lit("а"))).when(feminine & (kind == "greek family"), F.regexp_replace(surrogate, "ς$", "")).otherwise(surrogate)
 
 
 def _written(m: Column, given: Column) -> Column:
@@ -189,31 +314,53 @@ def _written(m: Column, given: Column) -> Column:
     number = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[0-9]"), F.substring(digits, F.length(_digits(F.substring(m, F.lit(1), i + 1))), F.lit(1))).otherwise(c)), "")
     cased = F.array_join(F.zip_with(chars, F.split(new, ""), lambda a, b: F.when(a.rlike("[A-Z]"), F.upper(b)).otherwise(b)), "")
     person = F.array_join(F.concat(F.array(F.substring_index(m, " ", 1)), given), " ")
-    held = F.when(new.startswith("["), new)
-    return F.when(kind == "person", person).otherwise(F.coalesce(held, F.when(kind == "email", cased).when(kind == "ip", new).otherwise(number)))
+    return F.when(kind == "person", person).when(kind == "email", cased).when(kind == "ip", new).otherwise(number)
+
+
+def _alone() -> Column:
+    """(word, new) of a name standing alone: as it was written, and a family name's form of the other gender."""
+    kind, word, plain = F.col("kind"), F.col("word"), F.col("surrogate")
+    pair = lambda w, new: F.struct(w.alias("word"), new.alias("new"))
+    other = F.when((kind == "cyrillic family") & word.rlike("(ов|ев|ёв|ин|ын)$"), pair(F.concat(word, F.lit("а")), F.concat(plain, F.lit("а"))))
+    other = other.when((kind == "cyrillic family") & word.rlike("(ова|ева|ёва|ина|ына)$") & (F.col("norm") != F.lower(word)), pair(F.regexp_replace(word, "а$", ""), plain))
+    return F.filter(F.array(pair(word, F.col("form")), other), lambda x: x.isNotNull())
 
 
 def replace(spark: SparkSession, docs: DataFrame, key: str) -> DataFrame:
-    """docs with surrogates in text, and the number of mentions of each kind."""
+    """docs with surrogates in text, the number of mentions of each kind, and n_bare names that stand alone."""
     whole = docs.withColumn("text", F.col("text").cast("string"))
     mentions = F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     doc = F.xxhash64(F.col("doc_id"), F.col("text"))
     said = whole.select(doc.alias("_doc"), mentions.alias("m")).where(F.size("m") > 0).select("_doc", F.explode(F.array_distinct("m")).alias("m")).distinct()
-    said = shared_table(spark, said.select("_doc", "m", F.posexplode(parts(F.col("m"))).alias("nth", "e")).select("_doc", "m", "nth", "e.kind", "e.norm"), "mentions")
+    said = said.select("_doc", "m", F.posexplode(parts(F.col("m"))).alias("nth", "e")).select("_doc", "m", "nth", "e.*")
+    # A given name whose mention shows no gender takes the one that its document shows elsewhere.
+    shown = F.max(F.when(F.col("kind").rlike(" [mf]$"), F.col("kind"))).over(Window.partitionBy("_doc", "norm"))
+    said = shared_table(spark, said.withColumn("kind", F.when(F.col("kind").endswith(" -"), F.coalesce(shown, "kind")).otherwise(F.col("kind"))), "mentions")
     table = surrogates(spark, said.select("kind", "norm").distinct(), key)
-    drawn = said.join(_small(table), ["kind", "norm"])
-    given = F.transform(F.array_sort(F.collect_list(F.struct("nth", "surrogate"))), lambda x: x["surrogate"])
-    new = drawn.groupBy("_doc", "m").agg(given.alias("given")).select("_doc", "m", _written(F.col("m"), F.col("given")).alias("new"))
-    maps = shared_table(spark, new.groupBy("_doc").agg(F.map_from_entries(F.collect_list(F.struct("m", "new"))).alias("_map")), "replacements")
-    out = whole.withColumn("_doc", doc).join(_small(maps), "_doc", "left")
-    found = F.regexp_extract_all("text", F.lit(ANY), F.lit(0))
-    gaps = F.split("text", ANY, -1)
-    joined = F.array_join(F.zip_with(gaps, found, lambda g, m: F.concat(g, F.coalesce(F.element_at("_map", m), F.lit("")))), "")
-    kinds = F.when(F.col("_map").isNull(), F.array().cast("array<string>")).otherwise(F.transform(found, _kind))
-    cols = [F.when(F.col("_map").isNull(), F.col("text")).otherwise(joined).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    drawn = said.join(small(table), ["kind", "norm"]).withColumn("form", _form(F.col("kind"), F.col("feminine"), F.col("surrogate")))
+    drawn = shared_table(spark, drawn, "mentions-drawn")
+    given = F.transform(F.array_sort(F.collect_list(F.struct("nth", "form"))), lambda x: x["form"])
+    new = drawn.groupBy("_doc", "m").agg(given.alias("given")).select("_doc", "m", _written(F.col("m"), F.col("given")).alias("new"), F.lit(False).alias("alone"))
+    alone = drawn.where(F.col("kind").isin(PERSONAL)).select("_doc", (~F.col("kind").endswith("family")).alias("later"), F.inline(_alone()))
+    alone = alone.groupBy("_doc", "word").agg(F.min(F.struct("later", "new"))["new"].alias("new")).select("_doc", F.col("word").alias("m"), "new", F.lit(True).alias("alone"))
+    maps = new.unionByName(alone).groupBy("_doc").agg(F.map_from_entries(F.collect_list(F.struct("m", "new"))).alias("_map"), F.max("alone").alias("_named"))
+    maps = shared_table(spark, maps, "replacements")
+    out = whole.withColumn("_doc", doc).join(small(maps), "_doc", "left")
+
+    def found(pattern: str) -> Column:
+        return F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+
+    def joined(pattern: str) -> Column:
+        return F.array_join(F.zip_with(F.split("text", pattern, -1), found(pattern), lambda g, m: F.concat(g, F.coalesce(F.try_element_at("_map", m), m, F.lit("")))), "")
+
+    def either(one: Callable[[str], Column], none: Column) -> Column:
+        return F.when(F.col("_map").isNull(), none).when(F.col("_named"), one(f"{ANY}|{WORD}")).otherwise(one(ANY))
+
+    kinds = either(lambda p: F.transform(F.filter(found(p), lambda m: F.map_contains_key("_map", m)), _kind), F.array().cast("array<string>"))
+    cols = [either(joined, F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     out = out.select(*cols, kinds.alias("_kinds"))
 
-    def count(kind: str) -> Column:
-        return F.size(F.filter("_kinds", lambda k: k == kind)).cast("long").alias(f"n_{kind}")
+    def count(kind: str, name: str) -> Column:
+        return F.size(F.filter("_kinds", lambda k: k == kind)).cast("long").alias(f"n_{name}")
 
-    return out.select(*docs.columns, *[count(k) for k in ("email", "ip", "phone", "card", "ssn", "person")])
+    return out.select(*docs.columns, *[count(k, k) for k in ("email", "ip", "phone", "card", "ssn", "person")], count("word", "bare"))

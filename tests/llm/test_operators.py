@@ -337,15 +337,72 @@ def test_pii(spark, docs, weird, none):
     assert by[4].text is None and by[5].text == "" and re.fullmatch(r"mail [a-z]\.[a-z]@[a-z]\.[a-z]{7}\.com call \+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4} from 10(\.[0-9]{1,3}){3} card 4[0-9]{3}( [0-9]{4}){3}", by[17].text)
 
 
-def test_pii_names_and_collisions(spark):
-    text = "Mrs. Anna Smith met Mr Smith and Dr. Karl Weber; г-н Иван Петров. " + " ".join(f"Mr Family{chr(97 + i)}{chr(97 + j)}x." for i in range(8) for j in range(8))
-    r = pii.replace(spark, spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first()
-    names = re.findall(r"Mr ([A-Z][a-z]+(?:-[A-Z][a-z]+)*)", r.text)
-    assert len(names) == 65 == len(set(names)) and r.n_person == 68
-    head = re.match(r"Mrs\. (\S+) (\S+) met Mr (\S+) and Dr\. (\S+) \S+; г-н (\S+) (\S+)\.", r.text)
-    assert head[1] in pii.NAMES["latin f"] and head[2] == head[3] and head[4] in pii.NAMES["latin m"] and head[5] in pii.NAMES["cyrillic m"]
-    card = pii.replace(spark, spark.createDataFrame([(1, "4111111111111111")], "doc_id long, text string"), "k").first().text
-    assert sum(sum(divmod(int(c) * (2 if k % 2 == 0 else 1), 10)) for k, c in enumerate(card)) % 10 == 0
+def surrogate_text(spark, *texts):  # noqa: ANN001, ANN201
+    out = {r.doc_id: r for r in pii.replace(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
+    return [out[k] for k in range(len(texts))]
+
+
+def ends(word, kind):  # noqa: ANN001, ANN201
+    return word.lower().endswith(tuple(pii.ENDINGS[kind]))
+
+
+def test_pii_names(spark):
+    first, second, card, greek, other = surrogate_text(
+        spark,
+        "Mrs. Anna Smith met Mr Smith and Dr. Karl Weber; г-н Иван Петров. " + " ".join(f"Mr Family{chr(97 + i)}{chr(97 + j)}x." for i in range(8) for j in range(8)),
+        "г-жа Анна Петрова и г-н Петров. Потом Петрова ушла, а Петров остался. Петровы нет.",
+        "4111111111111111 and 4111111111111112",
+        "Mr Γιώργος Παπαδάκης, Mrs Παπαδάκη. Mr Smith came. John Smith left, Smithson and SMITH stayed; Smith@home.example.org too.",
+        "Dr Karl Weber, Mr. Karl Weber",
+    )
+    names = re.findall(r"Mr ([A-Z][a-z]+)", first.text)
+    assert len(names) == 65 == len(set(names)) and first.n_person == 68
+    head = re.match(r"Mrs\. (\S+) (\S+) met Mr (\S+) and Dr\. (\S+) (\S+); г-н (\S+) (\S+)\.", first.text)
+    assert ends(head[1], "latin f") and head[2] == head[3] and ends(head[4], "latin m") and ends(head[6], "cyrillic m") and ends(head[7], "cyrillic family")
+    her, name, his = re.match(r"г-жа (\S+) (\S+) и г-н (\S+)\.", second.text).groups()
+    assert name == his + "а" and his == head[7] and ends(her, "cyrillic f") and second.text.endswith(f"Потом {name} ушла, а {his} остался. Петровы нет.") and second.n_bare == 2
+    sums = [sum(sum(divmod(int(c) * (2 if k % 2 == 0 else 1), 10)) for k, c in enumerate(n)) % 10 for n in card.text.split(" and ")]
+    assert sums == [0, 1] and card.n_card == 2
+    g = re.match(r"Mr (\S+) (\S+), Mrs (\S+)\. Mr (\S+) came\. John (\S+) left, Smithson and SMITH stayed; (\S+)@", greek.text)
+    assert ends(g[1], "greek m") and ends(g[2], "greek family") and g[3] == g[2][:-1] and g[4] == g[5] == head[3] and g[6] != "Smith"
+    a, b = re.match(r"Dr (\S+ \S+), Mr\. (\S+ \S+)", other.text).groups()
+    assert a == b
+
+
+def test_pii_against_plain(spark, docs):
+    """Mentions found by another engine, texts between them unchanged, one surrogate for each entity and none shared."""
+    import regex
+
+    pattern = regex.compile(pii.ANY)
+    before = {r.doc_id: r.text or "" for r in docs.collect()}
+    word, pairs = regex.compile(f"{pii.ANY}|{pii.WORD}"), {}
+    for r in pii.replace(spark, docs.select("doc_id", "text"), "k").collect():
+        old = [m[0] for m in pattern.finditer(before[r.doc_id])]
+        assert r.n_email + r.n_ip + r.n_phone + r.n_card + r.n_ssn + r.n_person == len(old) and all(re.search(pii.HINT, m) for m in old)
+        gaps = (word if r.n_person else pattern).split(before[r.doc_id])[:: 2]
+        at = 0
+        for g in gaps:
+            assert (at := (r.text or "").find(g, at)) >= 0
+            at += len(g)
+        new = [m[0] for m in pattern.finditer(r.text or "")]
+        for x, y in zip(old, new, strict=True):
+            assert pairs.setdefault(x, y) == y != x
+    flat = lambda x: x.lower() if "@" in x or x[0].isalpha() else re.sub("[^0-9+.]", "", x)
+    assert len({flat(x) for x in pairs}) == len({flat(y) for y in pairs.values()}) and not {flat(x) for x in pairs} & {flat(y) for y in pairs.values()}
+
+
+def test_pii_many_names_and_crowded_formats(spark):
+    names = spark.range(50_000).select(F.lit("cyrillic family").alias("kind"), F.concat(F.lit("фам"), F.col("id").cast("string")).alias("norm"))
+    ips = spark.range(700).select(F.lit("ip").alias("kind"), F.concat_ws(".", F.lit("10"), (F.col("id") % 9 + 1).cast("string"), (F.floor(F.col("id") / 9) % 9 + 1).cast("string"), (F.floor(F.col("id") / 81)).cast("string")).alias("norm"))
+    mails = spark.range(26).select(F.lit("email").alias("kind"), F.concat(F.char(F.col("id") + 97), F.lit("@x.yz")).alias("norm"))
+    ssn = spark.range(3000).select(F.lit("ssn").alias("kind"), F.lpad((F.col("id") * 7919).cast("string"), 9, "0").alias("norm"))
+    entities = names.unionByName(ips).unionByName(mails).unionByName(ssn)
+    got = [tuple(r) for r in pii.surrogates(spark, entities, "k").collect()]
+    assert len(got) == 53_726 == len({(k, n) for k, n, _ in got}) == len({(k, s.lower()) for k, _, s in got})
+    assert all(s.endswith(tuple(pii.ENDINGS[k])) and re.fullmatch("[А-Я][а-я]+", s) for k, _, s in got if k == "cyrillic family")
+    assert all(re.fullmatch(r"10\.[0-9]\.[0-9]\.[0-9]", s) for k, _, s in got if k == "ip")
+    known = {(k, n) for k, n, _ in got}
+    assert not {(k, s) for k, _, s in got if k != "ip"} & known
 
 
 def test_pii_every_title_alone(spark):
