@@ -447,3 +447,19 @@ def test_nearest_odd(spark):
     many = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(300)], "vec_id long, embedding array<float>")
     assert [g[1] for g in sorted(rows(vptree.nearest(spark, many), "query_id", "vec_id")) if g[0] == 0] == [1, 2, 3, 4, 5]
     assert vptree.nearest(spark, df.limit(0)).count() == 0
+
+
+def test_nearest_ties(spark):
+    """Parallel vectors of different lengths, and more points at one distance than are kept."""
+    parallel = [(i, [3.0 * 2.0**-i, 4.0 * 2.0**-i, 0.0]) for i in range(40)]
+    around = [(50 + i, [0.0, 0.0, 1.0] if i == 0 else [math.cos(i), math.sin(i), 0.0]) for i in range(1, 300)]
+    hot = [(1000 + i, [float(j == i % 60) for j in range(60)]) for i in range(400)]
+    for data in (parallel, [(0, [0.0, 0.0, 1.0]), *around], hot):
+        df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+        want = nearest_plain(data)
+        for shard in (vptree.SHARD, 50):
+            trees = vptree.index(spark, df, shard=shard)
+            got: dict[int, list] = {}
+            for q, _, i, s in sorted(rows(vptree.search(spark, trees, df.where("vec_id % 50 = 0"), factor=1.0), "query_id", "rank", "vec_id", "score")):
+                got.setdefault(q, []).append((i, s))
+            assert got == want
