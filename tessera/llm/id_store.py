@@ -6,25 +6,31 @@ A chunk's address is the hash of its ids. Three Parquet tables make the format:
 
 * `chunks`: (bucket, hashes, lengths, data) -- unique chunks, each stored once in
   the bucket its address names, data compressed;
-* `recipes`: in ascending doc_id order (range-partitioned files), doc_id, start,
-  n_tokens, the chunks' addresses and lengths, and a Merkle root over the addresses;
-* `manifest`: one Merkle root over the document roots of each recipe file range,
-  with its counts.
-
-Chunk bytes cross the network once, packed by bucket and compressed. Reading
-back verifies every chunk against its address and every recipe against its
-root; a document's crc is the xor of its chunks' crcs shifted by the bytes that
-follow, so it needs no second move of the data.
+* `recipes`: in ascending doc_id order (range-partitioned files; a null doc_id first),
+  doc_id, start, n_tokens, the chunks' addresses and lengths, and a Merkle root over the
+  addresses;
+* `manifest`: a Merkle tree over the recipes. A leaf hashes doc_id, start, n_tokens,
+  lengths and root of one document; a node has the counts, the start and the root of up
+  to `FANOUT` neighbours of the level below, up to one top node.
+
+Chunk bytes cross the network once, packed by bucket and compressed; the number of
+buckets follows the bytes of the texts. Reading back builds the tree anew from the
+recipes and compares every node with the manifest, so lost, added, moved or edited
+recipes raise, as do starts with a gap; every chunk is verified against its address and
+every recipe against its root. A document's crc is the xor of its chunks' crcs shifted
+by the bytes that follow, so it needs no second move of the data; chunks with very many
+uses meet them in a broadcast, not in one task.
 
 Defined results: a null text is empty (its ids are the end id alone); repeated
-rows and equal doc_ids each give a row, in a stable order; an empty table gives
-no rows; extra columns are ignored.
+rows and equal doc_ids each give a row, in a stable order; a null doc_id is kept and
+comes first; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -34,12 +40,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mix, pick, shared_dir, shared_table, short_batches, slices
+from .common import mix, pick, shared_dir, shared_table, short_batches, slices, small
 from .encoding import default_tokenizer, encode_column
 
 WINDOW, ADDRESS, TABLE = 16, 16, 1 << 16
 #: Chunks hold 64 ids at least, 8192 at most and about 64 + 512 on average.
 LEAST, MOST, MEAN_BITS = 64, 8192, 9
+#: Children of a manifest node (a power of 2), text bytes of a bucket, and uses that make a chunk a hot one.
+FANOUT_BITS, BUCKET_BYTES, HOT_USES = 12, 64 << 20, 5000
+FANOUT = 1 << FANOUT_BITS
+CHILD = "child long, start long, n_tokens long, documents long, root binary"
+NODE = "node long, start long, n_tokens long, documents long, root binary"
 STAGED = "doc_id long, n_tokens long, addresses binary, lengths binary, root binary, bucket int, data binary"
 
 
@@ -172,7 +183,7 @@ def stage(docs: DataFrame, tokenizer: str, end_id: int, buckets: int) -> DataFra
         if held:
             yield emit(packed())
 
-    return pick(docs, doc_id="doc_id", text="text").mapInArrow(run, STAGED)
+    return docs.mapInArrow(run, STAGED)
 
 
 def narrow(raw: bytes) -> bytes:
@@ -219,20 +230,21 @@ def _unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_store(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, buckets: int | None = None) -> None:
     """Write `chunks`, `recipes` and `manifest` below path."""
     short_batches(spark)
-    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = buckets or max(32, shuffles)
-    staged = shared_table(spark, stage(docs, tokenizer or default_tokenizer(), end_id, buckets), "staged")
+    rows = pick(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    if buckets is None:
+        buckets = max(32, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES))
+    staged = shared_table(spark, stage(rows, tokenizer or default_tokenizer(), end_id, buckets), "staged")
     (
         staged.where("data is not null").select("bucket", "addresses", "lengths", "data")
-        .repartition(min(buckets, shuffles), "bucket").sortWithinPartitions("bucket")
+        .repartition(buckets, "bucket").sortWithinPartitions("bucket")
         .mapInArrow(_unique, "bucket int, addresses binary, lengths binary, data binary")
         .write.option("compression", "none").parquet(f"{path}/chunks")
     )
-    order = ["doc_id", "root"]
-    ranged = staged.where("root is not null").select("doc_id", "n_tokens", "addresses", "lengths", "root").repartitionByRange(*order).sortWithinPartitions(*order)
+    # The row's place in the written table parts repeated rows, however many.
+    order = ["doc_id", "root", "place"]
+    ranged = staged.where("root is not null").select("doc_id", "n_tokens", "addresses", "lengths", "root", F.monotonically_increasing_id().alias("place")).repartitionByRange(*order).sortWithinPartitions(*order).drop("place")
     placed = shared_table(spark, ranged.withColumn("part", F.spark_partition_id()).withColumn("nth", F.monotonically_increasing_id()), "recipes")
-    sums = placed.groupBy("part").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("documents"), F.array_sort(F.collect_list(F.struct("nth", "root"))).alias("roots"))
-    sums = shared_table(spark, sums.mapInArrow(_roots, "part int, n long, documents long, root binary"), "recipe-ranges")
+    sums = placed.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     # One row for each range of documents, not for each document.
     before = sums.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     running = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
@@ -241,13 +253,61 @@ def write_store(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str
         .select("doc_id", (F.col("base") + F.col("ahead")).alias("start"), "n_tokens", "addresses", "lengths", "root", "part", "nth")
         .write.option("compression", "zstd").parquet(f"{path}/recipes")
     )
-    sums.write.parquet(f"{path}/manifest")
+    tree(spark, spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
+
+
+def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A leaf of the manifest's tree for each recipe."""
+    for b in batches:
+        roots = [
+            address(b"\x02" + struct.pack("<?qqq", doc is None, doc or 0, start, n) + lengths + root)
+            for doc, start, n, lengths, root in zip(*(b.column(c).to_pylist() for c in ("doc_id", "start", "n_tokens", "lengths", "root")), strict=True)
+        ]
+        one = pa.array(np.ones(b.num_rows, np.int64))
+        yield pa.RecordBatch.from_arrays([b.column("nth"), b.column("start"), b.column("n_tokens"), one, pa.array(roots, pa.binary())], names=["child", "start", "n_tokens", "documents", "root"])
 
 
-def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A node over its children (at most FANOUT), whose starts follow each other without a gap."""
     for b in batches:
-        roots = [merkle([r["root"] for r in x]) for x in b.column("roots").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("part"), b.column("n"), b.column("documents"), pa.array(roots, pa.binary())], names=["part", "n", "documents", "root"])
+        out = []
+        for node, children in zip(b.column("node").to_pylist(), b.column("children").to_pylist(), strict=True):
+            at = children[0]["start"]
+            for c in children:
+                if c["start"] != at:
+                    raise ValueError(f"recipes do not follow each other at {c['child']}: start {c['start']}, not {at}")
+                at += c["n_tokens"]
+            out.append((node, children[0]["start"], at - children[0]["start"], sum(c["documents"] for c in children), merkle([c["root"] for c in children])))
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, types, strict=True)], names=["node", "start", "n_tokens", "documents", "root"])
+
+
+def tree(spark: SparkSession, recipes: DataFrame) -> DataFrame:
+    """level, node, start, n_tokens, documents, root of the Merkle tree over recipes: each level is grouped from the one below."""
+    children = recipes.select("doc_id", "start", "n_tokens", "lengths", "root", "nth").mapInArrow(_leaves, CHILD)
+    levels: list[DataFrame] = []
+    while True:
+        packed = children.groupBy(F.shiftright("child", FANOUT_BITS).alias("node")).agg(F.array_sort(F.collect_list(F.struct("child", "start", "n_tokens", "documents", "root"))).alias("children"))
+        now = shared_table(spark, packed.mapInArrow(_nodes, NODE), "manifest-level")
+        levels.append(now.select(F.lit(len(levels)).alias("level"), "*"))
+        if now.count() <= 1:
+            return functools.reduce(DataFrame.unionByName, levels)
+        children = now.withColumnRenamed("node", "child")
+
+
+def verify(spark: SparkSession, path: str) -> None:
+    """Raise unless the recipes give the manifest's tree, node by node, from the first id on."""
+    stored = spark.read.parquet(f"{path}/manifest")
+    found = tree(spark, spark.read.parquet(f"{path}/recipes"))
+    cols = ["start", "n_tokens", "documents", "root"]
+    pairs = stored.select("level", "node", F.struct(*cols).alias("stored")).join(found.select("level", "node", F.struct(*cols).alias("found")), ["level", "node"], "full")
+    wrong = pairs.where(~F.col("stored").eqNullSafe(F.col("found")))
+    first = wrong.orderBy("level", "node").first()
+    if first is not None:
+        raise ValueError(f"the manifest does not match the recipes: level {first.level}, node {first.node}")
+    ends = found.agg(F.min("start").alias("start"), F.max_by("node", "level").alias("top")).first()
+    if ends.start not in (None, 0):
+        raise ValueError(f"the first recipe starts at {ends.start}")
 
 
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,11 +345,16 @@ def _shifted(crc, behind):  # noqa: ANN001, ANN202
 
 
 def read_digest(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files; a missing or altered chunk raises."""
-    chunks = spark.read.parquet(f"{path}/chunks").mapInArrow(_checked, "address binary, ids long, crc long")
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files; what is missing or altered raises."""
+    verify(spark, path)
+    chunks = spark.read.parquet(f"{path}/chunks").mapInArrow(_checked, "address binary, ids long, crc long").withColumnRenamed("ids", "stored")
     recipes = spark.read.parquet(f"{path}/recipes")
-    steps = recipes.select("part", "nth", F.col("addresses"), "lengths", "root").mapInArrow(_steps, "part int, nth long, address binary, behind long, ids long")
-    used = steps.join(chunks.withColumnRenamed("ids", "stored"), "address", "left")
+    steps = shared_table(spark, recipes.select("part", "nth", F.col("addresses"), "lengths", "root").mapInArrow(_steps, "part int, nth long, address binary, behind long, ids long"), "recipe-steps")
+    # At most one in HOT_USES uses names a hot chunk; these meet their uses in a broadcast while it is small.
+    hot = shared_table(spark, steps.groupBy("address").agg(F.count(F.lit(1)).alias("uses")).where(F.col("uses") >= HOT_USES).select("address"), "hot-addresses")
+    known = small(hot)
+    often = shared_table(spark, chunks.join(known, "address", "left_semi"), "hot-chunks")
+    used = steps.join(known, "address", "left_anti").join(chunks, "address", "left").unionByName(steps.join(known, "address", "left_semi").join(small(often), "address", "left"))
     shifted = F.pandas_udf(_shifted, "long")
     crc = F.when(F.col("stored").isNull() | (F.col("stored") != F.col("ids")), F.raise_error(F.lit("a chunk is missing or has another length"))).otherwise(F.col("crc"))
     by_doc = used.groupBy("part", "nth").agg(F.bit_xor(shifted(crc.cast("long"), F.col("behind"))).alias("ids_crc32"), F.sum("ids").alias("got"))

@@ -314,6 +314,30 @@ def test_id_store(spark, docs, weird, none, tmp_path):
         spark.read.parquet(f"{path}/{t}").write.parquet(f"{spoiled}/{t}")
     with pytest.raises(Exception, match="does not match its address"):
         id_store.read_digest(spark, spoiled).collect()
+    recipes = spark.read.parquet(f"{path}/recipes")
+    last = recipes.agg(F.max("nth")).first()[0]
+    for k, (wrong, told) in enumerate([
+        (recipes.where("doc_id % 2 = 0"), "do not follow"), (recipes.where(f"nth < {last}"), "does not match the recipes"), (recipes.where("nth > 0"), "does not match the recipes"),
+        (recipes.withColumn("start", F.lit(7).cast("long")), "do not follow"), (recipes.withColumn("doc_id", F.col("doc_id") + 1), "does not match the recipes"),
+        (recipes.withColumn("start", F.col("start") + 5), "does not match the recipes"), (recipes.where("false"), "does not match the recipes"),
+    ]):
+        bad = str(tmp_path / f"bad{k}")
+        wrong.write.parquet(f"{bad}/recipes")
+        for t in ("chunks", "manifest"):
+            spark.read.parquet(f"{path}/{t}").write.parquet(f"{bad}/{t}")
+        with pytest.raises(Exception, match=told):
+            id_store.read_digest(spark, bad).collect()
+
+
+def test_id_store_small_nodes_and_hot_chunks(spark, docs, monkeypatch):
+    """Many levels of the manifest, every chunk a hot one, many buckets, numbers as texts."""
+    want = count(rows(id_store.round_trip(spark, docs), "doc_id", "start", "n_tokens", "ids_crc32"))
+    monkeypatch.setattr(id_store, "FANOUT_BITS", 2)
+    monkeypatch.setattr(id_store, "HOT_USES", 1)
+    monkeypatch.setattr(id_store, "BUCKET_BYTES", 1 << 13)
+    assert count(rows(id_store.round_trip(spark, docs), "doc_id", "start", "n_tokens", "ids_crc32")) == want
+    numbers = spark.createDataFrame([("2", 17), ("1", None)], "doc_id string, text int")
+    assert [r[0] for r in rows(id_store.round_trip(spark, numbers).orderBy("start"), "doc_id")] == [1, 2]
 
 
 # 9 personal data ------------------------------------------------------------------------------------------------
