@@ -1,8 +1,8 @@
 """Secret scans with a recursive decoding worklist.
 
 Each text is a layer. Three patterns scan a layer; encoded regions in it (URL
-escapes, Unicode and character-reference escapes, base64, and deflate or gzip
-data inside either) open as new layers, which are scanned and opened in turn
+escapes, Unicode and character-reference escapes, base64 on one line or wrapped over
+lines, and zlib, gzip (all members) or raw deflate data inside either) open as new layers, which are scanned and opened in turn
 until nothing new appears. A layer whose content was met before at the same place
 of the document is not opened again, so cycles end, while equal regions in other
 places get their own spans. Every character of a layer carries the place
@@ -12,9 +12,15 @@ a span of the stored text.
 Defined results: a null text is empty and has no spans; repeated rows give
 repeated results; an empty table gives no rows; extra columns are ignored. A
 decompressed layer is read to its end, in pieces of about `PIECE_BYTES` that end
-where no pattern and no encoded region can cross, so memory is bounded by a piece
-and the longest run without such a place; whether it is text is judged on the
-first piece. `layers_cut` counts the layers whose stream is damaged behind that.
+where no pattern and no encoded region can cross, and a layer of escapes holds the run
+between two such places, so memory is bounded by a piece and the longest run without
+such a place. `layers_cut` counts the layers whose stream is damaged or ends early.
+
+No layer is dropped for its content: the shortest match has 12 characters of printable
+ASCII, so decoded bytes without such a run can hold neither a match nor an escape, and
+base64 of fewer than 16 characters cannot hold a match. Bytes that are no UTF-8 are read as
+ASCII with the others replaced. A base64 run is read from its first character, and where
+that gives nothing from the next three (a path or name may stand before it).
 """
 
 from __future__ import annotations
@@ -44,6 +50,11 @@ PIECE_BYTES = 4 << 20
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+\r?\n[ \t]*+)+[A-Za-z0-9+/_-]+={0,2}")
+#: What decoded bytes must hold to hold a match or an escape.
+RUN = re.compile(rb"[\x20-\x7e]{12}")
+#: Bytes read as ASCII, one character each.
+ASCII_TABLE = {b: "�" for b in range(127, 256)}
 #: A character that stands in no match and no encoded region, before and after decoding.
 BREAK = re.compile(r"""[^A-Za-z0-9+/_.=:"'\x20%\\&#;{}-]""")
 SPAN = "array<struct<kind:string,start:long,end:long,base:boolean,depth:int,secret:string>>"
@@ -64,60 +75,73 @@ def base_matches(text: str) -> Iterator[tuple[str, int, int, str]]:
         yield "hex", m.start(), m.end(), m[0]
 
 
-def inflate(raw: bytes) -> Iterator[tuple[str, bool, bool]] | None:
-    """The pieces of deflate or gzip data that holds text (see pieces); None where raw is neither deflate nor gzip."""
-    if len(raw) < 8 or not (raw[:2] == b"\x1f\x8b" or (raw[0] == 0x78 and (raw[0] << 8 | raw[1]) % 31 == 0)):
-        return None
-    try:
-        d = zlib.decompressobj(47)
-        out = d.decompress(raw, PIECE_BYTES)
-    except zlib.error:
-        return None
-    return pieces(d, out)
+def inflated(raw: bytes, bits: int) -> Iterator[tuple[bytes, bool]]:
+    """(bytes, damaged) of a compressed stream, piece by piece; all members of a gzip stream."""
+    while raw:
+        d = zlib.decompressobj(bits)
+        tail = raw
+        while True:
+            try:
+                out = d.decompress(tail, PIECE_BYTES)
+            except zlib.error:
+                yield b"", True
+                return
+            tail = d.unconsumed_tail
+            if out:
+                yield out, False
+            if d.eof:
+                break
+            if not out and not tail:  # ends early
+                yield b"", True
+                return
+        raw = d.unused_data if d.unused_data[:2] == b"\x1f\x8b" else b""
 
 
-def pieces(d: zlib._Decompress, out: bytes) -> Iterator[tuple[str, bool, bool]]:
-    """(text, last, damaged) to the end of a stream that began with out; nothing where the first piece is no text."""
-    decoder = codecs.getincrementaldecoder("utf-8")()
+def inflate(raw: bytes) -> Iterator[tuple[str, bool, bool]] | None:
+    """The pieces of zlib, gzip or whole raw deflate data (see pieces); None for anything else."""
+    if len(raw) < 8:
+        return None
+    if raw[:2] == b"\x1f\x8b" or (raw[0] == 0x78 and (raw[0] << 8 | raw[1]) % 31 == 0):
+        first = next(inflated(raw, 47), (b"", True))
+        return pieces(inflated(raw, 47)) if first[0] else None
+    size, held = 0, b""
+    for out, damaged in inflated(raw, -15):
+        if damaged:
+            return None
+        size += len(out)
+        held = held or (out if RUN.search(out) else b"")
+    return pieces(inflated(raw, -15)) if size and held else None
+
+
+def pieces(stream: Iterator[tuple[bytes, bool]]) -> Iterator[tuple[str, bool, bool]]:
+    """(text, last, damaged) to the end of a stream, cut where no match can cross."""
+    decoder = codecs.getincrementaldecoder("utf-8")("replace")
     held: list[str] = []
-    first, damaged = True, False
-    while True:
-        try:
-            more = b"" if d.eof else d.decompress(d.unconsumed_tail, PIECE_BYTES)
-        except zlib.error:
-            more, damaged = b"", True
-        try:
-            text = decoder.decode(out, d.eof and not more)
-        except UnicodeDecodeError:
-            return
-        if first and not plain(text):
-            return
-        first, decoder.errors = False, "replace"
+    broken = False
+    for out, damaged in stream:
+        broken |= damaged
+        text = decoder.decode(out)
         held.append(text)
-        if not more:
-            yield "".join(held), True, damaged
-            return
         if m := BREAK.search(text[::-1]):
             cut = len(text) - m.start()
             held[-1] = text[:cut]
-            yield "".join(held), False, False
-            held = [text[cut:]]
-        out = more
-
-
-def plain(text: str) -> bool:
-    """Not empty, with hardly any control characters."""
-    odd = sum(ord(c) < 32 and c not in "\t\r\n" or ord(c) == 127 for c in text)
-    return bool(text) and odd * 20 <= len(text)
-
-
-def readable(raw: bytes) -> str | None:
-    """UTF-8 text with hardly any control characters, else None."""
+            rest = text[cut:]
+            if sum(map(len, held)) >= PIECE_BYTES // 8:
+                yield "".join(held), False, False
+                held = [rest]
+            else:
+                held.append(rest)
+    yield "".join([*held, decoder.decode(b"", True)]), True, broken
+
+
+def readable(raw: bytes) -> tuple[str, bool] | None:
+    """Decoded bytes that may hold a match, and whether each character is one byte; else None."""
+    if not RUN.search(raw):
+        return None
     try:
-        text = raw.decode()
+        return raw.decode(), raw.isascii()
     except UnicodeDecodeError:
-        return None
-    return text if plain(text) else None
+        return raw.decode("latin-1").translate(ASCII_TABLE), True
 
 
 class Layer:
@@ -125,50 +149,60 @@ class Layer:
 
     __slots__ = ("text", "start", "end", "touched", "path")
 
-    def __init__(self, text: str, start: list[int], end: list[int], touched: list[bool], path: tuple[str, ...]) -> None:
+    def __init__(self, text: str, start: array, end: array, touched: bytearray, path: tuple[str, ...]) -> None:
         self.text, self.start, self.end, self.touched, self.path = text, start, end, touched, path
 
     def key(self) -> bytes:
         """Content and place."""
         h = hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16)
-        for part in (array("q", self.start), array("q", self.end), bytes(self.touched)):
+        for part in (self.start, self.end, self.touched):
             h.update(part)
         return h.digest()
 
 
-def _line(text: str, lo: int, hi: int) -> tuple[int, int]:
-    a, z = text.rfind("\n", 0, lo) + 1, text.find("\n", hi)
-    return a, len(text) if z < 0 else z
+def _runs(text: str, pattern: re.Pattern) -> Iterator[tuple[int, int, list[re.Match]]]:
+    """The runs between two places that no match can cross which hold escapes: bounds and escapes."""
+    lo, hi, met = 0, -1, []
+    for m in pattern.finditer(text):
+        if m.start() >= hi:
+            if met:
+                yield lo, hi, met
+            size, gap = 4096, None  # look back in growing steps
+            while not (gap := BREAK.search(text[max(0, m.start() - size) : m.start()][::-1])) and size < m.start():
+                size *= 4
+            lo = m.start() - gap.start() if gap else 0
+            behind = BREAK.search(text, m.end())
+            hi, met = behind.start() if behind else len(text), []
+        met.append(m)
+    if met:
+        yield lo, hi, met
 
 
 def _escapes(text: str, get, name: str, pattern: re.Pattern, turn) -> Iterator[tuple[str, Layer]]:  # noqa: ANN001
-    """Lines that hold escapes, as layers with the escapes turned into characters."""
-    at = 0
-    while m := pattern.search(text, at):
-        a, z = _line(text, m.start(), m.end())
-        out, start, end, touched = [], [], [], []
-
-        def copy(lo: int, hi: int) -> None:
-            for i in range(lo, hi):
+    """Runs that hold escapes, as layers with the escapes turned into characters."""
+    for lo, hi, met in _runs(text, pattern):
+        out: list[str] = []
+        start, end, touched = array("q"), array("q"), bytearray()
+
+        def copy(a: int, z: int) -> None:
+            out.append(text[a:z])
+            for i in range(a, z):
                 s, e, t = get(i)
-                out.append(text[i])
                 start.append(s)
                 end.append(e)
                 touched.append(t)
 
-        last = a
-        for m in pattern.finditer(text, m.start(), z):
+        last = lo
+        for m in met:
             copy(last, m.start())
-            s, e = get(m.start())[0], get(m.end() - 1)[1]
-            for c in turn(m[0]):
-                out.append(c)
-                start.append(s)
-                end.append(e)
-                touched.append(True)
+            new = turn(m[0])
+            out.append(new)
+            start.extend([get(m.start())[0]] * len(new))
+            end.extend([get(m.end() - 1)[1]] * len(new))
+            touched.extend(b"\1" * len(new))
             last = m.end()
-        copy(last, z)
+        copy(last, hi)
         yield name, Layer("".join(out), start, end, touched, ())
-        at = z + 1
 
 
 def _unescape(run: str) -> str:
@@ -204,7 +238,8 @@ def opened(layer: Layer | str) -> Iterator[tuple[str, Layer, bool, bool]]:
     def inside(name: str, got: Iterator[tuple[str, bool, bool]], lo: int, hi: int) -> Iterator[tuple[str, Layer, bool, bool]]:
         s, e = get(lo)[0], get(hi - 1)[1]
         for text, last, damaged in got:
-            yield name, Layer(text, [s] * len(text), [e] * len(text), [True] * len(text), ()), last, damaged
+            n = len(text)
+            yield name, Layer(text, array("q", [s]) * n, array("q", [e]) * n, bytearray(b"\1") * n, ()), last, damaged
 
     if "%" in text:
         for name, new in _escapes(text, get, "url", URL, _unpercent):
@@ -216,28 +251,37 @@ def opened(layer: Layer | str) -> Iterator[tuple[str, Layer, bool, bool]]:
         for name, new in _escapes(text, get, "unicode", ESCAPE, _unescape):
             yield name, new, True, False
     for m in BASE64.finditer(text):
-        run = m[0]
-        core = run.rstrip("=").translate({45: 43, 95: 47})
-        if len(core) % 4 == 1:
-            core = core[:-1]
-        try:
-            raw = binascii.a2b_base64(core + "=" * (-len(core) % 4))
-        except binascii.Error:
-            continue
+        yield from _base64(m[0], range(m.start(), m.end()), get, inside)
+    if "\n" in text:
+        for m in WRAPPED.finditer(text):
+            places = [i for i in range(m.start(), m.end()) if text[i] not in " \t\r\n"]
+            yield from _base64("".join(m[0].split()), places, get, inside)
+
+
+def _base64(run: str, places, get, inside) -> Iterator[tuple[str, Layer, bool, bool]]:  # noqa: ANN001
+    """The layer inside a run of base64 characters that stand at places."""
+    run = run.rstrip("=").translate({45: 43, 95: 47})
+    for skip in range(4):
+        core = run[skip:]
+        core = core[:-1] if len(core) % 4 == 1 else core
+        if len(core) < 11:
+            return
+        raw = binascii.a2b_base64(core + "=" * (-len(core) % 4))
         got = inflate(raw)
         if got:
-            yield from inside("base64>deflate", got, m.start(), m.end())
-            continue
+            yield from inside("base64>deflate", got, places[skip], places[-1] + 1)
+            return
         inner = readable(raw)
         if inner is None:
             continue
-        start, end, byte, last = [], [], 0, len(run) - 1
-        for c in inner:
-            n = len(c.encode())
-            start.append(get(m.start() + byte * 4 // 3)[0])
-            end.append(get(m.start() + min(last, (byte + n) * 4 // 3 + ((byte + n) * 4 % 3 > 0) - 1))[1])
+        start, end, byte, last = array("q"), array("q"), 0, len(places) - 1
+        for c in inner[0]:
+            n = 1 if inner[1] else len(c.encode())
+            start.append(get(places[skip + byte * 4 // 3])[0])
+            end.append(get(places[min(last, skip + (byte + n) * 4 // 3 + ((byte + n) * 4 % 3 > 0) - 1)])[1])
             byte += n
-        yield "base64", Layer(inner, start, end, [True] * len(inner), ()), True, False
+        yield "base64", Layer(inner[0], start, end, bytearray(b"\1") * len(inner[0]), ()), True, False
+        return
 
 
 def scan(text: str) -> tuple[list[dict], int, int]:
