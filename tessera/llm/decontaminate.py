@@ -12,7 +12,8 @@ The phrases are a stated query set. They are taken in blocks of at most about
 `BLOCK` windows, each block is one broadcast of bounded size and one pass.
 
 Defined results: null or word-less texts have no words and no hits; a null or
-word-less item has no windows; repeated rows give repeated results; empty tables
+word-less item has no windows; an item with a null item_id hits words like any other, but has
+no name to count or list (n_items and items leave it out); repeated rows give repeated results; empty tables
 give no rows (documents) or no hits (benchmark); extra columns are ignored; very
 long texts form a shard of their own.
 """
@@ -197,7 +198,7 @@ def windows_of(benchmark: DataFrame, width: int) -> DataFrame:
     """Distinct windows (arrays of lower-cased words) with the item_ids that hold them."""
     lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.regexp_extract_all(lowered, F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), F.lit(1))
-    items = pick(benchmark, item_id="item_id", text="text").where("item_id is not null").select(F.col("item_id").cast("string").alias("item"), words.alias("words")).where(F.size("words") > 0)
+    items = pick(benchmark, item_id="item_id", text="text").select(F.col("item_id").cast("string").alias("item"), words.alias("words")).where(F.size("words") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - width + 1))
     windows = items.select("item", F.explode(F.transform(starts, lambda i: F.slice("words", i, width))).alias("words"))
     return windows.groupBy("words").agg(F.collect_set("item").alias("items"))
@@ -372,6 +373,6 @@ dn as (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, (selec
 dg as (select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') as g from dn),
 m as (select doc_id, i, n, item_id from dg join bw using (g, n)),
 h as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from (select distinct doc_id, i, n from m)) group by 1),
-t as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as ids from (select distinct doc_id, item_id::varchar as item from m) group by 1)
+t as (select doc_id, count(item) as n_items, string_agg(item, ',' order by item) as ids from (select distinct doc_id, item_id::varchar as item from m) group by 1)
 select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join h using (doc_id) left join t using (doc_id)"""

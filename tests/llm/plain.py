@@ -26,7 +26,7 @@ def contamination(docs, items, width=10):  # noqa: ANN001, ANN201
     for i, t in items:
         w = alnum(t)
         for k in range(max(1, len(w) - width + 1) if w else 0):
-            windows[tuple(w[k : k + width])].add(str(i))
+            windows[tuple(w[k : k + width])].update(() if i is None else (str(i),))
     sizes = {len(w) for w in windows}
     out = []
     for t in docs:
@@ -34,7 +34,7 @@ def contamination(docs, items, width=10):  # noqa: ANN001, ANN201
         for n in sizes:
             for k in range(len(w) - n + 1):
                 got = windows.get(tuple(w[k : k + n]))
-                if got:
+                if got is not None:
                     found |= got
                     hit.update(range(k, k + n))
         out.append((len(w), len(hit), sorted(found)))

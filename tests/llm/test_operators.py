@@ -72,13 +72,13 @@ def test_decontamination(spark, sf, docs, block, monkeypatch):
 
 
 def test_decontamination_odd(spark, weird, none):
-    bench = spark.createDataFrame([(1, " ".join(f"Pas{i}sage" for i in range(12))), (2, "one two"), (None, "word")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(f"Pas{i}sage" for i in range(12))), (2, "one two"), (None, "word"), (None, "alpha1 beta gamma")], "item_id long, text string")
     got = decontaminate.find(spark, weird, bench)
-    want = plain.contamination([t for (t,) in rows(weird, "text")], [(1, bench.first().text), (2, "one two")])
+    want = plain.contamination([t for (t,) in rows(weird, "text")], [tuple(r) for r in bench.collect()])
     assert count((n, sum(s["last"] - s["first"] for s in spans), tuple(items)) for n, spans, items in rows(got, "n_words", "spans", "items")) == count((n, h, tuple(i)) for n, h, i in want)
     left = decontaminate.remove(spark, weird, bench)
-    assert left.columns == weird.columns and left.where("doc_id = 8").first().text == "" and left.where("doc_id = 4").first().text is None
-    assert left.where("doc_id = 1").first().text == weird.where("doc_id = 1").first().text
+    assert left.columns == weird.columns and left.where("doc_id = 8").first().text == "" and left.where("doc_id = 10").first().text.strip() == "" and left.where("doc_id = 4").first().text is None
+    assert left.where("doc_id = 11").first().text == weird.where("doc_id = 11").first().text
     assert decontaminate.find(spark, none, bench).count() == 0 and decontaminate.digest(decontaminate.find(spark, weird, bench.limit(0))).where("contaminated").count() == 0
 
 
@@ -258,6 +258,51 @@ def test_secrets_behind_four_megabytes(lead):
     assert {(s["start"], s["end"]) for s in spans} == {(2, 2 + len(packed))}
 
 
+def test_secrets_layers_of_all_kinds():
+    secret = b"password = hunter2abc"
+    gz, z = gzip.compress(b"first member, nothing here\n") + gzip.compress(secret), zlib.compressobj(9, zlib.DEFLATED, -15)
+    raw = z.compress(secret + b" and some more text, and more of it") + z.flush()
+    b64 = lambda x: base64.b64encode(x).decode()
+    mime = base64.encodebytes(b"a long preface of plain words " * 4 + secret + b" and an end of it").decode()
+    for text, kind in (
+        (b64(gz), "base64>deflate>assign"), (b64(raw), "base64>deflate>assign"), (mime, "base64>assign"), (mime.replace("\n", "\r\n  "), "base64>assign"),
+        (b64(b"\xff\xfe" + secret + b"\x80"), "base64>assign"), (b64(bytes(range(32)) + secret), "base64>assign"), ("path/x" + b64(secret), "base64>assign"), (b64(b"token=abcdef"), "base64>assign"),
+        (b64(gzip.compress(bytes(range(256)) * 40 + b"\n" + secret + b"\n")), "base64>deflate>assign"),
+    ):
+        found = [s for s in secrets.scan(f"see ({text}) there")[0] if s["kind"] == kind]
+        assert found and found[0]["secret"].strip() in ("hunter2abc", "abcdef") and 5 <= found[0]["start"] < found[0]["end"] <= len(text) + 5, text
+    cut = b64(gzip.compress(secret + b"\n" + bytes(np.random.default_rng(0).integers(0, 256, 3000, np.uint8)))[:-900])
+    assert secrets.scan(f"a {cut} z")[2] == 1
+
+
+def test_secrets_spans_against_plain():
+    """Added spans of escapes and base64 against decoding by hand: the span covers the written form of the match, no more."""
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        value = "".join(rng.choice(list("abcdefghij0123456789"), 12))
+        match = f"token={value}"
+        lead, tail = "," + "".join(rng.choice(list("xyz é,"), rng.integers(0, 30))) + ",", ",end"
+        k = int(rng.integers(0, len(match)))
+        text = lead + match[:k] + f"%{ord(match[k]):02x}" + match[k + 1 :] + tail
+        spans = [s for s in secrets.scan(text)[0] if s["kind"] == "url>assign"]
+        assert [(s["start"], s["end"]) for s in spans] == [(len(lead), len(text) - len(tail))]
+        pre = "p" * int(rng.integers(0, 7))
+        coded = base64.b64encode((pre + "," + match + ",z").encode()).decode()
+        (got,) = [s for s in secrets.scan(lead + coded + tail)[0] if s["kind"] == "base64>assign"]
+        n = len(pre) + 1
+        assert (got["start"], got["end"]) == (len(lead) + n * 4 // 3, len(lead) + -(-(n + len(match)) * 4 // 3))
+
+
+def test_secrets_long_line_is_bounded():
+    import resource
+
+    text = "word, " * 2_000_000 + "pass%77ord=hunter22"
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    spans, _, _ = secrets.scan(text)
+    assert [(s["kind"], s["start"], s["end"]) for s in spans] == [("url>assign", 12_000_000, len(text))]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 100_000
+
+
 # 7 language model -----------------------------------------------------------------------------------------------
 
 
