@@ -5,25 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ANNUAL = r"^(?:([0-9]{4})|([0-9]{2}))([FE])?$"
-QUARTER = r"^([1-4])Q([0-9]{2}|[0-9]{4})([FE])?$"
-QUARTER_LAST = r"^([0-9]{4})Q([1-4])([FE])?$"
+#: What may stand behind a label's year or quarter; all but A are forecasts.
+MARK = "(EST|[FEA])"
+#: Quarters in either order, the year with two or four digits; nothing else in the label.
+QUARTER = rf"^([1-4])Q((?:19|20)?[0-9]{{2}}){MARK}?$"
+YEAR_QUARTER = rf"^((?:19|20)?[0-9]{{2}})Q([1-4]){MARK}?$"
+#: A year anywhere in the label; one of two digits needs a mark, so that a bare number is no year.
+ANNUAL = rf"[^0-9]((?:19|20)[0-9]{{2}})\s*{MARK}?[^A-Z0-9]"
+SHORT_ANNUAL = rf"[^0-9]([0-9]{{2}})\s*{MARK}[^A-Z0-9]"
+
+
+def compatible(text: Column) -> Column:
+    """Full-width digits, letters and blanks as plain ones: the part of compatibility normal form that labels need, JVM-side."""
+    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\u3000\u00a0"
+    return F.translate(text, wide, "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + "  ")
 
 
 def parse_label(label: Column) -> Column:
-    """struct(year, quarter, role) of labels such as 2025, 26E, 1Q26F, 2026Q1; null for anything else.
-
-    A two-digit year needs a forecast mark or a quarter, so that a bare number is no year.
-    """
-    plain = F.upper(F.regexp_replace(label, r"\s", ""))
-    part = lambda p, k: F.nullif(F.regexp_extract(plain, p, k), F.lit(""))
-    full = lambda y: F.when(F.length(y) == 2, y.cast("int") + 2000).otherwise(y.cast("int"))
-    role = lambda p, k: F.when(part(p, k).isNull(), "actual").otherwise("forecast")
-    annual = plain.rlike(ANNUAL) & ~(plain.rlike("^[0-9]{2}$"))
+    """struct(year, quarter, role) of labels such as 2025, 26E, FY2026 EST, 1Q26F, 26Q1, 2026Q1A; null for anything else."""
+    plain = F.upper(F.trim(compatible(label)))
+    dense, apart = F.regexp_replace(plain, r"\s+", ""), F.concat(F.lit(" "), plain, F.lit(" "))
+
+    def found(text: Column, pattern: str, year: int, quarter: int | None, mark: int) -> Column:
+        part = lambda k: F.regexp_extract(text, pattern, k)
+        number = F.when(F.length(part(year)) == 2, part(year).try_cast("int") + 2000).otherwise(part(year).try_cast("int"))
+        return F.struct(number.alias("year"), (part(quarter).try_cast("int") if quarter else F.lit(None).cast("int")).alias("quarter"), F.when(part(mark).isin("", "A"), "actual").otherwise("forecast").alias("role"))
+
     return (
-        F.when(plain.rlike(QUARTER), F.struct(full(part(QUARTER, 2)).alias("year"), part(QUARTER, 1).cast("int").alias("quarter"), role(QUARTER, 3).alias("role")))
-        .when(plain.rlike(QUARTER_LAST), F.struct(part(QUARTER_LAST, 1).cast("int").alias("year"), part(QUARTER_LAST, 2).cast("int").alias("quarter"), role(QUARTER_LAST, 3).alias("role")))
-        .when(annual, F.struct(full(F.coalesce(part(ANNUAL, 1), part(ANNUAL, 2))).alias("year"), F.lit(None).cast("int").alias("quarter"), role(ANNUAL, 3).alias("role")))
+        F.when(dense.rlike(QUARTER), found(dense, QUARTER, 2, 1, 3)).when(dense.rlike(YEAR_QUARTER), found(dense, YEAR_QUARTER, 1, 2, 3))
+        .when(apart.rlike(ANNUAL), found(apart, ANNUAL, 1, None, 2)).when(apart.rlike(SHORT_ANNUAL), found(apart, SHORT_ANNUAL, 1, None, 2))
     )
 
 

@@ -6,18 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def margin_gate(df: DataFrame, keys: list[str], score: str, tie: str, minimum: float, margin: float, rival: Column | None = None) -> DataFrame:
+def margin_gate(df: DataFrame, keys: list[str], score: str, ties: list[str], minimum: float, margin: float, rival: Column | None = None, certain: Column | None = None) -> DataFrame:
     """The best row of each key, selected only if its score is high enough and far enough above its rival's.
 
     The rival is the best of the other rows (of those that fulfil `rival`); without one the margin holds.
+    A best row that fulfils `certain` is selected whatever the scores say. Two aggregations with a
+    map-side combine, so a key may hold all rows.
     """
-    order = Window.partitionBy(*keys).orderBy(F.desc(score), tie)
-    behind = order.rowsBetween(1, Window.unboundedFollowing)
-    other = F.max(F.when(rival, F.col(score)) if rival is not None else F.col(score)).over(behind)
-    top = df.withColumn("_nth", F.row_number().over(order)).withColumn("rival_score", other).where("_nth = 1").drop("_nth")
+    place = F.struct((-F.col(score)).alias("_s"), *ties)
+    top = df.groupBy(*keys).agg(F.min(place).alias("_top"), F.min_by(F.struct(*[c for c in df.columns if c not in keys], (certain if certain is not None else F.lit(False)).alias("_certain")), place).alias("_row"))
+    others = df.join(top.select(*keys, "_top"), keys).where(place != F.col("_top"))
+    rivals = (others.where(rival) if rival is not None else others).groupBy(*keys).agg(F.max(score).alias("rival_score"))
+    best = top.join(rivals, keys, "left").select(*keys, "_row.*", "rival_score")
     enough = F.col(score) >= minimum
     apart = F.col("rival_score").isNull() | (F.round(F.col(score) - F.col("rival_score"), 4) >= margin)
-    return top.withColumn("decision", F.when(~enough, "below_minimum").when(~apart, "ambiguous").otherwise("selected"))
+    decision = F.when(F.col("_certain"), "selected").when(~enough, "below_minimum").when(~apart, "ambiguous").otherwise("selected")
+    return best.withColumn("decision", decision).drop("_certain")
 
 
 def top_with_reserved(df: DataFrame, keys: list[str], score: str, tie: str, reserved: Column, most: int) -> DataFrame:

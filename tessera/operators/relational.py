@@ -39,8 +39,9 @@ def search(df: DataFrame, c: str, terms: list[str], order: list[str], most: int)
 
 
 def natural(c: Column) -> Column:
-    """A sort key that puts digit-only texts in numeric order."""
-    return F.when(c.rlike("^[0-9]+$"), F.lpad(c, 12, "0")).otherwise(c)
+    """A sort key that puts digit-only texts in numeric order, however long: how many digits there are, then the digits."""
+    digits = F.regexp_replace(c, "^0+(?=[0-9])", "")
+    return F.when(c.rlike("^[0-9]+$"), F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(c)
 
 
 def keyed_merge(rows: DataFrame, key: str, content: str, order: str) -> DataFrame:

@@ -80,7 +80,7 @@ def inverse_multiple(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with p as (select p_partkey, (p_retailprice::decimal(12,2)) as eps, (1 + p_size % 3)::decimal(5,1) as base from part where p_partkey % 10 = 0),
+with p as (select p_partkey, (p_retailprice::decimal(12,2)) as eps, (1 + p_size % 3)::decimal(5,1) as base from part),
 e as (select p_partkey, base, i, (eps * (0.9 + 0.05 * i))::decimal(18,4) as axis_eps from p, range(0, 5) r(i)),
 m as (select p_partkey, o, greatest((base + o)::decimal(5,1), 0.1::decimal(5,1)) as axis_per from p, range(-2, 3) r(o)),
 d as (select p_partkey, axis_per, min(abs(o)) as near from m group by 1, 2)
@@ -88,7 +88,7 @@ select e.p_partkey, i::int as eps_step, axis_eps, axis_per, (round((axis_eps * a
 from e join d using (p_partkey)""")
 def sensitivity_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price grid around each part's earnings and multiple; a clamped axis loses its repeated steps."""
-    p = table(spark, sf_dir, "part").where("p_partkey % 10 = 0").select("p_partkey", F.col("p_retailprice").cast("decimal(12,2)").alias("eps"), (F.col("p_size") % 3 + 1).cast("decimal(5,1)").alias("base"))
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").cast("decimal(12,2)").alias("eps"), (F.col("p_size") % 3 + 1).cast("decimal(5,1)").alias("base"))
     g = valuation.sensitivity_grid(p, ["p_partkey"], "eps", "base")
     return g.select("p_partkey", "eps_step", "axis_eps", "axis_per", F.col("price").cast("long").alias("price"), "is_current")
 

@@ -39,13 +39,13 @@ def stance_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with q as (select o_orderkey as question, o_orderpriority as need from orders where o_orderkey % 5 = 0), e as (select l_orderkey as question, l_linenumber as id, l_suppkey as source, l_returnflag as metric, l_discount > 0.05 as contradicts, l_quantity > 10 as passed from lineitem),
+with q as (select o_orderkey as question, o_orderpriority as need from orders), e as (select l_orderkey as question, l_linenumber as id, l_suppkey as source, l_returnflag as metric, l_discount > 0.05 as contradicts, l_quantity > 10 as passed from lineitem),
 a as (select q.question, count(id) filter (where passed) as evidence, count(distinct source) filter (where passed) as sources, count(distinct metric) filter (where passed) as covered,
   count(*) filter (where passed and not contradicts) as s, count(*) filter (where passed and contradicts) as c from q left join e using (question) group by 1)
 select question, evidence, sources, covered, case when evidence = 0 then 'blocked' when sources < 2 then 'single_source' when covered < 2 then 'caveat' else 'ready' end as gate, case when evidence = 0 then 'indeterminate' when c = 0 then 'positive' when s = 0 then 'negative' else 'neutral' end as decision from a""")
 def question_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coverage, source count and stance of each question's passed evidence, and what they allow."""
-    q = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("question"))
+    q = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("question"))
     e = table(spark, sf_dir, "lineitem").where("l_quantity > 10").select(F.col("l_orderkey").alias("question"), "l_suppkey", "l_returnflag", (F.col("l_discount") > 0.05).alias("contradicts"))
     a = q.join(e, "question", "left").groupBy("question").agg(F.count("l_suppkey").alias("evidence"), F.count_distinct("l_suppkey").alias("sources"), F.count_distinct("l_returnflag").alias("covered"), F.count_if(~F.col("contradicts")).alias("s"), F.count_if(F.col("contradicts")).alias("c"))
     gate = F.when(F.col("evidence") == 0, "blocked").when(F.col("sources") < 2, "single_source").when(F.col("covered") < 2, "caveat").otherwise("ready")

@@ -9,15 +9,36 @@ from ..functions import periods as P
 from ..registry import query, table
 
 
-@query("""
-with l as (select o_orderkey, year(o_orderdate)::int as y, quarter(o_orderdate)::int as q from orders),
-t as (select o_orderkey, case o_orderkey % 6 when 0 then y::varchar when 1 then q || 'Q' || lpad((y % 100)::varchar, 2, '0') || 'F' when 2 then y || 'Q' || q when 3 then lpad((y % 100)::varchar, 2, '0') || 'e' when 4 then q || 'q ' || y else 'n/a ' || y end as label, y, q from l)
-select o_orderkey, label, case when o_orderkey % 6 = 5 then null when o_orderkey % 6 in (1, 3) then 2000 + y % 100 else y end as year, case when o_orderkey % 6 in (1, 2, 4) then q end as quarter,
-  case o_orderkey % 6 when 5 then null when 1 then 'forecast' when 3 then 'forecast' else 'actual' end as role from t""")
+#: Ways to write a period, with what they mean: written around year, short year and quarter; the twin says the meaning, not the grammar.
+LABELS = [
+    ("{y}", "y", None, "actual"), ("{q}Q{yy}F", "s", "q", "forecast"), ("{y}Q{q}", "y", "q", "actual"), ("{yy}e", "s", None, "forecast"), ("{q}q {y}", "y", "q", "actual"), ("n/a", None, None, None),
+    ("{yy}Q{q}", "s", "q", "actual"), ("{y}A", "y", None, "actual"), ("{yy} est", "s", None, "forecast"), ("FY {y} F", "y", None, "forecast"), ("{q}Q{y}EST", "y", "q", "forecast"), ("５Q{yy}", None, None, None),
+    ("２０25E", "2025", None, "forecast"), ("{yy}", None, None, None), ("{q} Q {yy} a", "s", "q", "actual"), ("{y}X", None, None, None), ("2{y}", None, None, None),
+]
+
+
+def _said(k: int, year: str | None, quarter: str | None, role: str | None) -> str:
+    number = {"y": "y", "s": "2000 + y % 100", None: "null"}.get(year, year)
+    return f"when {k} then {{'year': ({number})::int, 'quarter': ({'q' if quarter else 'null'})::int, 'role': {repr(role) if role else 'null::varchar'}}}"
+
+
+def _text(form: str) -> str:
+    parts = form.replace("{yy}", "\0s\0").replace("{y}", "\0y\0").replace("{q}", "\0q\0").split("\0")
+    return "||".join({"y": "y::varchar", "s": "lpad((y % 100)::varchar, 2, '0')", "q": "q::varchar"}.get(p, f"'{p}'") if k % 2 else f"'{p}'" for k, p in enumerate(parts))
+
+
+@query(f"""
+with l as (select o_orderkey, year(o_orderdate)::int as y, quarter(o_orderdate)::int as q, (o_orderkey % {len(LABELS)})::int as k from orders),
+t as (select o_orderkey, case k {' '.join(f'when {k} then {_text(x[0])}' for k, x in enumerate(LABELS))} end as label, case k {' '.join(_said(k, *x[1:]) for k, x in enumerate(LABELS))} end as p from l)
+select o_orderkey, label, p.year as year, p.quarter as quarter, p.role as role from t""")
 def period_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, y, q = F.col("o_orderkey"), F.year("o_orderdate").cast("string"), F.quarter("o_orderdate").cast("string")
+    """Period labels in all their forms: year, quarter and role, or nothing."""
+    y, q = F.year("o_orderdate").cast("string"), F.quarter("o_orderdate").cast("string")
     yy = F.lpad((F.year("o_orderdate") % 100).cast("string"), 2, "0")
-    label = F.when(k % 6 == 0, y).when(k % 6 == 1, F.concat(q, F.lit("Q"), yy, F.lit("F"))).when(k % 6 == 2, F.concat(y, F.lit("Q"), q)).when(k % 6 == 3, F.concat(yy, F.lit("e"))).when(k % 6 == 4, F.concat(q, F.lit("q "), y)).otherwise(F.concat(F.lit("n/a "), y))
+    label = F.lit(None).cast("string")
+    for k, (form, *_) in enumerate(LABELS):
+        written = F.replace(F.replace(F.replace(F.lit(form), F.lit("{yy}"), yy), F.lit("{y}"), y), F.lit("{q}"), q)
+        label = F.when(F.col("o_orderkey") % len(LABELS) == k, written).otherwise(label)
     o = table(spark, sf_dir, "orders").select("o_orderkey", label.alias("label")).withColumn("p", P.parse_label(F.col("label")))
     return o.select("o_orderkey", "label", "p.year", "p.quarter", "p.role")
 

@@ -21,16 +21,47 @@ def quota_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
 SLOTS = "(values ('copper', 'STANDARD'), ('brushed', 'ECONOMY'), ('nickel', 'PROMO'), ('steel', 'LARGE')) s(word, kind)"
 
 
+SCORED = f"""sc as (select s.word as slot, p_partkey, p_brand = 'Brand#7' and p_size = 50 as contract, p_brand = 'Brand#3' as model, p_type like s.kind || '%' as period, p_size % 5 = 0 as structured,
+  round((case when lower(p_name) like '%' || s.word || '%' then 0.5 else 0 end + case when p_type like s.kind || '%' then 0.3 else 0 end + p_size / 250.0)::double, 4) as score from part, {SLOTS})"""
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as candidates of four slots, with the reasons that a mapping knows."""
+    slots = spark.createDataFrame([("copper", "STANDARD"), ("brushed", "ECONOMY"), ("nickel", "PROMO"), ("steel", "LARGE")], "slot string, kind string")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size").join(F.broadcast(slots), how="cross")  # four slots
+    score = F.when(F.contains(F.lower("p_name"), "slot"), 0.5).otherwise(0.0) + F.when(F.startswith("p_type", "kind"), 0.3).otherwise(0.0) + F.col("p_size") / 250.0
+    return p.select(
+        "slot", "p_partkey", ((F.col("p_brand") == "Brand#7") & (F.col("p_size") == 50)).alias("contract"), (F.col("p_brand") == "Brand#3").alias("model"), F.startswith("p_type", "kind").alias("period"),
+        (F.col("p_size") % 5 == 0).alias("structured"), F.round(score, 4).alias("score"),
+    )
+
+
 @query(f"""
-with sc as (select s.word as slot, p_partkey, round((case when lower(p_type) like '%' || s.word || '%' then 0.5 else 0 end + case when p_type like s.kind || '%' then 0.3 else 0 end + p_size / 250.0)::double, 4) as score from part, {SLOTS}),
-r as (select *, row_number() over w as nth, lead(score) over w as rival from sc window w as (partition by slot order by score desc, p_partkey))
-select slot, p_partkey, score, rival as rival_score, case when score < 0.6 then 'below_minimum' when rival is not null and round(score - rival, 4) < 0.01 then 'ambiguous' else 'selected' end as decision from r where nth = 1""")
+with {SCORED}, r as (select *, row_number() over w as nth, lead(score) over w as rival from sc window w as (partition by slot order by score desc, p_partkey))
+select slot, p_partkey, score, rival as rival_score, case when score < 0.45 then 'below_minimum' when rival is not null and round(score - rival, 4) < 0.004 then 'ambiguous' else 'selected' end as decision from r where nth = 1""")
 def margin_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Additive scores of parts for a few slots; the best is taken only with a margin over the next."""
-    slots = spark.createDataFrame([("copper", "STANDARD"), ("brushed", "ECONOMY"), ("nickel", "PROMO"), ("steel", "LARGE")], "slot string, kind string")
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size").join(F.broadcast(slots), how="cross")  # four slots
-    score = F.when(F.contains(F.lower("p_type"), "slot"), 0.5).otherwise(0.0) + F.when(F.startswith("p_type", "kind"), 0.3).otherwise(0.0) + F.col("p_size") / 250.0
-    return R.margin_gate(p.withColumn("score", F.round(score, 4)), ["slot"], "score", "p_partkey", 0.6, 0.01).select("slot", "p_partkey", "score", "rival_score", "decision")
+    return R.margin_gate(_scored(spark, sf_dir), ["slot"], "score", ["p_partkey"], 0.45, 0.004).select("slot", "p_partkey", "score", "rival_score", "decision")
+
+
+@query(f"""
+with {SCORED}, b as (select slot, p_partkey, contract, model, period, case when contract then 1.0 else score end as score from sc), r as (select *, row_number() over w as nth, lead(score) over w as rival from b window w as (partition by slot order by score desc, p_partkey))
+select slot, p_partkey, score, rival as rival_score, case when contract or (score >= 0.3 and model and period) then 'selected' when score < 0.45 then 'below_minimum' when rival is not null and round(score - rival, 4) < 0.004 then 'ambiguous' else 'selected' end as decision from r where nth = 1""")
+def scalar_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scalar slot: a documented contract is certain, a row of the model sheet in the right period needs no margin."""
+    sc = _scored(spark, sf_dir).withColumn("score", F.when(F.col("contract"), 1.0).otherwise(F.col("score")))
+    certain = F.col("contract") | ((F.col("score") >= 0.3) & F.col("model") & F.col("period"))
+    return R.margin_gate(sc, ["slot"], "score", ["p_partkey"], 0.45, 0.004, certain=certain).select("slot", "p_partkey", "score", "rival_score", "decision")
+
+
+@query(f"""
+with {SCORED}, r as (select *, row_number() over (partition by slot order by score desc, structured desc, p_partkey) as nth from sc), v as (select slot, max(score) as rival from r where nth > 1 and (contract or structured) group by 1)
+select r.slot, p_partkey, score, rival as rival_score, case when contract then 'selected' when score < 0.45 then 'below_minimum' when rival is not null and round(score - rival, 4) < 0.004 then 'ambiguous' else 'selected' end as decision from r left join v using (slot) where nth = 1""")
+def table_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table slot: only structured ranges and documented contracts are rivals, and a contract is certain."""
+    sc = _scored(spark, sf_dir).withColumn("loose", ~F.col("structured"))
+    out = R.margin_gate(sc, ["slot"], "score", ["loose", "p_partkey"], 0.45, 0.004, rival=F.col("contract") | F.col("structured"), certain=F.col("contract"))
+    return out.select("slot", "p_partkey", "score", "rival_score", "decision")
 
 
 @query("""

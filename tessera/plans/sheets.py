@@ -37,11 +37,11 @@ def header_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-with x as (select sheet, min(c) as a, max(c) as z from {CELLS} where sheet < 40 group by 1), g as (select s.sheet, s.r, unnest(range(a, z + 1)) as c from (select distinct sheet, r from {CELLS}) s join x using (sheet))
+with x as (select sheet, min(c) as a, max(c) as z from {CELLS} group by 1), g as (select s.sheet, s.r, unnest(range(a, z + 1)) as c from (select distinct sheet, r from {CELLS}) s join x using (sheet))
 select g.sheet, g.r, string_agg(coalesce(v::int::varchar, ''), '|' order by g.c) as line from g left join {CELLS} y on y.sheet = g.sheet and y.r = g.r and y.c = g.c group by 1, 2""")
 def dense_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sparse cells as full rows, blanks filled."""
-    cells = _cells(spark, sf_dir).where("sheet < 40").withColumn("text", F.col("v").cast("int").cast("string"))
+    cells = _cells(spark, sf_dir).withColumn("text", F.col("v").cast("int").cast("string"))
     return S.matrix(cells, ["sheet"], "r", "c", "text").select("sheet", "r", F.array_join("line", "|").alias("line"))
 
 

@@ -27,12 +27,12 @@ def number_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with q as (select doc_id, text, substring(text, 101, 20) as quote from documents where length(text) > 150)
+with q as (select doc_id, text, substring(text, 101, 20) as quote from documents)
 select doc_id, position(quote in text) > 0 as found, case when position(quote in text) > 0 then position(quote in text)::int - 1 end as "offset",
   substring(text, greatest(position(quote in text)::int - 80, 1), position(quote in text)::int - greatest(position(quote in text)::int - 80, 1) + length(quote)::int + 80) as context from q""")
 def quote_ground(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where a quote stands in its source, with what surrounds it."""
-    d = table(spark, sf_dir, "documents").where("length(text) > 150").withColumn("quote", F.substring("text", 101, 20))
+    d = table(spark, sf_dir, "documents").withColumn("quote", F.substring("text", 101, 20))
     return d.select("doc_id", T.quote_at(F.col("text"), F.col("quote")).alias("q")).select("doc_id", "q.*")
 
 

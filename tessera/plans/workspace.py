@@ -112,16 +112,16 @@ def record_locator(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with v as (select l_orderkey, l_linenumber, l_partkey, (l_quantity::decimal(12,2)) as before_value, case when l_discount > 0.04 then (l_quantity::decimal(12,2)) * 2 else l_quantity::decimal(12,2) end as after_value from lineitem where l_linenumber = 1),
-b as (select *, count(*) over (partition by l_orderkey) as n from v)
-select l_orderkey, l_partkey, before_value, after_value::decimal(14,2) as after_value, case when n > 1 then 'DUPLICATE_DESTINATION' when before_value = after_value then 'unchanged' when after_value > 90 then 'OUT_OF_RANGE' else 'planned' end as status from b""")
+with v as (select l_orderkey, l_linenumber, l_partkey, (l_quantity::decimal(12,2)) as before_value, case when l_discount > 0.04 then (l_quantity::decimal(12,2)) * 2 else l_quantity::decimal(12,2) end as after_value from lineitem),
+b as (select *, count(*) over (partition by l_orderkey, l_linenumber) as n from v)
+select l_orderkey, l_linenumber, l_partkey, before_value, after_value::decimal(14,2) as after_value, case when n > 1 then 'DUPLICATE_DESTINATION' when before_value = after_value then 'unchanged' when after_value > 90 then 'OUT_OF_RANGE' else 'planned' end as status from b""")
 def patch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write-back commands with their blockers."""
     q = F.col("l_quantity").cast("decimal(12,2)")
-    v = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_partkey", q.alias("before_value"), F.when(F.col("l_discount") > 0.04, q * 2).otherwise(q).cast("decimal(14,2)").alias("after_value"))
-    v = v.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("l_orderkey")))
+    v = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", q.alias("before_value"), F.when(F.col("l_discount") > 0.04, q * 2).otherwise(q).cast("decimal(14,2)").alias("after_value"))
+    v = v.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("l_orderkey", "l_linenumber")))
     status = W.state_machine([("DUPLICATE_DESTINATION", F.col("n") > 1), ("unchanged", F.col("before_value") == F.col("after_value")), ("OUT_OF_RANGE", F.col("after_value") > 90)], "planned")
-    return v.select("l_orderkey", "l_partkey", "before_value", "after_value", status.alias("status"))
+    return v.select("l_orderkey", "l_linenumber", "l_partkey", "before_value", "after_value", status.alias("status"))
 
 
 @query("""
@@ -149,8 +149,9 @@ def nearest_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest marker of each item in its lane, before or behind: two carried values, no pairs."""
     e = table(spark, sf_dir, "events").withColumn("at", F.unix_millis(F.col("ts").cast("timestamp"))).where("event_type in ('error', 'click')")
     mark = F.when(F.col("event_type") == "error", F.struct("at", "event_id"))
-    w = Window.partitionBy("user_id").orderBy("at", "event_id")
-    e = e.withColumn("b", F.last(mark, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("f", F.first(mark, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    lane = Window.partitionBy("user_id").rowsBetween(Window.unboundedPreceding, 0)
+    # Growing frames in both directions: one pass each, where a shrinking frame is quadratic.
+    e = e.withColumn("b", F.last(mark, True).over(lane.orderBy("at", "event_id"))).withColumn("f", F.last(mark, True).over(lane.orderBy(F.desc("at"), F.desc("event_id"))))
     gap = lambda c: F.abs(F.col(f"{c}.at") - F.col("at"))
     nearest = F.when(F.col("f").isNull() | (gap("b") < gap("f")) | ((gap("b") == gap("f")) & (F.col("b.event_id") < F.col("f.event_id"))), F.col("b.event_id")).otherwise(F.col("f.event_id"))
     return e.where("event_type = 'click'").select("event_id", nearest.alias("nearest"))
