@@ -337,21 +337,54 @@ def test_lm_scores(spark, docs, weird, none):
     assert lm_score.score(spark, none).count() == 0
 
 
-def test_suffix_tree_sums_to_one(docs):
-    s = lm_score.symbols(*__import__("tessera.llm.common", fromlist=["text_bytes"]).text_bytes(__import__("pyarrow").array([r.text for r in docs.limit(20).collect()])))
-    key, n = np.unique(lm_score.grams(s[2], s[3]), return_counts=True)
-    pairs, contexts = [], []
-    for d in range(lm_score.DEPTH + 1):
-        for out, k in ((pairs, key & np.uint64((1 << (8 * (d + 1))) - 1)), (contexts, (key >> np.uint64(8)) & np.uint64((1 << (8 * d)) - 1))):
-            u, at = np.unique(k, return_inverse=True)
-            c = np.bincount(at, n, len(u)).astype(int)
-            keep = c >= (2 if d else 1)
-            out.append((u[keep], c[keep]))
-    tree = lm_score.Tree(pairs, contexts)
-    assert len(tree.states[2]) > 5
-    for context in (key[::997] >> np.uint64(8)).tolist():
-        p = 10 ** tree.log10((np.uint64(context) << np.uint64(8)) | np.arange(256, dtype=np.uint64))
-        assert p.sum() == pytest.approx(1, abs=1e-9)
+def plain_tree(texts):  # noqa: ANN001, ANN201
+    """log10 of a symbol behind a context, by dictionaries and recursion."""
+    depth, c, n = lm_score.DEPTH, Counter(), Counter()
+    coded = lambda t: (" ".join(plain.spaced(t)) + "\n").encode()
+    for t in texts:
+        s = b"\n" * depth + coded(t)
+        for k in range(depth, len(s)):
+            for d in range(depth + 1):
+                c[s[k - d : k + 1]] += 1
+                n[s[k - d : k]] += 1
+    total, following = n[b""], {}
+    for g, k in c.items():
+        following.setdefault(g[:-1], {})[g[-1]] = k
+    states = {x for x in n if 0 < len(x) <= lm_score.SHORT and n[x] >= lm_score.MIN_CONTEXT}
+    for x in n:
+        if len(x) > lm_score.SHORT and n[x] >= lm_score.MIN_CONTEXT:
+            gain = sum(k * math.log((k / n[x]) / (c[x[1:] + bytes([b])] / n[x[1:]])) for b, k in following[x].items())
+            if gain >= lm_score.DIVERGENCE:
+                states |= {x[i:] for i in range(len(x) - lm_score.SHORT)}
+
+    def p(x, b):  # noqa: ANN001, ANN202
+        if not x:
+            return (c[bytes([b])] + 0.5) / (total + 128)
+        if x not in states:
+            return p(x[1:], b)
+        said = {y: k for y, k in following[x].items() if k >= lm_score.MIN_PAIR}
+        weight = lm_score.PRIOR + n[x] - sum(said.values())
+        return (said.get(b, 0) + weight * p(x[1:], b)) / (sum(said.values()) + weight)
+
+    def score(t):  # noqa: ANN001, ANN202
+        s = b"\n" * depth + coded(t)
+        return sum(math.log10(p(s[k - depth : k], s[k])) for k in range(depth, len(s)))
+
+    return p, score
+
+
+def test_suffix_tree_against_plain(spark, docs, monkeypatch):
+    """Every score against the plain tree, whether n-grams are in the broadcast or joined, in one chunk or many."""
+    some = docs.where("length(text) < 1500").limit(60)
+    base = rows(some, "doc_id", "text")
+    p, score = plain_tree([t for i, t in base if zlib.crc32(str(i).encode()) % 5 != 1])
+    for x in (b"\n", b" the", b"tion ", b"e", b"zzz"):
+        assert sum(p(x, b) for b in range(256)) == pytest.approx(1, abs=1e-9)
+    want = {i: score(t) for i, t in base}
+    for common, grown in ((lm_score.COMMON, lm_score.GROWN), (300, 50)):
+        monkeypatch.setattr(lm_score, "COMMON", common)
+        monkeypatch.setattr(lm_score, "GROWN", grown)
+        assert dict(rows(lm_score.score(spark, some), "doc_id", "score")) == pytest.approx(want, rel=1e-9)
 
 
 # 8 id store -----------------------------------------------------------------------------------------------------
