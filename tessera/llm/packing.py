@@ -7,8 +7,8 @@ feasible company for it; the combination is removed as often as the counters
 allow. The plan is a set of (length, rank range) -> (sequence, offset) runs;
 every piece finds its own place by its rank among the pieces of its length.
 
-Defined results: a null text is empty (one piece holding the end id); repeated
-rows are packed once each; an empty table gives no rows; extra columns are
+Defined results: a null text is empty (one piece holding the end id); a null doc_id is
+packed like any other; repeated rows are packed once each; an empty table gives no rows; extra columns are
 ignored. Ranks follow the written piece table, so any order is as good.
 """
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pick, shared_table, short_batches, slices
+from .common import pick, shared_table, short_batches, slices, small
 from .encoding import default_tokenizer, encode_column
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
@@ -54,7 +54,8 @@ def piece_table(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) ->
                     at += n
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
 
-    return pick(docs, doc_id="doc_id", text="text").mapInArrow(cut, PIECES)
+    rows = pick(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.mapInArrow(cut, PIECES)
 
 
 def fullest(counts: np.ndarray, room: int) -> list[int]:
@@ -103,7 +104,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, cap
     pieces = shared_table(spark, piece_table(docs, tokenizer or default_tokenizer(), capacity, end_id), "pieces")
     by_part = shared_table(spark, pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     ahead = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = by_part.select("length", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
+    base = shared_table(spark, by_part.select("length", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base")), "piece-bases")
     counts = np.zeros(capacity + 1, np.int64)
     for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most `capacity` rows
         counts[r.length] = r.n
@@ -120,5 +121,5 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, cap
             cols = [b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(runs[at, 3] + rank - runs[at, 1]), pa.array(runs[at, 4])], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    ranked = pieces.join(base, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
+    ranked = pieces.join(small(base), ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
     return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

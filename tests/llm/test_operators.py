@@ -159,6 +159,49 @@ def test_kneser_ney_sums_to_one():
         assert p + math.exp(m.log_probs(np.array([(context << np.uint64(16)) | np.uint64(9999)]))[0, 0]) == pytest.approx(1, abs=1e-4)
 
 
+def plain_kneser_ney(texts):  # noqa: ANN001, ANN201
+    """Nats a character of a text for each language, by dictionaries: interpolated Kneser-Ney over characters."""
+    import unicodedata
+
+    order = language_id.ORDER
+
+    def chars(t):  # noqa: ANN001, ANN202
+        return " " * (order - 1) + " ".join("".join(c if unicodedata.category(c)[0] in "LM" else " " for c in t.lower()).split()) + " "
+
+    def grams(t, n):  # noqa: ANN001, ANN202
+        return [chars(t)[k - n + 1 : k + 1] for k in range(order - 1, len(chars(t)))]
+
+    models = {}
+    for lang in {x for x, _ in texts}:
+        c = {order: Counter(g for x, t in texts if x == lang for g in grams(t, order))}
+        for n in range(order - 1, 0, -1):
+            c[n] = Counter(g[1:] for g in c[n + 1])
+        models[lang] = c
+    alphabet = len({g for c in models.values() for g in c[1]}) + 1
+
+    def p(c, g):  # noqa: ANN001, ANN202
+        n = len(g)
+        if not n:
+            return 1 / alphabet
+        n1, n2 = (sum(x == k for x in c[n].values()) for k in (1, 2))
+        d = min(0.95, max(0.1, n1 / (n1 + 2 * n2) if n1 + n2 else 0.5))
+        same = [k for h, k in c[n].items() if h[:-1] == g[:-1]]
+        return p(c, g[1:]) if not same else (max(c[n][g] - d, 0) + d * len(same) * p(c, g[1:])) / sum(same)
+
+    return lambda t: {lang: -sum(math.log(p(c, g)) for g in grams(t, order)) / len(grams(t, order)) for lang, c in models.items()}
+
+
+def test_kneser_ney_against_plain(docs):
+    texts = [(r.lang, r.text[:300]) for r in docs.where("lang in ('en', 'fr') and length(text) > 200").limit(12).collect()]
+    langs = sorted({x for x, _ in texts})
+    counted = {x: np.unique(language_id.grams(*language_id.symbols([t for y, t in texts if y == x])[:2])[0], return_counts=True) for x in langs}
+    plain_h = plain_kneser_ney(texts)
+    asked = [texts[0][1][:60], "Zażółć gęślą jaźń, 123 the END", "a", "  the ,cat  ", "日本語"]
+    got = language_id.Models(counted).cross_entropies(asked)[0]
+    for k, t in enumerate(asked):
+        assert list(got[k]) == pytest.approx([plain_h(t)[x] for x in langs], rel=1e-4), t
+
+
 # 4 packing ------------------------------------------------------------------------------------------------------
 
 
