@@ -10,15 +10,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rounds after which a growing table is written as one again.
+COMPACT = 8
+
+
 @functools.cache
 def _own_dir() -> str:
     return tempfile.mkdtemp(prefix="tessera-")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names; where it is unset, a temporary one serves a local master only."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(root or _own_dir()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage of an iteration: a table in the folder that spark.checkpoint.dir names, or an own one where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """Cut the lineage of an iteration: a table in the shared folder."""
+    path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -38,6 +49,8 @@ def closure(spark: SparkSession, edges: DataFrame, seeds: DataFrame | None = Non
         nxt = fresh.select("src", F.col("dst").alias("_m")).join(step.select(F.col("src").alias("_m"), "dst"), "_m").select("src", "dst").distinct()
         fresh = stored(spark, nxt.join(every.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)), "closure")
         every = every.unionByName(fresh)
+        if depth % COMPACT == 0:
+            every = stored(spark, every, "closure")
     return every
 
 

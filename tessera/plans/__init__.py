@@ -1,3 +1,3 @@
 """Registered queries, by family."""
 
-from . import collection, decimals, evidence, graphs, periods, pointintime, ranking, relational, reporting, sheets, streams, texts, validation, workspace  # noqa: F401
+from . import collection, decimals, evidence, graphs, periods, pointintime, ranking, relational, reporting, sheets, sources, streams, texts, validation, workspace  # noqa: F401

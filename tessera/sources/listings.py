@@ -7,10 +7,12 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import decode_entities
+from ..operators.graph import stored
 
 
 def html_table(df: DataFrame, html: str, names: list[str]) -> DataFrame:
@@ -64,9 +66,19 @@ def collect_sources(spark: SparkSession, sources: dict[str, Callable[[], DataFra
 
 
 def put_immutable(df: DataFrame, root: str, key: str, content: str) -> DataFrame:
-    """Write contents below root/<key>=<hash>, never over another: returns key, content_hash, path; a key with two contents is an error row."""
-    g = df.groupBy(key).agg(F.min(content).alias("_c"), (F.min(content) != F.max(content)).alias("_conflict"))
-    g = g.withColumn("content_hash", F.sha2("_c", 256))
-    ok = g.where("not _conflict").select(F.col(key).cast("string").alias(key), "content_hash", F.col("_c").alias("content"))
-    ok.write.mode("errorifexists").parquet(root)
-    return g.select(key, "content_hash", F.when(F.col("_conflict"), "content_conflict").otherwise("stored").alias("status"))
+    """Add contents below root, never over another: key, content_hash and what became of them.
+
+    A key with two contents, or with another one than root holds, is a content_conflict and
+    stays out; one that root holds already is kept; any other is stored.
+    """
+    spark = df.sparkSession
+    g = df.groupBy(F.col(key).cast("string").alias(key)).agg(F.min(content).alias("content"), (F.min(content) != F.max(content)).alias("_conflict"))
+    g = g.withColumn("content_hash", F.sha2("content", 256))
+    try:
+        have = spark.read.parquet(root).select(key, F.col("content_hash").alias("_have"))
+    except AnalysisException:  # nothing there yet
+        have = spark.createDataFrame([], f"{key} string, _have string")
+    status = F.when(F.col("_conflict") | (F.col("_have") != F.col("content_hash")), "content_conflict").when(F.col("_have").isNotNull(), "kept").otherwise("stored")
+    told = stored(spark, g.join(have, key, "left").withColumn("status", status), "puts")
+    told.where("status = 'stored'").select(key, "content_hash", "content").write.mode("append").parquet(root)
+    return told.select(key, "content_hash", "status")

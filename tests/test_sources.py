@@ -39,3 +39,8 @@ def test_listings(spark, tmp_path):
     assert ok.count() == 2 and warned.first().source == "bad"
     put = listings.put_immutable(spark.createDataFrame([("k", "x"), ("k", "x"), ("m", "y"), ("m", "z")], "key string, c string"), str(tmp_path / "store"), "key", "c")
     assert {r.key: r.status for r in put.collect()} == {"k": "stored", "m": "content_conflict"}
+    again = listings.put_immutable(spark.createDataFrame([("k", "x"), ("n", "new"), ("k2", None)], "key string, c string"), str(tmp_path / "store"), "key", "c")
+    other = listings.put_immutable(spark.createDataFrame([("k", "changed"), ("n", "new")], "key string, c string"), str(tmp_path / "store"), "key", "c")
+    assert {r.key: r.status for r in again.collect()} == {"k": "kept", "n": "stored", "k2": "stored"}
+    assert {r.key: r.status for r in other.collect()} == {"k": "content_conflict", "n": "kept"}
+    assert {r.key: r.content for r in spark.read.parquet(str(tmp_path / "store")).collect()} == {"k": "x", "n": "new", "k2": None}
