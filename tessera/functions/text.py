@@ -42,9 +42,14 @@ def meta(html: Column, name: str) -> Column:
 
 
 def json_ld(html: Column, field: str) -> Column:
-    """A field of the first JSON-LD block that has it, at its top or inside @graph."""
+    """A field of the first JSON-LD node that has it: a block itself, then all nodes of its @graph."""
     blocks = F.regexp_extract_all(html, F.lit(r"""(?is)<script\b[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
-    got = F.transform(blocks, lambda b: F.coalesce(F.get_json_object(b, f"$.{field}"), F.get_json_object(b, f"$['@graph'][0].{field}")))
+
+    def inside(b: Column) -> Column:
+        nodes = F.coalesce(F.from_json(F.get_json_object(b, "$['@graph']"), "array<string>"), F.array().cast("array<string>"))
+        return F.concat(F.array(F.get_json_object(b, f"$.{field}")), F.transform(nodes, lambda n: F.get_json_object(n, f"$.{field}")))
+
+    got = F.flatten(F.transform(blocks, inside))
     return F.try_element_at(F.filter(got, lambda x: x.isNotNull()), F.lit(1))
 
 

@@ -122,3 +122,13 @@ def test_nfkc(spark):
 
     got = [r.k for r in spark.createDataFrame([("Ａ１ b-C 가",), (None,)], "t string").select(nfkc_key("t").alias("k")).collect()]
     assert got == ["a1bc가", None]
+
+
+def test_json_ld_walks_the_graph(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions.text import json_ld
+
+    page = '<script type="application/ld+json">{"@graph": [{"@type": "Site"}, {"name": "second", "body": {"x": 1}}, {"name": "third"}]}</script><script type="application/ld+json">{"name": "late", "url": "u"}</script>'
+    df = spark.createDataFrame([(page,), ("<p>none</p>",), ('<script type="application/ld+json">{"@graph": 3, "name": "top"}</script>',)], "html string")
+    assert [tuple(r) for r in df.select(json_ld(F.col("html"), "name"), json_ld(F.col("html"), "url")).collect()] == [("second", "u"), (None, None), ("top", None)]
