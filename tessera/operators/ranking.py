@@ -39,6 +39,26 @@ def quota(df: DataFrame, group: str, part: str, order: list[str], per_part: int,
     return inner.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("place") <= per_group).drop("_p")
 
 
+def shared_quota(sources: DataFrame, key: str, questions: str, publisher: str, order: list[str], policies: DataFrame) -> DataFrame:
+    """key, questions: the sources that at least one of their questions keeps, with those questions, sorted.
+
+    Rows of one key are merged: the first by order counts, with the questions of all.
+    Each question keeps, in order, at most per_publisher sources of a publisher (letter
+    case aside) and retain in all; a question without a policy (question, retain,
+    per_publisher) keeps none. The largest limits, two numbers, are known before the
+    ranking, so every rank is cut before its shuffle.
+    """
+    most = policies.agg(F.max("per_publisher").alias("per_publisher"), F.max("retain").alias("retain")).first()
+    first = first_seen(sources.select(key, publisher, *order), [key], [*order, publisher])
+    asked = sources.select(key, F.explode(questions).alias("question")).distinct()
+    rows = first.join(asked, key).join(policies, "question").withColumn("_publisher", F.lower(publisher))
+    near = Window.partitionBy("question", "_publisher").orderBy(*order, key)
+    rows = rows.withColumn("_p", F.row_number().over(near)).where(F.col("_p") <= (most.per_publisher or 0)).where(F.col("_p") <= F.col("per_publisher"))
+    whole = Window.partitionBy("question").orderBy(*order, key)
+    rows = rows.withColumn("_q", F.row_number().over(whole)).where(F.col("_q") <= (most.retain or 0)).where(F.col("_q") <= F.col("retain"))
+    return rows.groupBy(key).agg(F.array_sort(F.collect_list("question")).alias(questions))
+
+
 def first_seen(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key by order, as an aggregation."""
     cols = [c for c in df.columns if c not in keys]

@@ -18,6 +18,21 @@ def quota_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.quota(d, "lang", "source", ["rank", "doc_id"], 2, 8).select("doc_id", "source", "lang", F.col("place").cast("long").alias("place"))
 
 
+@query("""
+with s as (select l_partkey, p_brand, p_size, year(l_shipdate)::int as question from lineitem join part on p_partkey = l_partkey where l_returnflag <> 'R' group by 1, 2, 3, 4),
+y as (select *, 10 + question % 7 as retain, 1 + question % 2 as per_publisher from s where question % 5 <> 0),
+a as (select *, row_number() over (partition by question, lower(p_brand) order by p_size, l_partkey) as p from y), b as (select *, row_number() over (partition by question order by p_size, l_partkey) as q from a where p <= per_publisher)
+select l_partkey, string_agg(question, ',' order by question) as questions from b where q <= retain group by 1""")
+def question_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as sources of several questions (ship years) and one publisher (brand), each question with its own limits."""
+    li = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'R'").select("l_partkey", F.year("l_shipdate").alias("question"))
+    sources = li.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_size"), "l_partkey").withColumn("questions", F.array("question"))
+    years = li.select("question").distinct().where("question % 5 <> 0")
+    policies = years.select("question", (10 + F.col("question") % 7).alias("retain"), (1 + F.col("question") % 2).alias("per_publisher"))
+    kept = R.shared_quota(sources, "l_partkey", "questions", "p_brand", ["p_size"], policies)
+    return kept.select("l_partkey", F.array_join(F.col("questions").cast("array<string>"), ",").alias("questions"))
+
+
 SLOTS = "(values ('copper', 'STANDARD'), ('brushed', 'ECONOMY'), ('nickel', 'PROMO'), ('steel', 'LARGE')) s(word, kind)"
 
 
