@@ -1,4 +1,4 @@
-"""Unicode normal forms, which Spark has no function for: a vectorised Python function over Arrow batches."""
+"""Canonical forms: Unicode normal forms, for which Spark has no function (a vectorised Python function over Arrow batches), kinds of values, units of layout."""
 
 from __future__ import annotations
 
@@ -26,3 +26,22 @@ def nfkc_key(text: Column | str) -> Column:
 def quote_key(text: Column | str) -> Column:
     """A quote in canonical form with single blanks."""
     return F.trim(F.regexp_replace(normal_form(text), r"\s+", " "))
+
+
+#: How sources name what happened and what is expected.
+ACTUAL = ("", "actual", "a", "preliminary_actual", "preliminaryactual", "실적", "잠정실적", "확정")
+FORECAST = ("forecast", "f", "e", "est", "estimate", "projection", "projected", "전망", "예상", "추정")
+
+
+def value_kind(label: Column) -> Column:
+    """actual (also where nothing is said), forecast, or the label itself in lower case; letter case and white space don't count.
+
+    Composed letters are expected, as `normal_form` gives them.
+    """
+    bare = F.lower(F.regexp_replace(F.coalesce(label, F.lit("")), r"(?U)\s+", ""))
+    return F.when(bare.isin(*ACTUAL), "actual").when(bare.isin(*FORECAST), "forecast").otherwise(bare)
+
+
+def points(pixels: Column) -> Column:
+    """Pixels (96 to an inch) as points (72), to two decimals, halves up."""
+    return F.floor(pixels * 75 + F.lit(0.5)) / 100

@@ -43,3 +43,23 @@ def first_failure(checks: list[tuple[str, Column]]) -> Column:
     for code, ok in reversed(checks):
         out = F.when(~F.coalesce(ok, F.lit(False)), F.lit(code)).otherwise(out)
     return out
+
+
+def material_identity(sources: DataFrame, content: Column, kind: Column, published: Column, cutoff: Column, names: Column, periods: Column, told: tuple[str, str] = ("COMPANY_IR", "NEWS")) -> DataFrame:
+    """sources with identity: ok, or the first reason why the material is not the company's.
+
+    A date behind the cutoff counts for every kind. Company reports and news (`told`) need a
+    date and one of the company's names of three characters or more in the content; reports
+    (the first of `told`) also one of the period's names. Letter case doesn't count.
+    """
+    body = F.lower(content)
+
+    def holds(words: Column) -> Column:
+        return F.coalesce(F.exists(words, lambda w: F.contains(body, F.lower(w))), F.lit(False))
+
+    named = holds(F.filter(names, lambda w: F.length(w) >= 3))
+    reason = (
+        F.when(published > cutoff, "cutoff_violation").when(~kind.isin(*told), "ok").when(published.isNull(), "published_missing")
+        .when(~named, "company_mismatch").when((kind == told[0]) & ~holds(periods), "period_mismatch").otherwise("ok")
+    )
+    return sources.withColumn("identity", reason)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import normalise as N
 from ..operators import asof
+from ..operators import evidence as E
 from ..operators import validation as V
 from ..registry import query, table
 
@@ -188,3 +190,37 @@ def slot_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     have = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey"), F.col("o_orderstatus").alias("slot")).agg(F.max("o_orderkey").alias("value"))
     need = table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.array(F.lit("F"), F.lit("O"), F.lit("P"))).alias("slot"))
     return need.join(have, ["c_custkey", "slot"], "left").withColumn("origin", F.when(F.col("value").isNull(), "synthesised").otherwise("present"))
+
+
+#: Labels as sources write them.
+LABELS = ["Actual", " EST ", "실적", None, "Preliminary Actual", "F", "전 망", "Guidance", "", "Projected"]
+
+
+@query("""
+with t as (select o_orderkey, lower(regexp_replace(coalesce((['Actual', ' EST ', '실적', null, 'Preliminary Actual', 'F', '전 망', 'Guidance', '', 'Projected'])[o_orderkey % 10 + 1], ''), '\\s+', '', 'g')) as bare from orders)
+select o_orderkey, case when bare in ('', 'actual', 'a', 'preliminary_actual', 'preliminaryactual', '실적', '잠정실적', '확정') then 'actual' when bare in ('forecast', 'f', 'e', 'est', 'estimate', 'projection', 'projected', '전망', '예상', '추정') then 'forecast' else bare end as kind from t""")
+def value_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of values as one of a few kinds."""
+    label = F.element_at(F.array(*map(F.lit, LABELS)), (F.col("o_orderkey") % 10 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", N.value_kind(label).alias("kind"))
+
+
+@query("select p_partkey, floor(p_size * 75 + 0.5) / 100 as points from part")
+def layout_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", N.points(F.col("p_size")).alias("points"))
+
+
+@query("""
+with d as (select doc_id, lower(text) as body, case source when 'src0' then 'COMPANY_IR' when 'src1' then 'COMPANY_IR' when 'src2' then 'FILING' else 'NEWS' end as kind, case when doc_id % 11 <> 0 then date '2024-01-01' + (doc_id % 400)::int end as published,
+  case lang when 'en' then ['THE', 'en'] when 'de' then ['sch', 'de'] when 'fr' then ['ment', 'fr'] else ['ción', 'es'] end as names, ['q' || (doc_id % 4 + 1), 'ta', 'no'] as periods from documents)
+select doc_id, kind, case when published > date '2025-01-01' then 'cutoff_violation' when kind = 'FILING' then 'ok' when published is null then 'published_missing'
+  when not coalesce(len(list_filter(names, lambda w: length(w) >= 3 and contains(body, lower(w)))) > 0, false) then 'company_mismatch'
+  when kind = 'COMPANY_IR' and not coalesce(len(list_filter(periods, lambda w: contains(body, w))) > 0, false) then 'period_mismatch' else 'ok' end as identity from d""")
+def material_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a text is of its company and period, before the cutoff."""
+    k, source, lang = F.col("doc_id"), F.col("source"), F.col("lang")
+    kind = F.when(source.isin("src0", "src1"), "COMPANY_IR").when(source == "src2", "FILING").otherwise("NEWS")
+    names = F.when(lang == "en", F.array(F.lit("THE"), F.lit("en"))).when(lang == "de", F.array(F.lit("sch"), F.lit("de"))).when(lang == "fr", F.array(F.lit("ment"), F.lit("fr"))).otherwise(F.array(F.lit("ción"), F.lit("es")))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", kind.alias("kind"), names.alias("names"), F.when(k % 11 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (k % 400).cast("int"))).alias("published"))
+    periods = F.array(F.concat(F.lit("q"), (k % 4 + 1).cast("string")), F.lit("ta"), F.lit("no"))
+    return E.material_identity(d, F.col("text"), F.col("kind"), F.col("published"), F.lit("2025-01-01").cast("date"), F.col("names"), periods).select("doc_id", "kind", "identity")
