@@ -132,3 +132,24 @@ def test_json_ld_walks_the_graph(spark):
     page = '<script type="application/ld+json">{"@graph": [{"@type": "Site"}, {"name": "second", "body": {"x": 1}}, {"name": "third"}]}</script><script type="application/ld+json">{"name": "late", "url": "u"}</script>'
     df = spark.createDataFrame([(page,), ("<p>none</p>",), ('<script type="application/ld+json">{"@graph": 3, "name": "top"}</script>',)], "html string")
     assert [tuple(r) for r in df.select(json_ld(F.col("html"), "name"), json_ld(F.col("html"), "url")).collect()] == [("second", "u"), (None, None), ("top", None)]
+
+
+def test_shared_quota_against_plain(spark):
+    """Sequential choice in rank order; a source rejected by its publisher's limit uses no place, and a question without a policy keeps none."""
+    from tessera.operators import ranking
+
+    rows = [(k, [q for q in "abcd" if (k * 7 + ord(q)) % 3], f"{'pP'[k % 2]}{k % 4 // 2}", k * 37 % 50) for k in range(60)]
+    limits = {"a": (5, 2), "b": (3, 9), "c": (40, 1)}
+    sources = spark.createDataFrame(rows + rows[:9], "k int, qs array<string>, pub string, rank int")
+    policies = spark.createDataFrame([(q, *v) for q, v in limits.items()], "question string, retain int, per_publisher int")
+    want, used = {}, {}
+    for k, qs, pub, _ in sorted(rows, key=lambda r: (r[3], r[0])):
+        for q in qs:
+            whole, own = used.get(q, 0), used.get((q, pub.lower()), 0)
+            if q in limits and whole < limits[q][0] and own < limits[q][1]:
+                used[q], used[q, pub.lower()] = whole + 1, own + 1
+                want.setdefault(k, []).append(q)
+    got = ranking.shared_quota(sources, "k", "qs", "pub", ["rank"], policies)
+    assert {r.k: r.qs for r in got.collect()} == want
+    assert ranking.shared_quota(sources.limit(0), "k", "qs", "pub", ["rank"], policies).count() == 0
+    assert ranking.shared_quota(sources, "k", "qs", "pub", ["rank"], policies.limit(0)).count() == 0
