@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, id_store, jaccard_join, language_id, line_dedup, lm_score, packing, pii, secrets, vptree
+from . import decontaminate, hard_negatives, id_store, jaccard_join, language_id, line_dedup, lm_score, packing, pii, secrets, vptree
 
 
 #: The key of the surrogates that the query draws; a user passes their own secret.
@@ -57,9 +58,16 @@ def op10_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(spark, _table(spark, sf_dir, "embeddings"))
 
 
+def op11_pca_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth row of `embeddings`; one label in seven is moved on first. Odd tables: see hard_negatives."""
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").cast("decimal(20,0)").alias("label"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(spark, rows.withColumn("label", moved))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_benchmark_decontamination, op3_language_id, op4_best_fit_packing, op5_ngram_jaccard_join, op6_secret_scans, op7_suffix_tree_scores, op8_id_store, op9_pii_surrogates, op10_vantage_point_trees)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_benchmark_decontamination, op3_language_id, op4_best_fit_packing, op5_ngram_jaccard_join, op6_secret_scans, op7_suffix_tree_scores, op8_id_store, op9_pii_surrogates, op10_vantage_point_trees, op11_pca_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op2_benchmark_decontamination": decontaminate.SQL, "op5_ngram_jaccard_join": jaccard_join.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op2_benchmark_decontamination": decontaminate.SQL, "op5_ngram_jaccard_join": jaccard_join.SQL, "op11_pca_hard_negatives": hard_negatives.SQL}
