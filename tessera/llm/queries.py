@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hard_negatives, id_store, jaccard_join, language_id, line_dedup, lm_score, packing, pii, secrets, vptree
+from . import collocations, decontaminate, hard_negatives, id_store, jaccard_join, language_id, line_dedup, lm_score, packing, pii, secrets, vptree
 
 
 #: The key of the surrogates that the query draws; a user passes their own secret.
@@ -65,9 +65,14 @@ def op11_pca_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(spark, rows.withColumn("label", moved))
 
 
+def op12_apriori_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best collocations of each lang of `documents`. Odd tables: see collocations."""
+    return collocations.mine(spark, _table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_benchmark_decontamination, op3_language_id, op4_best_fit_packing, op5_ngram_jaccard_join, op6_secret_scans, op7_suffix_tree_scores, op8_id_store, op9_pii_surrogates, op10_vantage_point_trees, op11_pca_hard_negatives)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_benchmark_decontamination, op3_language_id, op4_best_fit_packing, op5_ngram_jaccard_join, op6_secret_scans, op7_suffix_tree_scores, op8_id_store, op9_pii_surrogates, op10_vantage_point_trees, op11_pca_hard_negatives, op12_apriori_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op2_benchmark_decontamination": decontaminate.SQL, "op5_ngram_jaccard_join": jaccard_join.SQL, "op11_pca_hard_negatives": hard_negatives.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op2_benchmark_decontamination": decontaminate.SQL, "op5_ngram_jaccard_join": jaccard_join.SQL, "op11_pca_hard_negatives": hard_negatives.SQL, "op12_apriori_collocations": collocations.SQL}
