@@ -46,7 +46,7 @@ def usable(rows: DataFrame, scale: int = 256) -> DataFrame:
     """vec_id, label, q (array<int>: floor(scale * x)), dim of the rows that take part."""
     r = pick(rows, vec_id="vec_id", label="label", v="embedding").where("vec_id is not null and label is not null and v is not null")
     r = r.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("v").cast("array<double>").alias("v"))
-    # A non-finite or too long component becomes null; cosine order needs no more than 31 bits of length.
+    # A non-finite or too long component becomes null.
     number = F.transform("v", lambda x: F.when(F.abs(x) < float(1 << 31) / scale, F.floor(x * F.lit(float(scale))).cast("int")))
     r = r.select("vec_id", "label", number.alias("q"), F.size("v").alias("dim")).where(F.forall("q", lambda x: x.isNotNull()))
     length = F.aggregate("q", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
@@ -176,7 +176,7 @@ def _meet(spark: SparkSession, rows: DataFrame, anchors: DataFrame, turns, k: in
             first, last = np.searchsorted(held["labels"], labels[lo]), np.searchsorted(held["labels"], labels[lo], "right")
             a, mine = Turned(q[lo:hi], turn), slice(lo, hi)
             if percent:
-                open_ = np.ones((hi - lo, len(held["q"])), bool)
+                open_ = held["ids"] != names[mine, None]
                 open_[:, first:last] = False
                 of = np.repeat(np.arange(hi - lo), [len(w) for w in wants[mine]])
                 pid = np.array([p["id"] for w in wants[mine] for p in w], np.int64)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, decontaminate, hard_negatives, id_store, jaccard_join, language_id, line_dedup, lm_score, packing, pii, secrets, vptree
+from . import collocations, decontaminate, hard_negatives, id_store, jaccard_join, language_id, line_dedup, lm_score, online_packing, packing, pii, secrets, vptree
 
 
 #: The key of the surrogates that the query draws; a user passes their own secret.
@@ -70,8 +70,13 @@ def op12_apriori_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(spark, _table(spark, sf_dir, "documents"))
 
 
+def op13_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All `documents` in sequences of 4,096 tokens. Odd tables: see online_packing."""
+    return online_packing.pack(spark, _table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_benchmark_decontamination, op3_language_id, op4_best_fit_packing, op5_ngram_jaccard_join, op6_secret_scans, op7_suffix_tree_scores, op8_id_store, op9_pii_surrogates, op10_vantage_point_trees, op11_pca_hard_negatives, op12_apriori_collocations)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_benchmark_decontamination, op3_language_id, op4_best_fit_packing, op5_ngram_jaccard_join, op6_secret_scans, op7_suffix_tree_scores, op8_id_store, op9_pii_surrogates, op10_vantage_point_trees, op11_pca_hard_negatives, op12_apriori_collocations, op13_online_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
