@@ -1,13 +1,14 @@
 """Collocations by level-wise Apriori passes.
 
 A pass for each phrase length. The first counts all words. Pass k rebuilds, in each slice of
-text, only those k-grams of which both overlapping (k-1)-grams are frequent, counts them
-there and sends (lang, phrase, count) to be summed. What is frequent goes to every task as a
-bitmap of phrase hashes (`SLOTS` slots for each phrase, and `MOST_SLOTS` bits in all, 32 MB
-at most, whatever the corpus's size). Two phrases in one slot only let a few k-grams more be
-counted; counts are summed by the phrase itself, so the level tables are exact. Within a
-slice grams are told apart by integers: dictionary codes of words, then pairs of codes of
-the level below.
+text, only those k-grams of which both overlapping (k-1)-grams are frequent. Most of these
+are rare, so they are first counted by a 64-bit hash, which is short to shuffle; the next
+pass counts those of a frequent hash by the phrase itself, beside the hashes of its own
+level. So the level tables are exact. What is frequent goes to every task as a bitmap of
+phrase hashes (`SLOTS` slots for each phrase, and `MOST_SLOTS` bits in all, 32 MB at most,
+whatever the corpus's size); two phrases in one slot, or of one hash, only let a few grams
+more be counted. Within a slice grams are told apart by integers: dictionary codes of words,
+then pairs of codes of the level below.
 
 The level tables hold every phrase of `least` occurrences or more with its count. A cut of a
 candidate finds both its parts there, since parts of a frequent phrase are frequent.
@@ -35,6 +36,8 @@ U64 = np.uint64
 #: What ends a piece; a space or tab ends a word.
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 SLOTS, MOST_SLOTS = 64, 1 << 28
+#: Hash counts that a task merges before it hands them on.
+MERGED = 1 << 22
 COUNTED = "lang string, phrase string, n long, hash long"
 
 
@@ -110,11 +113,14 @@ class Grams:
             total = total + self.word_hash[self.at[self.first + k]] * (_powers(8)[k])
         self.hash = mix(total)
 
+    def among(self, frequent: np.ndarray) -> np.ndarray:
+        """Which codes' hashes a bitmap holds."""
+        slot = (self.hash & U64(len(frequent) * 8 - 1)).astype(np.int64)
+        return (frequent[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+
     def extend(self, frequent: np.ndarray) -> None:
         """Grams of one word more, of which both shorter grams are frequent."""
-        bits = len(frequent) * 8
-        slot = (self.hash & U64(bits - 1)).astype(np.int64)
-        kept = np.append((frequent[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool), False)[self.code]
+        kept = np.append(self.among(frequent), False)[self.code]
         pair = kept[:-1] & kept[1:]
         if self.length == 1:
             pair &= self.joined[1:]
@@ -122,11 +128,13 @@ class Grams:
         self.length += 1
         self._code(places, self.code[places] * max(1, len(self.n)) + self.code[places + 1])
 
-    def counted(self) -> pa.RecordBatch:
-        names = [self.words.take(pa.array(self.at[self.first + k])) for k in range(self.length)]
+    def counted(self, which: np.ndarray) -> pa.RecordBatch:
+        """lang, phrase and count of some codes."""
+        first, n, hash_ = self.first[which], self.n[which].astype(np.int64), self.hash[which]
+        names = [self.words.take(pa.array(self.at[first + k])) for k in range(self.length)]
         phrase = pc.binary_join_element_wise(*names, pa.scalar(b" ", pa.large_binary())) if self.length > 1 else names[0]
-        lang = pa.array(self.langs, pa.string()).take(pa.array(self.lang[self.first]))
-        return pa.record_batch({"lang": lang, "phrase": phrase.cast(pa.large_string()).cast(pa.string()), "n": pa.array(self.n.astype(np.int64)), "hash": pa.array(self.hash.view(np.int64))})
+        lang = pa.array(self.langs, pa.string()).take(pa.array(self.lang[first]))
+        return pa.record_batch({"lang": lang, "phrase": phrase.cast(pa.large_string()).cast(pa.string()), "n": pa.array(n), "hash": pa.array(hash_.view(np.int64))})
 
     def totals(self) -> pa.RecordBatch:
         """All words of each lang, under the empty phrase, which is no word."""
@@ -134,21 +142,51 @@ class Grams:
         return pa.record_batch({"lang": pa.array(self.langs, pa.string()), "phrase": pa.array([""] * len(n), pa.string()), "n": pa.array(n), "hash": pa.array(np.zeros(len(n), np.int64))})
 
 
-def _level(texts: DataFrame, length: int, maps: list[Broadcast], least: int) -> DataFrame:
-    """lang, phrase, n, hash of the phrases of `length` words that occur `least` times or more (and the totals, with the words)."""
+class Sums:
+    """Counts by hash, merged over a task's slices and handed on when there are `MERGED` of them."""
+
+    def __init__(self) -> None:
+        self.hash, self.n = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+
+    def add(self, hash_: np.ndarray, n: np.ndarray) -> None:
+        hashes_, back = np.unique(np.concatenate([*self.hash, hash_]), return_inverse=True)
+        n = np.bincount(back, np.concatenate([*self.n, n]), len(hashes_)).astype(np.int64)
+        self.hash, self.n = [hashes_], [n]
+
+    def drain(self, least: int = 1) -> Iterator[pa.RecordBatch]:
+        h, n = np.concatenate(self.hash), np.concatenate(self.n)
+        if len(h) >= least:
+            null = pa.nulls(len(h), pa.string())
+            yield pa.record_batch({"lang": null, "phrase": null, "n": pa.array(n), "hash": pa.array(h.view(np.int64))})
+            self.__init__()
+
+
+def _pass(texts: DataFrame, length: int, longest: int, maps: list[Broadcast], least: int) -> DataFrame:
+    """lang, phrase, n, hash of what occurs `least` times or more.
+
+    The first pass counts words (and each lang's total, under the empty phrase). Pass `length` counts the phrases of
+    one word less by name and its own, up to `longest`, by hash alone (null lang and phrase).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = Sums()
         for b in slices(batches, most=8 << 20):
             grams = Grams(b)
             if length == 1:
                 yield grams.totals()
-            for m in maps:
-                if len(grams.n):
-                    grams.extend(m.value)
-            if len(grams.n):
-                yield grams.counted()
-
-    counts = texts.mapInArrow(run, COUNTED).groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.first("hash").alias("hash"))
+                yield grams.counted(np.ones(len(grams.n), bool))
+                continue
+            for m in maps[:-1]:
+                grams.extend(m.value)
+            if length > 2:
+                yield grams.counted(grams.among(maps[-1].value))
+            if length <= longest:
+                grams.extend(maps[-1].value)
+                sums.add(grams.hash, grams.n)
+                yield from sums.drain(MERGED)
+        yield from sums.drain()
+
+    counts = texts.mapInArrow(run, COUNTED).groupBy("lang", "phrase", "hash").agg(F.sum("n").alias("n"))
     return counts.where((F.col("n") >= least) | (F.col("phrase") == ""))
 
 
@@ -168,10 +206,12 @@ def levels(spark: SparkSession, docs: DataFrame, longest: int = 5, least: int =
     texts = pick(docs, lang="lang", text="text").select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     out: list[DataFrame] = []
     maps: list[Broadcast] = []
-    for length in range(1, longest + 1):
-        out.append(shared_table(spark, _level(texts, length, maps, least), f"level-{length}"))
-        if length < longest:
-            maps.append(bitmap(spark, out[-1].where("phrase <> ''")))
+    for length in range(1, longest + 2):
+        found = shared_table(spark, _pass(texts, length, longest, maps, least), f"pass-{length}")
+        if length != 2:
+            out.append(found.where("phrase is not null"))
+        if length <= longest:
+            maps.append(bitmap(spark, found.where("phrase <> ''" if length == 1 else "phrase is null")))
     return out
 
 
