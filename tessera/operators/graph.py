@@ -89,6 +89,37 @@ def invalidate(spark: SparkSession, edges: DataFrame, changed: DataFrame, jobs:
     return j.select("job", "state", new.alias("new_state"))
 
 
-def fingerprint(key: Column, content: Column) -> Column:
-    """A hash of a set of components that does not depend on their order."""
-    return F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", key, content))), ";"), 256)
+def set_digest(item: Column) -> Column:
+    """An aggregate: a hash of a multiset of texts that does not depend on their order. Sums of four 60-bit parts of each item's hash, so partial sums combine and no group is collected."""
+    h = F.sha2(item, 256)
+    sums = [F.sum(F.conv(F.substring(h, 1 + 15 * k, 15), 16, 10).cast("decimal(20,0)")).cast("string") for k in range(4)]
+    return F.sha2(F.concat_ws(":", *sums), 256)
+
+
+def fingerprint(df: DataFrame, keys: list[str], key: Column, content: Column) -> DataFrame:
+    """keys, fingerprint, components, repeated: a hash of each set of components, and how many of their keys stand more than once."""
+    parts = df.groupBy(*keys, key.alias("_k")).agg(F.count(F.lit(1)).alias("_n"), set_digest(F.concat_ws("=", key, content)).alias("_h"))
+    return parts.groupBy(*keys).agg(set_digest(F.concat_ws("=", "_k", "_h")).alias("fingerprint"), F.sum("_n").alias("components"), F.count_if(F.col("_n") > 1).alias("repeated"))
+
+
+def best_first(spark: SparkSession, edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(graph, node, way): all that roots reach, in the order in which a queue that always yields its least node would visit them.
+
+    edges: graph, src, dst; roots: graph, node. Such a queue visits v behind u unless greater nodes stand
+    between them, so v's way is u's way without the nodes up to v, then v: a falling sequence. Its order is
+    that of sequences, the least way counts, and ways only grow along edges; so the ways are
+    found like shortest paths, by rounds in which only improved nodes are followed. Sort by `way` for the order.
+    """
+    step = stored(spark, edges.select("graph", "src", "dst").distinct(), "order-edges")
+    now = stored(spark, roots.select("graph", "node").distinct().withColumn("way", F.array("node")), "order")
+    every, rounds = now, 0
+    while now.limit(1).count():
+        behind = now.withColumnRenamed("node", "src").join(step, ["graph", "src"])
+        way = F.concat(F.expr("filter(way, x -> x > dst)"), F.array("dst"))
+        best = behind.select("graph", F.col("dst").alias("node"), way.alias("way")).groupBy("graph", "node").agg(F.min("way").alias("way"))
+        known = every.groupBy("graph", "node").agg(F.min("way").alias("_known"))
+        now = stored(spark, best.join(known, ["graph", "node"], "left").where("_known is null or way < _known").drop("_known"), "order")
+        every, rounds = every.unionByName(now), rounds + 1
+        if rounds % COMPACT == 0:
+            every = stored(spark, every.groupBy("graph", "node").agg(F.min("way").alias("way")), "order")
+    return every.groupBy("graph", "node").agg(F.min("way").alias("way"))

@@ -89,3 +89,25 @@ def stacked(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame
     up, down = F.sum(F.greatest(value, F.lit(0))).over(w), F.sum(F.least(value, F.lit(0))).over(w)
     end = F.when(F.col(value) >= 0, up).otherwise(down)
     return df.withColumn("bar_end", end).withColumn("bar_start", end - F.col(value))
+
+
+def candidate_ranges(tables: DataFrame, used: DataFrame, dense: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """keys, sheet, kind, top, left, bottom, right, place, status: all ranges that a workbook offers, in its order.
+
+    A dense region goes if it is the used range or a table of its sheet. Ranges are numbered by sheet: its
+    tables, its used range, its dense regions. Dense regions numbered beyond `most` are marked `overflow`, not lost.
+    Numbers are those within a sheet plus what the sheets before it hold, so no workbook is sorted as a whole.
+    """
+    box = ["top", "left", "bottom", "right"]
+    same = tables.unionByName(used).select(*keys, "sheet", *box).distinct()
+    own = dense.select(*keys, "sheet", *box).distinct().join(same, [*keys, "sheet", *box], "left_anti")
+    side = lambda df, kind: df.select(*keys, "sheet", *box, F.lit(kind).alias("kind"))
+    every = side(tables, 0).unionByName(side(used, 1)).unionByName(side(own, 2))
+    counts = every.groupBy(*keys, "sheet").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = Window.partitionBy(*keys).orderBy("sheet").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*keys, "sheet", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
+    nth = F.row_number().over(Window.partitionBy(*keys, "sheet").orderBy("kind", *box))
+    e = every.withColumn("_nth", nth).join(counts, [*keys, "sheet"]).withColumn("place", F.col("_ahead") + F.col("_nth"))
+    status = F.when((F.col("kind") == 2) & (F.col("place") > most), "overflow").otherwise("kept")
+    names = F.element_at(F.array(F.lit("excel_table"), F.lit("used_range"), F.lit("dense_region")), F.col("kind") + 1)
+    return e.select(*keys, "sheet", names.alias("kind"), *box, "place", status.alias("status"))

@@ -52,24 +52,6 @@ def formula_inputs(spark: SparkSession, refs: DataFrame, outputs: DataFrame) ->
         every = stored(spark, every.unionByName(fresh).groupBy("output", "cell").agg(F.bool_and("conditional").alias("conditional")), "formula")
 
 
-def clusters(df: DataFrame, keys: list[str], at: str, tolerance: float) -> DataFrame:
-    """Positions on a line grouped in order: a position joins the open cluster while it is within tolerance of its mean."""
-    start = F.struct(F.lit(None).cast("double").alias("mean"), F.lit(0).alias("n"), F.array().cast("array<struct<center:double,n:int>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        near = (acc["n"] > 0) & (F.abs(x - acc["mean"]) <= tolerance)
-        closed = F.when(acc["n"] > 0, F.concat(acc["out"], F.array(F.struct(acc["mean"].alias("center"), acc["n"].alias("n"))))).otherwise(acc["out"])
-        return F.struct(
-            F.when(near, (acc["mean"] * acc["n"] + x) / (acc["n"] + 1)).otherwise(x).alias("mean"), F.when(near, acc["n"] + 1).otherwise(1).alias("n"), F.when(near, acc["out"]).otherwise(closed).alias("out"),
-        )
-
-    def done(acc: Column) -> Column:
-        return F.when(acc["n"] > 0, F.concat(acc["out"], F.array(F.struct(acc["mean"].alias("center"), acc["n"].alias("n"))))).otherwise(acc["out"])
-
-    g = df.groupBy(*keys).agg(F.array_sort(F.collect_set(F.col(at).cast("double"))).alias("_p"))
-    return g.select(*keys, F.inline(F.aggregate("_p", start, step, done)))
-
-
 def copy_forward(rows: DataFrame, key: str, salt: str, keep: Column) -> DataFrame:
     """Rows that stay, under new ids made of the old ones, with the old id beside."""
     return rows.where(keep).withColumn("copied_from", F.col(key)).withColumn(key, opaque_id("copy", F.concat_ws("|", F.lit(salt), F.col(key).cast("string"))))

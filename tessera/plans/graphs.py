@@ -50,18 +50,45 @@ def invalidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.invalidate(spark, _edges(spark, sf_dir), spark.createDataFrame([(3,)], "src long"), jobs)
 
 
-@query("select o_custkey, sha256(string_agg(o_orderkey || '=' || o_orderstatus, ';' order by (o_orderkey || '=' || o_orderstatus))) as fingerprint, count(*) as components from orders group by 1")
+def _digest(item: str) -> str:
+    """The order-free digest in SQL."""
+    return "sha256(concat_ws(':', " + ", ".join(f"sum(('0x' || substr(sha256({item}), {1 + 15 * k}, 15))::bigint)::varchar" for k in range(4)) + "))"
+
+
+@query(f"""
+with p as (select o_custkey, o_orderkey % 300 as k, count(*) as n, {_digest("(o_orderkey % 300)::varchar || '=' || o_orderstatus")} as h from orders group by 1, 2)
+select o_custkey, {_digest("k::varchar || '=' || h")} as fingerprint, sum(n)::bigint as components, count(*) filter (n > 1) as repeated from p group by 1""")
 def snapshot_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(G.fingerprint(F.col("o_orderkey").cast("string"), F.col("o_orderstatus")).alias("fingerprint"), F.count(F.lit(1)).alias("components"))
+    """A customer's set of components, in any order; keys that stand twice are counted."""
+    return G.fingerprint(table(spark, sf_dir, "orders"), ["o_custkey"], (F.col("o_orderkey") % 300).cast("string"), F.col("o_orderstatus"))
 
 
-@query("""
-with pinned as (select o_custkey, sha256(string_agg(o_orderkey::varchar, ',' order by o_orderkey)) as h from orders where o_orderdate < timestamp '2000-01-01' group by 1), now_ as (select o_custkey, sha256(string_agg(o_orderkey::varchar, ',' order by o_orderkey)) as h from orders group by 1)
+@query(f"""
+with pinned as (select o_custkey, {_digest("o_orderkey::varchar")} as h from orders where o_orderdate < timestamp '2000-01-01' group by 1), now_ as (select o_custkey, {_digest("o_orderkey::varchar")} as h from orders group by 1)
 select n.o_custkey, case when p.h is null then 'current' when p.h = n.h then 'duplicate' else 'obsolete' end as decision from now_ n left join pinned p using (o_custkey)""")
 def snapshot_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pinned inputs against today's: duplicate, current or obsolete."""
-    o = table(spark, sf_dir, "orders")
-    h = F.sha2(F.array_join(F.array_sort(F.collect_list("o_orderkey")), ","), 256)
-    pinned = o.where(F.col("o_orderdate") < F.lit("2000-01-01").cast("timestamp")).groupBy("o_custkey").agg(h.alias("p"))
-    j = o.groupBy("o_custkey").agg(h.alias("n")).join(pinned, "o_custkey", "left")
-    return j.select("o_custkey", F.when(F.col("p").isNull(), "current").when(F.col("p") == F.col("n"), "duplicate").otherwise("obsolete").alias("decision"))
+    """Pinned inputs against today's: duplicate, current or obsolete. One pass over the orders for both digests."""
+    old = F.col("o_orderdate") < F.lit("2000-01-01").cast("timestamp")
+    key = F.col("o_orderkey").cast("string")
+    j = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(G.set_digest(key).alias("n"), G.set_digest(F.when(old, key)).alias("p"), F.count_if(old).alias("pinned"))
+    return j.select("o_custkey", F.when(F.col("pinned") == 0, "current").when(F.col("p") == F.col("n"), "duplicate").otherwise("obsolete").alias("decision"))
+
+
+#: Three lineages over the same edges, whose nodes bear shuffled numbers.
+NAMED = f"(select g as graph, src * 7919 % 1000003 as src, dst * 7919 % 1000003 as dst from {EDGES}, (values ('a'), ('b'), ('c')) as t(g))"
+
+
+@query(f"""
+with recursive e as {NAMED}, roots as (select 'a' as graph, 7919 as node union all select 'b', 2 * 7919 union all select 'b', 3 * 7919 union all select 'c', 7919 union all select 'c', 5 * 7919),
+w(graph, node, way) as (select graph, node::bigint, [node::bigint] from roots union select e.graph, e.dst, list_append(list_filter(w.way, lambda x: x > e.dst), e.dst) from w join e on e.graph = w.graph and e.src = w.node),
+best as (select graph, node, way from w qualify row_number() over (partition by graph, node order by way) = 1)
+select graph, node, row_number() over (partition by graph order by way) as place from best""")
+def closure_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What roots reach, in the order of a queue that yields its least node first."""
+    from pyspark.sql import Window
+
+    named = lambda c: F.col(c) * 7919 % 1000003
+    e = _edges(spark, sf_dir).select(F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("graph"), named("src").alias("src"), named("dst").alias("dst"))
+    roots = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3), ("c", 1), ("c", 5)], "graph string, k long").select("graph", named("k").alias("node"))
+    ways = G.best_first(spark, e, roots)
+    return ways.select("graph", "node", F.row_number().over(Window.partitionBy("graph").orderBy("way")).alias("place"))

@@ -113,3 +113,20 @@ def extents_and_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = F.min(F.least("l_quantity", F.lit(0.0)))
     ext = x.groupBy("l_suppkey").agg(low.alias("low"), (F.max("l_quantity") + (F.max("l_quantity") - low) * 0.08).alias("high"))
     return mode.join(mid, "l_suppkey").join(ext, "l_suppkey")
+
+
+@query(f"""
+with {RANGES}, d as (select sheet, row_first as top, col_first as "left", row_last as bottom, col_last as "right" from dense where cells >= 4 and density >= 0.15),
+tt as (select * from d where (sheet * 7 + top) % 3 = 0 union select sheet, 0, 0, 3, 5 from {CELLS} where sheet % 4 = 1), u as (select sheet, min(r) as top, min(c) as "left", max(r) as bottom, max(c) as "right" from {CELLS} group by 1),
+e as (select *, 1 as k from tt union all select *, 2 from u union all select *, 3 from (select * from d except select * from tt except select * from u)),
+n as (select sheet // 4 as book, *, row_number() over (partition by sheet // 4 order by sheet, k, top, "left", bottom, "right") as place from e)
+select book, sheet, case k when 1 then 'excel_table' when 2 then 'used_range' else 'dense_region' end as kind, top, "left", bottom, "right", place, case when k = 3 and place > 8 then 'overflow' else 'kept' end as status from n""")
+def candidate_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ranges that a workbook offers: tables, used ranges and dense regions that are neither; beyond eight a dense one is reported as overflow."""
+    cells = _cells(spark, sf_dir).withColumn("book", F.floor(F.col("sheet") / 4))
+    named = {"row_first": "top", "col_first": "left", "row_last": "bottom", "col_last": "right"}
+    dense = S.dense_ranges(cells, "sheet", "r", "c").withColumnsRenamed(named).withColumn("book", F.floor(F.col("sheet") / 4))
+    fixed = cells.where("sheet % 4 = 1").select("book", "sheet").distinct().withColumns({c: F.lit(v).cast("long") for c, v in (("top", 0), ("left", 0), ("bottom", 3), ("right", 5))})
+    tables = dense.where("(sheet * 7 + top) % 3 = 0").select("book", "sheet", "top", "left", "bottom", "right").union(fixed).distinct()
+    used = cells.groupBy("book", "sheet").agg(F.min("r").alias("top"), F.min("c").alias("left"), F.max("r").alias("bottom"), F.max("c").alias("right"))
+    return S.candidate_ranges(tables, used, dense, ["book"], most=8)

@@ -1,12 +1,14 @@
-"""Batch twins of the streaming operators, over all events."""
+"""Streaming queries over all events: windows as batch twins, and idempotent requests as a stream that runs to its end."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import shared_path
 from ..registry import query, table
 from ..streaming import events as S
+from ..streaming import idempotency as I
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,3 +44,32 @@ def late_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select user_id, max(value) as progress from events group by 1")
 def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.progress(_events(spark, sf_dir), "user_id", "value")
+
+
+#: A user's events of one type share keys for some days; every tenth key is too short, every ninth request differs.
+REQUESTS = """
+with recursive r as (
+  select event_id as request, user_id::varchar || '/' || event_type as scope, case when event_id % 10 = 0 then ' short ' || user_id else 'request-key-' || lpad((user_id % 7)::varchar, 8, '0') end as key, (case when event_id % 9 = 0 then 'other' else event_type end) as hash, ts from events),
+n as (select *, row_number() over (partition by scope, trim(key) order by ts, request) as k from r where length(trim(key)) between 16 and 128),
+w(scope, key, k, request, hash, ts, said, first, first_hash, expires) as (
+  select scope, trim(key), k, request, hash, ts, 'stored', request, hash, ts + interval 24 hour from n where k = 1
+  union all select n.scope, trim(n.key), n.k, n.request, n.hash, n.ts, case when w.expires <= n.ts then 'stored' when w.first_hash = n.hash then 'replayed' else 'conflict' end,
+    case when w.expires <= n.ts then n.request else w.first end, case when w.expires <= n.ts then n.hash else w.first_hash end, case when w.expires <= n.ts then n.ts + interval 24 hour else w.expires end
+  from w join n on n.scope = w.scope and trim(n.key) = w.key and n.k = w.k + 1)
+select scope, key, request, said as disposition, case said when 'conflict' then 409 else 201 end as status, case when said <> 'conflict' then first end as answered_by from w
+union all select scope, trim(key), request, 'refused', 400, null from r where length(trim(key)) not between 16 and 128"""
+
+
+def requests(events: DataFrame) -> DataFrame:
+    """Events as requests under keys."""
+    user = F.col("user_id").cast("string")
+    key = F.when(F.col("event_id") % 10 == 0, F.concat(F.lit(" short "), user)).otherwise(F.concat(F.lit("request-key-"), F.lpad((F.col("user_id") % 7).cast("string"), 8, "0")))
+    return events.select(F.col("event_id").alias("request"), F.concat(user, F.lit("/"), "event_type").alias("scope"), key.alias("key"), F.when(F.col("event_id") % 9 == 0, "other").otherwise(F.col("event_type")).alias("hash"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+@query(REQUESTS)
+def idempotent_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests stored, replayed within a day, in conflict or refused: a stateful stream over all events, run to its end."""
+    path = shared_path(spark, "idempotency")
+    answered = I.respond(spark, requests(S.source(spark, f"{sf_dir}/events.parquet")), "1 day")
+    return I.run_into(spark, answered, f"{path}/out", f"{path}/checkpoint").drop("ts")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import packing
+from ..operators import folds
 from ..registry import query, table
 
 
@@ -27,12 +27,14 @@ def number_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with q as (select doc_id, text, substring(text, 101, 20) as quote from documents)
+with q as (select doc_id, text, case doc_id % 3 when 0 then substring(text, 101, 20) when 1 then substring(text, 101, 10) || '#' || doc_id else upper(substring(text, 41, 12)) end as quote from documents)
 select doc_id, position(quote in text) > 0 as found, case when position(quote in text) > 0 then position(quote in text)::int - 1 end as "offset",
-  substring(text, greatest(position(quote in text)::int - 80, 1), position(quote in text)::int - greatest(position(quote in text)::int - 80, 1) + length(quote)::int + 80) as context from q""")
+  case when position(quote in text) > 0 then substring(text, greatest(position(quote in text)::int - 80, 1), position(quote in text)::int - greatest(position(quote in text)::int - 80, 1) + length(quote)::int + 80) end as context from q""")
 def quote_ground(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where a quote stands in its source, with what surrounds it."""
-    d = table(spark, sf_dir, "documents").withColumn("quote", F.substring("text", 101, 20))
+    """Where a quote stands in its source, with what surrounds it; two of three quotes are altered, and most of these are found nowhere."""
+    k = F.col("doc_id")
+    quote = F.when(k % 3 == 0, F.substring("text", 101, 20)).when(k % 3 == 1, F.concat(F.substring("text", 101, 10), F.lit("#"), k.cast("string"))).otherwise(F.upper(F.substring("text", 41, 12)))
+    d = table(spark, sf_dir, "documents").withColumn("quote", quote)
     return d.select("doc_id", T.quote_at(F.col("text"), F.col("quote")).alias("q")).select("doc_id", "q.*")
 
 
@@ -64,12 +66,14 @@ def public_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def greedy_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns packed into requests in order: an order-dependent fold, held by a test."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("chars"))
-    return packing.pack(c, "conv_id", "turn", "chars", 1500)
+    return folds.pack(c, "conv_id", "turn", "chars", 1500)
 
 
 @query("""
-with l as (select p_partkey, case when p_partkey <= 26 then chr((64 + p_partkey)::int) when p_partkey <= 702 then chr((65 + ((p_partkey - 1) // 26 - 1))::int) || chr((65 + (p_partkey - 1) % 26)::int) end as letters from part where p_partkey between 1 and 702)
-select p_partkey, letters, p_partkey::int as number, lower(regexp_replace(letters || ' ' || p_partkey, '\\s+', '')) as key from l""")
+with n as (select p_partkey, (p_partkey * 8191 % 16384 + 1)::int as number from part), l as (select *, number - 703 as m from n),
+t as (select p_partkey, number, case when number <= 26 then '' when number <= 702 then chr(65 + (number - 27) // 26) else chr(65 + m // 676) || chr(65 + m // 26 % 26) end || chr(65 + (number - 1) % 26) as letters from l)
+select p_partkey, letters, number, lower(letters || p_partkey) as key from t""")
 def column_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").where("p_partkey between 1 and 702").withColumn("letters", T.column_letters(F.col("p_partkey")))
+    """Column numbers as letters and back, over all columns that a sheet can have."""
+    p = table(spark, sf_dir, "part").withColumn("letters", T.column_letters(F.col("p_partkey") * 8191 % 16384 + 1))
     return p.select("p_partkey", "letters", T.column_number(F.col("letters")).alias("number"), T.normalised(F.concat("letters", F.lit(" "), F.col("p_partkey").cast("string"))).alias("key"))

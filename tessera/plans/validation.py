@@ -15,38 +15,39 @@ SCOPES = "case o_orderstatus when 'F' then ['CFS'] when 'O' then ['CFS', 'OFS']
 
 
 def _chain(p: str) -> str:
-    return f"when {p}r is null then case when {p}ro is not null then 'scope_mismatch' else 'report_unavailable' end when {p}n is null then case when {p}no is not null then 'scope_mismatch' else 'account_not_found' end when {p}n > 1 then 'account_ambiguous'"
+    return f"when {p}r is null then case when {p}ro is not null then 'scope_mismatch' else 'report_unavailable' end when company is not null and {p}code <> company then 'manual_review' when {p}n is null then case when {p}no is not null then 'scope_mismatch' else 'account_not_found' end when {p}n > 1 then 'account_ambiguous'"
 
 
 @query(f"""
 with t as (select c_custkey as id, c_custkey as corp, 1996 + c_custkey % 5 as y, 1 + c_custkey % 4 as q, case c_custkey % 3 when 0 then 'single_quarter' when 1 then 'year_to_date' else 'annual' end as basis, case when c_custkey % 2 = 0 then 'CFS' else 'OFS' end as scope,
-  case c_custkey % 7 when 0 then null when 1 then 'USD' when 2 then 'KRW_MILLION' else 'KRW' end as unit, c_custkey % 6 as metric from customer),
+  case c_custkey % 7 when 0 then null when 1 then 'USD' when 2 then 'KRW_MILLION' else 'KRW' end as unit, c_custkey % 6 as metric, case when c_custkey % 4 <> 3 then 'co' || c_custkey end as company from customer),
 x as (select *, case when scope = 'CFS' then 'OFS' else 'CFS' end as other, case when metric < 5 then 'acc' || metric end as rule, case when basis = 'annual' then 4 else q end as due, basis = 'single_quarter' and q > 1 as needs from t),
 f as (select o_custkey as corp, year(o_orderdate) as y, quarter(o_orderdate) as q, unnest({SCOPES}) as scope, o_orderkey, o_orderdate from orders where o_orderdate <= timestamp '2001-01-01'),
-r as (select corp, y, q, scope, arg_max(o_orderkey, (o_orderdate, o_orderkey)) as report from f group by all),
-w as (select l_orderkey as report, case when l_linestatus = 'F' then 'CFS' else 'OFS' end as scope, 'acc' || (l_partkey % 5) as rule, count(*) as n, min(l_extendedprice::decimal(18,2)) as v from lineitem group by all),
-j as (select x.*, a.report as cr, b.report as cro, aw.n as cn, aw.v as cv, bw.n as cno, c.report as pr, d.report as pro, cw.n as pn, cw.v as pv, dw.n as pno from x
+r as (select corp, y, q, scope, arg_max(o_orderkey, (o_orderdate, o_orderkey)) as report, 'co' || case when arg_max(o_orderkey, (o_orderdate, o_orderkey)) % 6 = 0 then 0 else corp end as code from f group by corp, y, q, scope),
+w as (select l_orderkey as report, case when l_linestatus = 'F' then 'CFS' else 'OFS' end as scope, 'acc' || (l_partkey % 5) as rule, count(*) as n, min(case when l_partkey % 17 > 0 then l_extendedprice::decimal(18,2) end) as v from lineitem group by all),
+j as (select x.*, a.code as ccode, c.code as pcode, a.report as cr, b.report as cro, aw.n as cn, aw.v as cv, bw.n as cno, c.report as pr, d.report as pro, cw.n as pn, cw.v as pv, dw.n as pno from x
   left join r a on a.corp = x.corp and a.y = x.y and a.q = due and a.scope = x.scope left join r b on b.corp = x.corp and b.y = x.y and b.q = due and b.scope = other
   left join w aw on aw.report = a.report and aw.rule = x.rule and aw.scope = x.scope left join w bw on bw.report = a.report and bw.rule = x.rule and bw.scope = other
   left join r c on c.corp = x.corp and c.y = x.y and c.q = x.q - 1 and c.scope = x.scope and needs left join r d on d.corp = x.corp and d.y = x.y and d.q = x.q - 1 and d.scope = other and needs
   left join w cw on cw.report = c.report and cw.rule = x.rule and cw.scope = x.scope left join w dw on dw.report = c.report and dw.rule = x.rule and dw.scope = other),
-s as (select *, case when rule is null or unit is null then 'manual_review' {_chain('c')} when needs and (pr is null or pn is null or pn > 1) then case {_chain('p')} end when unit = 'USD' then 'unit_unknown' else 'validated' end as status_code from j)
-select id, rule, cr as report, status_code, case when status_code = 'validated' then round((cv::double - case when needs then pv::double else 0 end) / case unit when 'KRW_MILLION' then 1000000 else 1 end, 6) end as value from s""")
+s as (select *, case when rule is null or unit is null then 'manual_review' {_chain('c')} when needs and (pr is null or (company is not null and pcode <> company) or pn is null or pn > 1) then case {_chain('p')} end when unit = 'USD' then 'unit_unknown' when cv is null or (needs and pv is null) then 'manual_review' else 'validated' end as status_code from j)
+select id, rule, cr as report, status_code, case when status_code = 'validated' then ((cv - case when needs then pv else 0 end)::decimal(24,2) * case unit when 'KRW_MILLION' then 0.000001 else 1 end::decimal(12,9))::decimal(38,12) end as value from s""")
 def official_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets against filings: alias, filing, scope, row, previous cumulative filing and unit, each with its code."""
+    """Targets against filings: alias, filing, company, scope, row, previous cumulative filing, unit and amount, each with its code."""
     k = F.col("c_custkey")
     targets = table(spark, sf_dir, "customer").select(
         k.alias("id"), k.alias("corp"), (k % 5 + 1996).cast("int").alias("year"), (k % 4 + 1).cast("int").alias("quarter"), F.when(k % 3 == 0, "single_quarter").when(k % 3 == 1, "year_to_date").otherwise("annual").alias("basis"),
         F.when(k % 2 == 0, "CFS").otherwise("OFS").alias("scope"), F.when(k % 7 == 1, "USD").when(k % 7 == 2, "KRW_MILLION").when(k % 7 > 2, "KRW").alias("unit"),
-        F.concat(F.when(k % 2 == 0, " ACCOUNT  ").otherwise("acc ount"), (k % 6).cast("string")).alias("metric"),
+        F.concat(F.when(k % 2 == 0, " ACCOUNT  ").otherwise("acc ount"), (k % 6).cast("string")).alias("metric"), F.when(k % 4 != 3, F.concat(F.lit("co"), k.cast("string"))).alias("company"),
     )
     rules = spark.createDataFrame([(f"account{i}", f"acc{i}") for i in range(5)], "label string, rule string")
     scopes = F.when(F.col("o_orderstatus") == "F", F.array(F.lit("CFS"))).when(F.col("o_orderstatus") == "O", F.array(F.lit("CFS"), F.lit("OFS"))).otherwise(F.array(F.lit("OFS")))
     filed = table(spark, sf_dir, "orders").where(F.col("o_orderdate") <= F.lit("2001-01-01").cast("timestamp"))
     filed = filed.select(F.col("o_custkey").alias("corp"), F.year("o_orderdate").alias("year"), F.quarter("o_orderdate").alias("quarter"), F.explode(scopes).alias("scope"), F.col("o_orderkey").alias("report"), "o_orderdate")
     reports = asof.latest_per_key(filed, ["corp", "year", "quarter", "scope"], [F.col("o_orderdate"), F.col("report")], ["report"])
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("report"), F.when(F.col("l_linestatus") == "F", "CFS").otherwise("OFS").alias("scope"), F.concat(F.lit("acc"), (F.col("l_partkey") % 5).cast("string")).alias("rule"), F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"))
-    return V.official_values(targets, rules, reports, rows, {"KRW": 1, "KRW_MILLION": 1_000_000})
+    reports = reports.withColumn("code", F.concat(F.lit("co"), F.when(F.col("report") % 6 == 0, 0).otherwise(F.col("corp")).cast("string")))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("report"), F.when(F.col("l_linestatus") == "F", "CFS").otherwise("OFS").alias("scope"), F.concat(F.lit("acc"), (F.col("l_partkey") % 5).cast("string")).alias("rule"), F.when(F.col("l_partkey") % 17 > 0, F.col("l_extendedprice").cast("decimal(18,2)")).alias("amount"))
+    return V.official_values(targets, rules, reports, rows, {"KRW": "1", "KRW_MILLION": "0.000001"})
 
 
 CANDIDATES = """c as (select l_orderkey, l_linenumber, l_partkey, l_quantity, o_orderkey, 'amount ' || (l_orderkey + case when l_linenumber = 7 then 1 else 0 end) as quote, o_orderpriority || ' company ' || o_custkey || ' amount ' || o_orderkey || ' end' as body,
@@ -109,18 +110,6 @@ def source_period_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "period", "field", V.source_period(F.col("period"), F.col("y"), F.col("q"), F.col("field")).alias("matches"))
 
 
-@query("""
-with p as (select p_partkey, p_size as r, p_partkey % 9 + 1 as k from part), e as (
-select p_partkey, 'Main' as sheet, unnest([r, r + 1, r + 2]) as "row", 1 as col from p union select p_partkey, 'Main', unnest([r, r + 1, r + 2]), 2 from p union select p_partkey, 'Main', r, 3 from p union select p_partkey, 'Other data', k, 28 from p
-union select p_partkey, 'Main', 1, 5 from p where p_partkey % 3 = 0 union select p_partkey, 'Main', 2, 6 from p where p_partkey % 3 = 0)
-select p_partkey, sheet, "row"::int as "row", col from e""")
-def formula_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells that formulas read: references by pattern, ranges expanded, function names left out."""
-    r, k = F.col("p_size").cast("string"), (F.col("p_partkey") % 9 + 1).cast("string")
-    formula = F.concat(F.lit("=SUM($B"), (F.col("p_size") + 2).cast("string"), F.lit(":A"), r, F.lit(")*$C$"), r, F.lit("+'Other data'!AB"), k, F.when(F.col("p_partkey") % 3 == 0, "+IF(E1>0,F2,LOG10(2))").otherwise(""))
-    return V.references(table(spark, sf_dir, "part"), ["p_partkey"], formula, F.lit("Main"))
-
-
 @query("""
 with t as (select p_partkey, p_size, case p_partkey % 4 when 0 then p_size::varchar when 1 then (p_size * 3) || '.5' when 2 then ' ' || p_size || '.25' else '0' end as per, case p_partkey % 3 when 0 then (p_size * 1000)::varchar when 1 then '0' || p_size else (p_size::bigint * 100000000)::varchar end as price from part)
 select p_partkey, case p_partkey % 4 when 0 then p_size || '.0' when 1 then case when p_size * 3 < 100 then (p_size * 3) || '.5' end end as multiple, case when p_partkey % 3 = 0 and p_size > 0 then price when p_partkey % 3 = 2 and p_size between 1 and 10 then price end as price from t""")
@@ -144,14 +133,18 @@ def category_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with t as (select conv_id, sum(case when role = 'assistant' then 0 else length(coalesce(text, '')) end)::bigint as input_tokens, sum(case when role = 'assistant' then length(coalesce(text, '')) else 0 end)::bigint as output_tokens from conversations group by 1)
-select conv_id, input_tokens, output_tokens, round((input_tokens * 5.0 + output_tokens * 20.0)::double / 1000000, 9) as cost from t""")
+with u as (select user_id, event_type as model, event_id % 2 = 1 as output, (props->>'$.k')::bigint as tokens from events),
+t as (select user_id, model, coalesce(sum(tokens) filter (not output), 0)::bigint as input_tokens, coalesce(sum(tokens) filter (output), 0)::bigint as output_tokens, count(*) filter (tokens is null) as unreported from u group by 1, 2)
+select user_id, model, input_tokens, output_tokens, unreported, case model when 'click' then ((input_tokens * 500 + output_tokens * 2000)::decimal(20,0) * 0.00000001::decimal(9,8))::decimal(28,8) when 'purchase' then ((input_tokens * 25 + output_tokens * 125)::decimal(20,0) * 0.00000001::decimal(9,8))::decimal(28,8) end as cost from t""")
 def usage_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Usage by direction and its cost at a price per million."""
-    said = F.length(F.coalesce("text", F.lit(""))).cast("long")
-    out = F.coalesce(F.col("role") == "assistant", F.lit(False))
-    g = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sum(F.when(out, 0).otherwise(said)).alias("input_tokens"), F.sum(F.when(out, said).otherwise(0)).alias("output_tokens"))
-    return g.withColumn("cost", F.round((F.col("input_tokens") * 5.0 + F.col("output_tokens") * 20.0) / 1_000_000, 9))
+    """Tokens that calls report, by user and model, and their cost at a price per million; a model without a price costs an unknown amount."""
+    prices = spark.createDataFrame([("click", 500, 2000), ("purchase", 25, 125)], "model string, price_in long, price_out long")  # cents per million: a fixed table
+    tokens = F.get_json_object("props", "$.k").try_cast("long")
+    u = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("model"), (F.col("event_id") % 2 == 1).alias("output"), tokens.alias("tokens"))
+    total = lambda out: F.coalesce(F.sum(F.when(F.col("output") == out, F.col("tokens"))), F.lit(0))
+    g = u.groupBy("user_id", "model").agg(total(False).alias("input_tokens"), total(True).alias("output_tokens"), F.count_if(F.col("tokens").isNull()).alias("unreported")).join(F.broadcast(prices), "model", "left")
+    cents = (F.col("input_tokens") * F.col("price_in") + F.col("output_tokens") * F.col("price_out")).cast("decimal(20,0)")
+    return g.select("user_id", "model", "input_tokens", "output_tokens", "unreported", (cents * F.lit("0.00000001").cast("decimal(9,8)")).cast("decimal(28,8)").alias("cost"))
 
 
 @query("""
@@ -205,9 +198,14 @@ def value_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", N.value_kind(label).alias("kind"))
 
 
-@query("select p_partkey, floor(p_size * 75 + 0.5) / 100 as points from part")
+@query("""
+with b as (select l_orderkey // 16 as page, l_orderkey, l_linenumber, (l_partkey % 50) * 10 as x, (l_orderkey % 16) * 50 + l_linenumber * 7 as y from lineitem)
+select page, floor(min(x) * 75 + 0.5) / 100 as x0, floor(min(y) * 75 + 0.5) / 100 as y0, floor(max(x + 80) * 75 + 0.5) / 100 as x1, floor(max(y + 9) * 75 + 0.5) / 100 as y1, (max(x + 80) - min(x)) * (max(y + 9) - min(y)) as area from b group by 1""")
 def layout_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", N.points(F.col("p_size")).alias("points"))
+    """The box around all objects of a page, in points, and its area in pixels."""
+    b = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 16).alias("page"), (F.col("l_partkey") % 50 * 10).alias("x"), (F.col("l_orderkey") % 16 * 50 + F.col("l_linenumber") * 7).alias("y"))
+    box = b.groupBy("page").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max(F.col("x") + 80).alias("x1"), F.max(F.col("y") + 9).alias("y1"))
+    return box.select("page", *[N.points(F.col(c)).alias(c) for c in ("x0", "y0", "x1", "y1")], ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("area"))
 
 
 @query("""

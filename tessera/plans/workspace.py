@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import folds
 from ..operators import workspace as W
 from ..registry import query, table
 from .sheets import CELLS, _cells
@@ -56,7 +57,7 @@ def function_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def position_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions clustered along a line, an order-dependent fold held by a test."""
-    return W.clusters(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_extendedprice", 200.0)
+    return folds.clusters(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_extendedprice", 200.0)
 
 
 @query("""
