@@ -2,12 +2,13 @@
 
 Each text is a layer. Three patterns scan a layer; encoded regions in it (URL
 escapes, Unicode and character-reference escapes, base64 on one line or wrapped over
-lines, and zlib, gzip (all members) or raw deflate data inside either) open as new layers, which are scanned and opened in turn
-until nothing new appears. A layer whose content was met before at the same place
+lines, and zlib or gzip streams (also several behind each other), raw deflate, bzip2 or xz data inside either) open as new
+layers, which are scanned and opened in turn until nothing new appears. A layer whose content was met before at the same place
 of the document is not opened again, so cycles end, while equal regions in other
 places get their own spans. Every character of a layer carries the place
-of the source characters it came from, so what is found deep inside maps to
-a span of the stored text.
+of the source characters it came from, escape by escape, so what is found deep inside maps to
+a span of the stored text. A match is told in the layer that turned one of its characters. Compressed data has no
+such places: each match in it is a span of its own over the whole encoded region.
 
 Defined results: a null text is empty and has no spans; repeated rows give
 repeated results; an empty table gives no rows; extra columns are ignored. A
@@ -19,16 +20,18 @@ such a place. `layers_cut` counts the layers whose stream is damaged or ends ear
 No layer is dropped for its content: the shortest match has 12 characters of printable
 ASCII, so decoded bytes without such a run can hold neither a match nor an escape, and
 base64 of fewer than 16 characters cannot hold a match. Bytes that are no UTF-8 are read as
-ASCII with the others replaced. A base64 run is read from its first character, and where
-that gives nothing from the next three (a path or name may stand before it).
+ASCII with the others replaced, pairs of a character and a zero byte as UTF-16. A base64 run is read from each of its
+first four characters (a path, a name or another value may stand before the one it holds).
 """
 
 from __future__ import annotations
 
 import binascii
+import bz2
 import codecs
 import hashlib
 import html
+import lzma
 import re
 import zlib
 from array import array
@@ -50,9 +53,14 @@ PIECE_BYTES = 4 << 20
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+\r?\n[ \t]*+)+[A-Za-z0-9+/_-]+={0,2}")
+#: What wraps a base64 value over lines: a line end, or one written as an escape.
+FOLD = re.compile(r"\r?\n[ \t]*|(?:\\r)?\\n")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]++(?:\r?\n[ \t]*+|(?:\\r)?\\n))+[A-Za-z0-9+/_-]+={0,2}")
 #: What decoded bytes must hold to hold a match or an escape.
 RUN = re.compile(rb"[\x20-\x7e]{12}")
+#: Bytes that are text throughout, so that nothing else is hidden in them.
+WHOLE = re.compile(rb"[\x20-\x7e\t\r\n]+")
+WIDE = re.compile(rb"(?P<le>(?:[\x20-\x7e]\x00){12})|(?P<be>(?:\x00[\x20-\x7e]){12})")
 #: Bytes read as ASCII, one character each.
 ASCII_TABLE = {b: "�" for b in range(127, 256)}
 #: A character that stands in no match and no encoded region, before and after decoding.
@@ -75,18 +83,32 @@ def base_matches(text: str) -> Iterator[tuple[str, int, int, str]]:
         yield "hex", m.start(), m.end(), m[0]
 
 
-def inflated(raw: bytes, bits: int) -> Iterator[tuple[bytes, bool]]:
-    """(bytes, damaged) of a compressed stream, piece by piece; all members of a gzip stream."""
+def _stream(raw: bytes, bits: int):  # noqa: ANN202
+    """A decompressor of what raw begins with, and its name; zlib's window bits serve where no other head is seen."""
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor(), "bz2"
+    if raw[:6] == b"\xfd7zXZ\0":
+        return lzma.LZMADecompressor(lzma.FORMAT_XZ), "xz"
+    return zlib.decompressobj(bits), "deflate"
+
+
+def headed(raw: bytes) -> bool:
+    """Does it begin like a gzip, zlib, bzip2 or xz stream?"""
+    return raw[:2] == b"\x1f\x8b" or raw[:3] == b"BZh" or raw[:6] == b"\xfd7zXZ\0" or (len(raw) > 1 and raw[0] == 0x78 and (raw[0] << 8 | raw[1]) % 31 == 0)
+
+
+def inflated(raw: bytes, bits: int, unused: list[int] | None = None) -> Iterator[tuple[bytes, bool]]:
+    """(bytes, damaged) of compressed data, piece by piece; all streams that stand behind each other. What follows them is counted in unused."""
     while raw:
-        d = zlib.decompressobj(bits)
+        d, name = _stream(raw, bits)
         tail = raw
         while True:
             try:
                 out = d.decompress(tail, PIECE_BYTES)
-            except zlib.error:
+            except (zlib.error, OSError, lzma.LZMAError, EOFError):
                 yield b"", True
                 return
-            tail = d.unconsumed_tail
+            tail = d.unconsumed_tail if name == "deflate" else b""
             if out:
                 yield out, False
             if d.eof:
@@ -94,23 +116,26 @@ def inflated(raw: bytes, bits: int) -> Iterator[tuple[bytes, bool]]:
             if not out and not tail:  # ends early
                 yield b"", True
                 return
-        raw = d.unused_data if d.unused_data[:2] == b"\x1f\x8b" else b""
+        raw = d.unused_data if headed(d.unused_data) else b""
+        if not raw and unused is not None:
+            unused.append(len(d.unused_data))
 
 
-def inflate(raw: bytes) -> Iterator[tuple[str, bool, bool]] | None:
-    """The pieces of zlib, gzip or whole raw deflate data (see pieces); None for anything else."""
+def inflate(raw: bytes) -> tuple[str, Iterator[tuple[str, bool, bool]], list[int]] | None:
+    """The method, the pieces (see pieces) and, when these are read, the bytes behind, of compressed data with a head or whole raw deflate data; None for anything else."""
     if len(raw) < 8:
         return None
-    if raw[:2] == b"\x1f\x8b" or (raw[0] == 0x78 and (raw[0] << 8 | raw[1]) % 31 == 0):
+    if headed(raw):
         first = next(inflated(raw, 47), (b"", True))
-        return pieces(inflated(raw, 47)) if first[0] else None
+        unused: list[int] = []
+        return (_stream(raw, 47)[1], pieces(inflated(raw, 47, unused)), unused) if first[0] else None
     size, held = 0, b""
     for out, damaged in inflated(raw, -15):
         if damaged:
             return None
         size += len(out)
         held = held or (out if RUN.search(out) else b"")
-    return pieces(inflated(raw, -15)) if size and held else None
+    return ("deflate", pieces(inflated(raw, -15)), [0]) if size and held else None
 
 
 def pieces(stream: Iterator[tuple[bytes, bool]]) -> Iterator[tuple[str, bool, bool]]:
@@ -134,28 +159,34 @@ def pieces(stream: Iterator[tuple[bytes, bool]]) -> Iterator[tuple[str, bool, bo
     yield "".join([*held, decoder.decode(b"", True)]), True, broken
 
 
-def readable(raw: bytes) -> tuple[str, bool] | None:
-    """Decoded bytes that may hold a match, and whether each character is one byte; else None."""
-    if not RUN.search(raw):
-        return None
-    try:
-        return raw.decode(), raw.isascii()
-    except UnicodeDecodeError:
-        return raw.decode("latin-1").translate(ASCII_TABLE), True
+def readable(raw: bytes) -> tuple[str, int, int] | None:
+    """Decoded bytes that may hold a match, the bytes of each character (0: as many as in UTF-8) and how many bytes stand before them; else None."""
+    if RUN.search(raw):
+        try:
+            return raw.decode(), int(raw.isascii()), 0
+        except UnicodeDecodeError:
+            return raw.decode("latin-1").translate(ASCII_TABLE), 1, 0
+    if m := WIDE.search(raw):
+        skip = m.start() % 2
+        units = raw[skip : len(raw) - (len(raw) - skip) % 2]
+        # Two bytes a character: what is no ASCII is replaced, as in other bytes that are no UTF-8.
+        high, low = (units[1::2], units[::2]) if m["le"] else (units[::2], units[1::2])
+        return "".join(chr(b) if not a and b < 127 else "\ufffd" for a, b in zip(high, low, strict=True)), 2, skip
+    return None
 
 
 class Layer:
-    """A text and, for each of its characters, the source characters [start, end) behind it; touched marks decoded ones."""
+    """A text and, for each of its characters, the source characters [start, end) behind it; fresh marks those decoded in this layer, packed that all have one place."""
 
-    __slots__ = ("text", "start", "end", "touched", "path")
+    __slots__ = ("text", "start", "end", "fresh", "path", "packed")
 
-    def __init__(self, text: str, start: array, end: array, touched: bytearray, path: tuple[str, ...]) -> None:
-        self.text, self.start, self.end, self.touched, self.path = text, start, end, touched, path
+    def __init__(self, text: str, start: array, end: array, fresh: bytearray, packed: bool = False) -> None:
+        self.text, self.start, self.end, self.fresh, self.path, self.packed = text, start, end, fresh, (), packed
 
     def key(self) -> bytes:
         """Content and place."""
         h = hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16)
-        for part in (self.start, self.end, self.touched):
+        for part in (self.start, self.end):
             h.update(part)
         return h.digest()
 
@@ -179,87 +210,135 @@ def _runs(text: str, pattern: re.Pattern) -> Iterator[tuple[int, int, list[re.Ma
 
 
 def _escapes(text: str, get, name: str, pattern: re.Pattern, turn) -> Iterator[tuple[str, Layer]]:  # noqa: ANN001
-    """Runs that hold escapes, as layers with the escapes turned into characters."""
+    """Runs that hold escapes, as layers with each escape turned into its own characters."""
     for lo, hi, met in _runs(text, pattern):
         out: list[str] = []
-        start, end, touched = array("q"), array("q"), bytearray()
+        start, end, fresh = array("q"), array("q"), bytearray()
 
         def copy(a: int, z: int) -> None:
             out.append(text[a:z])
+            fresh.extend(bytes(z - a))
             for i in range(a, z):
-                s, e, t = get(i)
+                s, e = get(i)
                 start.append(s)
                 end.append(e)
-                touched.append(t)
 
         last = lo
         for m in met:
             copy(last, m.start())
-            new = turn(m[0])
-            out.append(new)
-            start.extend([get(m.start())[0]] * len(new))
-            end.extend([get(m.end() - 1)[1]] * len(new))
-            touched.extend(b"\1" * len(new))
+            for chars, a, z in turn(m[0]):
+                out.append(chars)
+                start.extend([get(m.start() + a)[0]] * len(chars))
+                end.extend([get(m.start() + z - 1)[1]] * len(chars))
+                fresh.extend(b"\1" * len(chars))
             last = m.end()
         copy(last, hi)
-        yield name, Layer("".join(out), start, end, touched, ())
+        yield name, Layer("".join(out), start, end, fresh)
 
 
-def _unescape(run: str) -> str:
-    if run.startswith("&"):
-        return html.unescape(run)
-    if run.startswith("\\u{"):
-        code = int(run[3:-1], 16)
-        return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "�"
-    if run.startswith("\\u"):
-        units = b"".join(int(run[i + 2 : i + 6], 16).to_bytes(2, "big") for i in range(0, len(run), 6))
-        return units.decode("utf-16-be", "replace")
-    code = int(run[2:], 16)
-    return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "�"
+def _one(code: int) -> str:
+    return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd"
 
 
-def _unpercent(run: str) -> str:
-    return bytes.fromhex(run.replace("%", "")).decode("utf-8", "replace")
+def _unescape(run: str) -> Iterator[tuple[str, int, int]]:
+    """(characters, from, to) of each escape of a run; two escapes of a surrogate pair are one character."""
+    if run.startswith("&"):
+        yield html.unescape(run), 0, len(run)
+    elif run.startswith("\\u{"):
+        yield _one(int(run[3:-1], 16)), 0, len(run)
+    elif run.startswith("\\u"):
+        at = 0
+        while at < len(run):
+            code, size = int(run[at + 2 : at + 6], 16), 6
+            if 0xD800 <= code < 0xDC00 and at + 12 <= len(run) and 0xDC00 <= (low := int(run[at + 8 : at + 12], 16)) < 0xE000:
+                code, size = 0x10000 + (code - 0xD800 << 10) + low - 0xDC00, 12
+            yield _one(code), at, at + size
+            at += size
+    else:
+        yield _one(int(run[2:], 16)), 0, len(run)
+
+
+def _unpercent(run: str) -> Iterator[tuple[str, int, int]]:
+    """(character, from, to): the escapes of one UTF-8 character together, any other byte replaced."""
+    decoder, begun = codecs.getincrementaldecoder("utf-8")("replace"), 0
+    for at, byte in enumerate(bytes.fromhex(run.replace("%", ""))):
+        got = decoder.decode(bytes([byte]))
+        if len(got) > 1:  # a broken group before this byte
+            yield got[:-1], begun * 3, at * 3
+            begun, got = at, got[-1]
+        elif got == "\ufffd" and byte >= 0xC0 and begun < at:  # the group before broke off, this byte begins another
+            yield got, begun * 3, at * 3
+            begun, got = at, ""
+        if got:
+            yield got, begun * 3, at * 3 + 3
+            begun = at + 1
+    if rest := decoder.decode(b"", True):
+        yield rest, begun * 3, len(run)
 
 
 def opened(layer: Layer | str) -> Iterator[tuple[str, Layer, bool, bool]]:
     """The layers directly inside a layer: (name, layer or a piece of it, last piece, damaged)."""
     if isinstance(layer, str):
-        text = layer
+        text, packed = layer, False
 
-        def get(i: int) -> tuple[int, int, bool]:
-            return i, i + 1, False
+        def get(i: int) -> tuple[int, int]:
+            return i, i + 1
     else:
-        text = layer.text
+        text, packed = layer.text, layer.packed
 
-        def get(i: int) -> tuple[int, int, bool]:
-            return layer.start[i], layer.end[i], layer.touched[i]
+        def get(i: int) -> tuple[int, int]:
+            return layer.start[i], layer.end[i]
 
-    def inside(name: str, got: Iterator[tuple[str, bool, bool]], lo: int, hi: int) -> Iterator[tuple[str, Layer, bool, bool]]:
+    def inside(name: str, got: tuple[str, Iterator[tuple[str, bool, bool]], list[int]], lo: int, hi: int) -> Iterator[tuple[str, Layer, bool, bool]]:
         s, e = get(lo)[0], get(hi - 1)[1]
-        for text, last, damaged in got:
+        for text, last, damaged in got[1]:
             n = len(text)
-            yield name, Layer(text, array("q", [s]) * n, array("q", [e]) * n, bytearray(b"\1") * n, ()), last, damaged
+            yield f"{name}>{got[0]}", Layer(text, array("q", [s]) * n, array("q", [e]) * n, bytearray(b"\1") * n, True), last, damaged
+
+    def plain(name: str, new: Layer) -> tuple[str, Layer, bool, bool]:
+        new.packed = packed
+        return name, new, True, False
 
     if "%" in text:
         for name, new in _escapes(text, get, "url", URL, _unpercent):
-            yield name, new, True, False
+            yield plain(name, new)
         for m in URL.finditer(text):  # escaped bytes may be compressed data
             if len(m[0]) >= 24 and (got := inflate(bytes.fromhex(m[0].replace("%", "")))):
-                yield from inside("url>deflate", got, m.start(), m.end())
+                yield from inside("url", got, m.start(), m.end())
     if "\\" in text or "&#" in text:
         for name, new in _escapes(text, get, "unicode", ESCAPE, _unescape):
-            yield name, new, True, False
+            yield plain(name, new)
     for m in BASE64.finditer(text):
-        yield from _base64(m[0], range(m.start(), m.end()), get, inside)
-    if "\n" in text:
+        yield from _base64(m[0], range(m.start(), m.end()), get, inside, plain)
+    if "\n" in text or "\\n" in text:
         for m in WRAPPED.finditer(text):
-            places = [i for i in range(m.start(), m.end()) if text[i] not in " \t\r\n"]
-            yield from _base64("".join(m[0].split()), places, get, inside)
-
-
-def _base64(run: str, places, get, inside) -> Iterator[tuple[str, Layer, bool, bool]]:  # noqa: ANN001
-    """The layer inside a run of base64 characters that stand at places."""
+            if m.end() - m.start() < 16:
+                continue
+            for block in _blocks(text, m.start(), m.end()):
+                places = [i for a, z in block for i in range(a, z)]
+                yield from _base64("".join(text[a:z] for a, z in block), places, get, inside, plain)
+
+
+def _blocks(text: str, lo: int, hi: int) -> Iterator[list[tuple[int, int]]]:
+    """The bounds of the lines of each wrapped value between lo and hi: lines of 16 characters or more, or of one length, and a last one that may be shorter."""
+    block: list[tuple[int, int]] = []
+    bounds = [(f.start(), f.end()) for f in FOLD.finditer(text, lo, hi)] + [(hi, hi)]
+    for stop, after in bounds:
+        size = stop - lo
+        if block:
+            first, last = (z - a for a, z in (block[0], block[-1]))
+            if not (last >= 16 or (last == first and size <= first)):
+                if len(block) > 1:
+                    yield block
+                block = []
+        block.append((lo, stop))
+        lo = after
+    if len(block) > 1:
+        yield block
+
+
+def _base64(run: str, places, get, inside, plain) -> Iterator[tuple[str, Layer, bool, bool]]:  # noqa: ANN001
+    """The layers inside a run of base64 characters that stand at places, read from each of the first four."""
     run = run.rstrip("=").translate({45: 43, 95: 47})
     for skip in range(4):
         core = run[skip:]
@@ -269,25 +348,28 @@ def _base64(run: str, places, get, inside) -> Iterator[tuple[str, Layer, bool, b
         raw = binascii.a2b_base64(core + "=" * (-len(core) % 4))
         got = inflate(raw)
         if got:
-            yield from inside("base64>deflate", got, places[skip], places[-1] + 1)
-            return
+            yield from inside("base64", got, places[skip], places[-1] + 1)
+            if got[2] and not got[2][0]:  # read to its end: nothing stands behind
+                return
+            continue
         inner = readable(raw)
         if inner is None:
             continue
-        start, end, byte, last = array("q"), array("q"), 0, len(places) - 1
+        start, end, byte, last = array("q"), array("q"), inner[2], len(places) - 1
         for c in inner[0]:
-            n = 1 if inner[1] else len(c.encode())
+            n = inner[1] or len(c.encode())
             start.append(get(places[skip + byte * 4 // 3])[0])
             end.append(get(places[min(last, skip + (byte + n) * 4 // 3 + ((byte + n) * 4 % 3 > 0) - 1)])[1])
             byte += n
-        yield "base64", Layer(inner[0], start, end, bytearray(b"\1") * len(inner[0]), ()), True, False
-        return
+        yield plain("base64", Layer(inner[0], start, end, bytearray(b"\1") * len(inner[0])))
+        if WHOLE.fullmatch(raw):
+            return
 
 
 def scan(text: str) -> tuple[list[dict], int, int]:
     """All spans of a text, the layers opened and how many of them were damaged."""
     spans = [{"kind": k, "start": s, "end": e, "base": True, "depth": 0, "secret": v} for k, s, e, v in base_matches(text)]
-    have = {(x["kind"], x["start"], x["end"]) for x in spans}
+    have = {(x["kind"], x["start"], x["end"], None) for x in spans}
     seen, layers, cut_layers = set(), 0, 0
 
     def spread(layer: Layer | str, path: tuple[str, ...]) -> None:
@@ -304,9 +386,10 @@ def scan(text: str) -> tuple[list[dict], int, int]:
                 cut_layers += damaged
                 new.path = (*path, name)
                 for kind, s, e, value in base_matches(new.text):
-                    if not any(new.touched[s:e]):
+                    if not any(new.fresh[s:e]):
                         continue  # met already, one layer up
-                    span = (f"{'>'.join(new.path)}>{kind}", min(new.start[s:e]), max(new.end[s:e]))
+                    # What is inside compressed data is told apart by its place there.
+                    span = (f"{'>'.join(new.path)}>{kind}", min(new.start[s:e]), max(new.end[s:e]), (key, s) if new.packed else None)
                     if span not in have:
                         have.add(span)
                         spans.append({"kind": span[0], "start": span[1], "end": span[2], "base": False, "depth": len(new.path), "secret": value})
@@ -317,7 +400,7 @@ def scan(text: str) -> tuple[list[dict], int, int]:
 
     spread(text, ())
     rank = {k: i for i, k in enumerate(KINDS)}
-    spans.sort(key=lambda x: (x["start"], rank.get(x["kind"], len(KINDS)), x["kind"], x["end"]))
+    spans.sort(key=lambda x: (x["start"], rank.get(x["kind"], len(KINDS)), x["kind"], x["end"], x["secret"]))
     return spans, layers, cut_layers
 
 

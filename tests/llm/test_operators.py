@@ -355,6 +355,49 @@ def test_secrets_spans_against_plain():
         assert (got["start"], got["end"]) == (len(lead) + n * 4 // 3, len(lead) + -(-(n + len(match)) * 4 // 3))
 
 
+def test_secrets_many_in_one_run():
+    """n escaped secrets in one run give n spans, each of its own characters."""
+    parts = ["password=hunter22", "token=abcdefgh1", "secret=qwertyui", "api_key=0123456789"]
+    percent = lambda t: "".join(f"%{b:02X}" for b in t.encode())
+    units = lambda t: "".join(f"\\u{int.from_bytes(t.encode('utf-16-be')[i : i + 2]):04x}" for i in range(0, len(t.encode("utf-16-be")), 2))
+    for coded, kind, size in ((percent, "url>assign", lambda t: 3 * len(t.encode())), (units, "unicode>assign", lambda t: 3 * len(t.encode("utf-16-be")))):
+        for gap in (" ", " é€😀 ", "\n"):
+            text, at, want = ">", 1, []
+            for p in parts:
+                want.append((at, at + size(p), p.split("=")[1]))
+                text += coded(p + gap)
+                at += size(p + gap)
+            spans = [(x["start"], x["end"], x["secret"]) for x in secrets.scan(text)[0] if not x["base"]]
+            assert spans == want and {x["kind"] for x in secrets.scan(text)[0] if not x["base"]} == {kind}
+    for broken in ("%E2%82", "%FF", "%E2%82%E2%82%AC", "%F0%80", "%E9%41"):
+        got = list(secrets._unpercent(broken + "%41"))
+        assert "".join(c for c, *_ in got)[-1] == "A" and got[0][1] == 0 and all(a[2] == b[1] for a, b in zip(got, got[1:], strict=False)) and got[-1][2] == len(broken) + 3
+    packed = base64.b64encode(zlib.compress(" ".join(parts[1:2] * 3 + parts[:1]).encode())).decode()
+    inside = [x["secret"] for x in secrets.scan(packed)[0]]
+    assert inside == ["abcdefgh1"] * 3 + ["hunter22"]
+
+
+def test_secrets_layers_that_stand_oddly():
+    """UTF-16, short lines, line ends written as escapes, values behind each other, streams behind each other, other methods."""
+    import bz2
+    import lzma
+    import textwrap
+
+    secret = "password = hunter2abc"
+    b64 = lambda x: base64.b64encode(x).decode()
+    one = b64(f"here is {secret} and more words to wrap".encode())
+    cases = [
+        (b64(secret.encode("utf-16")), "base64>assign"), (b64(secret.encode("utf-16-be")), "base64>assign"), (b64("é ".encode("utf-16-le") + secret.encode("utf-16-le")), "base64>assign"),
+        *[("\n".join(textwrap.wrap(one, w)), "base64>assign") for w in (4, 8, 15, 76)], ("\\n".join(textwrap.wrap(one, 20)), "base64>assign"), ("\\r\\n".join(textwrap.wrap(one, 12)), "base64>assign"), ("begin\n" + "\n".join(textwrap.wrap(one, 10)), "base64>assign"),
+        *[(b64(b"another plain value of some text"[:n]).rstrip("=") + "//" + one, "base64>assign") for n in (30, 31, 32)], (b64(zlib.compress(b"nothing in the first one")[:]+ zlib.compress(secret.encode())), "base64>deflate>assign"), (b64(gzip.compress(b"first") + zlib.compress(b"second") + bz2.compress(secret.encode())), "base64>deflate>assign"),
+        (b64(bz2.compress(secret.encode())), "base64>bz2>assign"), (b64(lzma.compress(secret.encode())), "base64>xz>assign"),
+    ]
+    for text, kind in cases:
+        found = [x for x in secrets.scan(f"<{text}>")[0] if x["kind"] == kind]
+        assert [x["secret"] for x in found] == ["hunter2abc"], (text, kind, found)
+        assert 1 <= found[0]["start"] < found[0]["end"] <= len(text) + 1
+
+
 def test_secrets_long_line_is_bounded():
     import resource
 
