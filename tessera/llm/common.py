@@ -67,6 +67,17 @@ def pick(df: DataFrame, **names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(k) for k, c in names.items()])
 
 
+def free(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores behind it until no column bears it in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column (or a binary column's bytes) and its n + 1 offsets; null is empty."""
     raw_kind = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)

@@ -23,7 +23,7 @@ their decision in a broadcast, not in one task.
 Defined results: a null text has one empty line and stays null; empty lines never
 recur; repeated rows (equal doc_id and text) count once and are treated alike;
 ties between tokens go to the earlier position, then the smaller token; an empty table
-gives no rows; extra columns stay as they are.
+gives no rows; extra columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_table, small
+from .common import free, shared_table, small
 
 LEAD, SPLITS, SPLIT_SHARE, SIMILAR, DOCUMENTS, PASSAGE, COPY_SHARE = 3, 2, 0.2, 0.7, 3, 50, 0.5
 #: Rows of one line that make it a hot one; at most one in so many rows names one.
@@ -126,16 +126,18 @@ def recurring(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, prefix: str = "") -> DataFrame:
-    """docs with n_lines and n_dropped (behind prefix) added, and without the lines whose template recurs."""
-    drop = recurring(spark, docs.select("doc_id", F.col("text").cast("string").alias("text"))).groupBy("doc").agg(F.collect_set("pos").alias("_drop"))
-    drop = shared_table(spark, drop.withColumnRenamed("doc", "_doc"), "lines-to-drop")
-    out = docs.withColumn("text", F.col("text").cast("string")).withColumn("_doc", _key()).join(small(drop), "_doc", "left")
+    """docs with n_lines and n_dropped (behind prefix) added, and without the lines whose template recurs. Where docs has such columns, the new ones get underscores behind."""
+    ident, gone = free(docs.columns, "_doc", "_drop")
+    n_lines, n_dropped = free(docs.columns, f"{prefix}n_lines", f"{prefix}n_dropped")
+    drop = recurring(spark, docs.select("doc_id", F.col("text").cast("string").alias("text"))).groupBy("doc").agg(F.collect_set("pos").alias(gone))
+    drop = shared_table(spark, drop.withColumnRenamed("doc", ident), "lines-to-drop")
+    out = docs.withColumn("text", F.col("text").cast("string")).withColumn(ident, _key()).join(small(drop), ident, "left")
     lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_drop", i)), "\n")
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i)), "\n")
     return out.select(
-        *[F.when(F.col("_drop").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-        F.coalesce(F.size(lines), F.lit(1)).cast("long").alias(f"{prefix}n_lines"),
-        F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias(f"{prefix}n_dropped"),
+        *[F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
+        F.coalesce(F.size(lines), F.lit(1)).cast("long").alias(n_lines),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(n_dropped),
     )
 
 

@@ -1,7 +1,9 @@
 """Surrogates for personal data, in DataFrame operations only.
 
-Detected entities are e-mail and IPv4 addresses, telephone, card and social security
-numbers, and names behind a form of address. Replacements are keyed and keep type
+Detected entities are e-mail, IPv4 and IPv6 addresses, telephone, card and social security
+numbers, and names behind a form of address: any number of name words, with initials,
+particles, apostrophes and inner capitals, or in capitals throughout. Cards of other
+lengths than sixteen digits count only with a right check digit. Replacements are keyed and keep type
 and format:
 
 * an address or number goes through a keyed permutation of all values of its format
@@ -23,7 +25,8 @@ format of which the corpus holds more than a quarter of all values is not held t
 the first rule (there may be nothing else left); its one permutation keeps all different.
 
 Coreference: equal entities, however they are written, get equal surrogates in the
-whole corpus. In a document that names a person behind a form of address, the same
+whole corpus. A given name whose mention shows no gender takes the one that most of its
+mentions in the corpus show; only a name that is met with both has a surrogate for each. In a document that names a person behind a form of address, the same
 given and family names standing alone, later or earlier, follow their surrogates.
 
 Entities are gathered into one table of distinct values. Each text is cut at its
@@ -32,36 +35,59 @@ searched in.
 
 Defined results: a null text stays null with no entities; a text without entities
 is returned as it is; repeated rows are treated alike; an empty table gives no
-rows; extra columns stay as they are.
+rows; extra columns stay as they are, and where one bears a result's name, the result's
+gets underscores behind it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_table, small
+from .common import free, shared_table, small
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+EMAIL = r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+_HEX = "[0-9A-Fa-f]{1,4}"
+IP6 = rf"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{2,6}}(?::{_HEX}){{1,5}}|{_HEX}:(?::{_HEX}){{2,6}})(?![0-9A-Za-z:]|[.][0-9])"
 IP = rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])"
 CARD = r"(?<![0-9.,-])[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9]|[.,-][0-9])"
+#: Cards of 13, 14, 15 and 19 digits, by what they begin with; only a right check digit makes a number one.
+OTHER_CARD = r"(?<![0-9.,-])(?:3[47][0-9]{2}(?:[0-9]{11}| [0-9]{6} [0-9]{5}|-[0-9]{6}-[0-9]{5})|3(?:0[0-5]|[689][0-9])[0-9](?:[0-9]{10}| [0-9]{6} [0-9]{4}|-[0-9]{6}-[0-9]{4})|4[0-9]{12}|[46][0-9]{18})(?![0-9]|[.,-][0-9])"
 SSN = r"(?<![0-9.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|[.-][0-9])"
 PHONE = r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9]|[.-][0-9])"
+#: Dotted numbers, and national ones that begin with a zero.
+HOME_PHONE = r"(?<![0-9.-])[0-9]{3}\.[0-9]{3}\.[0-9]{4}(?![0-9]|[.-][0-9])|(?<![0-9.,-])0(?:[0-9]{2,4} [0-9]{3,4} [0-9]{3,4}|[1-9](?:(?: [0-9]{2}){4}|(?:\.[0-9]{2}){4})|[0-9]{2,4}[ /-][0-9]{5,8})(?![0-9]|[.,-][0-9])"
 #: Forms of address by the gender they show.
 MALE = ["Mr", "Mr.", "Herr", "Monsieur", "Señor", "Sr.", "Signor", "г-н", "Господин"]
 FEMALE = ["Mrs", "Mrs.", "Ms", "Ms.", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra.", "Signora", "г-жа", "Госпожа"]
 OTHER = ["Dr", "Dr.", "Prof", "Prof."]
-_WORD = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
-PERSON = rf"(?<![\p{{L}}])(?:{'|'.join(sorted((t.replace('.', '[.]') for t in MALE + FEMALE + OTHER), key=len, reverse=True))}) {_WORD}(?: {_WORD})?(?!\p{{L}})"
+#: A name word: O'Brien, McDonald, Anna-Maria; initials; what joins the parts of a family name.
+_WORD = r"\p{Lu}(?:['’]\p{Lu})?\p{Ll}+(?:\p{Lu}\p{Ll}+)*(?:-\p{Lu}(?:['’]\p{Lu})?\p{Ll}+(?:\p{Lu}\p{Ll}+)*)*"
+_INITIAL = r"(?:\p{Lu}[.])+"
+_PARTICLE = "(?:van|von|der|den|de|la|las|los|le|du|del|della|di|da|dos|das|ten|ter|zu|zur|bin|ibn|al|el|y)"
+_CAPITALS = r"\p{Lu}(?:['’]\p{Lu})?\p{Lu}+(?:-\p{Lu}+)*"
+
+
+def _titles(*said: str) -> str:
+    return "|".join(sorted((t.replace(".", "[.]") for t in said), key=len, reverse=True))
+
+
+_PART = rf"(?:{_INITIAL} ?)*(?:{_PARTICLE} )*{_WORD}"
+_GIVEN_CAPITALS = "ADAM BRUNO CARL DAVID EMIL FELIX GEORG HUGO IVAN JONAS KARL LEON MARTIN NICO OSCAR PAUL ROBERT SIMON THOMAS VICTOR JOHN JAMES ANNA BELLA CLARA DIANA EMMA FLORA GRETA HELEN IRENE JULIA KARLA LAURA MARIA NORA OLGA PAULA ROSA SARA TESSA VERA".replace(" ", "|")
+#: In capitals throughout nothing tells a name from the word behind it: one word counts, and more only behind a known given name or initials.
+PERSON = (
+    rf"(?<![\p{{L}}])(?:(?:{_titles(*MALE, *FEMALE, *OTHER)}) {_PART}(?: {_PART}){{0,4}}"
+    rf"|(?:{_titles(*{t.upper() for t in MALE + FEMALE + OTHER})}) (?:{_INITIAL} ?)*(?:(?:{_GIVEN_CAPITALS}) )?{_CAPITALS})(?!\p{{L}})"
+)
 #: A capitalised word that stands alone and begins no e-mail address; looked at only in texts with a person.
-WORD = rf"(?<!\p{{L}}){_WORD}(?!\p{{L}}|[A-Za-z0-9._%+-]*@)"
+WORD = rf"(?<!\p{{L}}){_WORD}(?!\p{{L}}|[\p{{L}}0-9._%+-]*@)"
 #: All kinds in one.
-ANY = f"{EMAIL}|{IP}|{CARD}|{SSN}|{PHONE}|{PERSON}"
+ANY = f"{EMAIL}|{IP}|{IP6}|{CARD}|{OTHER_CARD}|{SSN}|{PHONE}|{HOME_PHONE}|{PERSON}"
 #: What a text with any mention must hold; spares the large pattern elsewhere.
-HINT = r"@|[0-9]{1,3}\.[0-9]{1,3}\.|[0-9]{4}[ -]?[0-9]{4}|[0-9]-[0-9]|\+[0-9]|" + f"(?:{'|'.join(sorted({t.rstrip('.') for t in MALE + FEMALE + OTHER}))})[.]? "
+HINT = r"@|[0-9]{1,3}\.[0-9]{1,3}\.|[0-9]{4}[ -]?[0-9]{4}|[0-9]-[0-9]|\+[0-9]|0[0-9]{1,4}[ ./-][0-9]{2}|[0-9A-Fa-f]:[0-9A-Fa-f:]*:|" + f"(?:{'|'.join(sorted({x for t in MALE + FEMALE + OTHER for x in (t.rstrip('.'), t.rstrip('.').upper())}))})[.]? "
 
 #: Given names that show a gender behind a form of address that shows none.
 GIVEN = {
@@ -98,15 +124,15 @@ def _digits(c: Column) -> Column:
 
 def _kind(m: Column) -> Column:
     return (
-        F.when(m.contains("@"), "email").when(m.rlike(r"^\p{L}"), F.when(m.contains(" "), "person").otherwise("word")).when(m.rlike(r"^[0-9]+(\.[0-9]+){3}$"), "ip")
-        .when(m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn").when(m.rlike(r"^[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}$"), "card").otherwise("phone")
+        F.when(m.contains("@"), "email").when(m.contains(":"), "ip6").when(m.rlike(r"^\p{L}"), F.when(m.contains(" "), "person").otherwise("word")).when(m.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), "ip")
+        .when(m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn").when(m.rlike(r"^[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}$"), "card").when(m.rlike(f"^{OTHER_CARD}$"), "card").otherwise("phone")
     )
 
 
 def _gender(title: Column, given: Column) -> Column:
-    said = F.when(title.isin(MALE), "m").when(title.isin(FEMALE), "f")
+    said = F.when(F.lower(title).isin([t.lower() for t in MALE]), "m").when(F.lower(title).isin([t.lower() for t in FEMALE]), "f")
     for g, names in GIVEN.items():
-        said = said.when(given.isin(names), g)
+        said = said.when(F.lower(given).isin([n.lower() for n in names]), g)
     return said.otherwise("-")
 
 
@@ -125,27 +151,44 @@ def _one_family(script: Column, gender: Column, low: Column) -> Column:
     )
 
 
+def _tokens(m: Column) -> Column:
+    """The words of a name's mention; initials stand apart."""
+    return F.split(F.regexp_replace(m, r"(?<=\p{Lu}[.])(?=\p{Lu}\p{L})", " "), " ")
+
+
+def _is_name(word: Column) -> Column:
+    return word.rlike(rf"^(?:{_WORD}|{_CAPITALS})$")
+
+
 def parts(m: Column) -> Column:
-    """A mention's entities: array of (kind, norm, word, feminine). A name has one for each of its words, any other mention has one."""
+    """A mention's entities: array of (kind, norm, word, feminine). A name has one for each of its name words, any other mention has one; the last name word is the family's."""
 
     def entity(kind: Column, norm: Column, word: Column, feminine: Column) -> Column:
         return F.struct(kind.alias("kind"), norm.alias("norm"), word.alias("word"), feminine.alias("feminine"))
 
-    kind, words = _kind(m), F.split(m, " ")
-    given, family = F.when(F.size(words) > 2, F.element_at(words, 2)), F.element_at(words, -1)
-    gender = _gender(words[0], given)
-    one = _one_family(_script(family), gender, F.lower(family))
-    names = F.filter(
-        F.array(
-            F.when(given.isNotNull(), entity(F.concat(_script(given), F.lit(" "), gender), F.lower(given), given, F.lit(False))),
-            entity(F.concat(_script(family), F.lit(" family")), one, family, (gender == "f") | (one != F.lower(family))),
-        ),
-        lambda x: x.isNotNull(),
-    )
-    norm = F.when(kind == "email", F.lower(m)).when(kind == "ip", m).otherwise(_digits(m))
+    kind, words = _kind(m), _tokens(m)
+    names = F.filter(F.slice(words, 2, 99), _is_name)
+
+    def told(names: Column) -> Column:
+        family = F.element_at(names, -1)
+        gender = _gender(F.get(words, F.lit(0)), F.when(F.size(names) > 1, names[0]))
+        one = _one_family(_script(family), gender, F.lower(family))
+
+        def each(w: Column, i: Column) -> Column:
+            last = entity(F.concat(_script(w), F.lit(" family")), one, w, (gender == "f") | (one != F.lower(w)))
+            return F.when(i == F.size(names) - 1, last).otherwise(entity(F.concat(_script(w), F.lit(" "), gender), F.lower(w), w, F.lit(False)))
+
+        return F.transform(names, each)
+
+    norm = F.when(kind.isin("email", "ip6"), F.lower(m)).when(kind == "ip", m).otherwise(_digits(m))
     # A number after + has its country in it; one without is another number.
     norm = F.when((kind == "phone") & m.startswith("+"), F.concat(F.lit("+"), norm)).otherwise(norm)
-    return F.when(kind == "person", names).otherwise(F.array(entity(kind, norm, m, F.lit(False))))
+    return F.when(kind == "person", _let(names, told)).otherwise(F.array(entity(kind, norm, m, F.lit(False))))
+
+
+def _is_entity(m: Column) -> Column:
+    """Cards of unusual lengths need a right check digit."""
+    return ~m.rlike(f"^{OTHER_CARD}$") | (_luhn(_digits(m)) % 10 == 0)
 
 
 def _stream(*what: Column) -> Column:
@@ -170,7 +213,18 @@ def _cells(text: Column, keep: Column) -> Column:
     def one(c: Column, i: Column) -> Column:
         code = F.ascii(c)
         fixed = _cell(F.lit(0), code, F.lit(1))
-        return F.when(i < keep, fixed).when(c.rlike("[0-9]"), _cell(code - 48, F.lit(48), F.lit(10))).when(c.rlike("[a-z]"), _cell(code - 97, F.lit(97), F.lit(26))).otherwise(fixed)
+        letter = F.when(c.rlike("[a-z]"), _cell(code - 97, F.lit(97), F.lit(26))).otherwise(_cell(code % 26, F.lit(97), F.lit(26)))  # another script's letters become small Latin ones
+        return F.when(i < keep, fixed).when(c.rlike("[0-9]"), _cell(code - 48, F.lit(48), F.lit(10))).when(c.rlike(r"\p{Ll}|\p{Lo}|\p{Lm}"), letter).otherwise(fixed)
+
+    return F.transform(F.split(text, ""), one)
+
+
+def _hex_cells(text: Column) -> Column:
+    """The places of hexadecimal digits: figures and letters vary among themselves, colons stay."""
+
+    def one(c: Column) -> Column:
+        code = F.ascii(c)
+        return F.when(c.rlike("[0-9]"), _cell(code - 48, F.lit(48), F.lit(10))).when(c.rlike("[a-f]"), _cell(code - 97, F.lit(97), F.lit(6))).otherwise(_cell(F.lit(0), code, F.lit(1)))
 
     return F.transform(F.split(text, ""), one)
 
@@ -234,7 +288,7 @@ def _formed() -> Column:
     domain = F.length(norm) - F.length(F.substring_index(norm, ".", -1))  # letters behind the last point stay
     country = F.when(norm.startswith("+1"), 2).when(norm.startswith("+"), 3).otherwise(0)
     return (
-        F.when(kind == "ip", _octets(norm)).when(kind == "card", _cells(F.substring(norm, 1, 15), F.lit(1))).when(kind == "phone", _cells(norm, country)).when(kind == "ssn", _cells(norm, F.lit(0)))
+        F.when(kind == "ip", _octets(norm)).when(kind == "ip6", _hex_cells(norm)).when(kind == "card", _cells(F.substring(norm, F.lit(1), F.length(norm) - 1), F.lit(1))).when(kind == "phone", _cells(norm, country)).when(kind == "ssn", _cells(norm, F.lit(0)))
         .when(kind == "email", F.concat(_cells(F.substring(norm, F.lit(1), domain), F.lit(0)), _cells(F.substring(norm, domain + 1, F.length(norm)), F.lit(64))))
     )
 
@@ -262,11 +316,11 @@ def _drawn(key: str) -> Column:
     tld = F.substring_index(domain, ".", -1)
     host = F.substring(domain, F.lit(1), F.length(domain) - F.length(tld))
     email = F.concat(_spelled(_permuted(_cells(local, F.lit(0)), *seed, domain)), F.lit("@"), _spelled(_permuted(_cells(host, F.lit(0)), F.lit(key), F.lit("host"), tld)), tld)
-    body = _spelled(_permuted(_cells(F.substring(norm, 1, 15), F.lit(1)), *seed))
+    body = _spelled(_permuted(_cells(F.substring(norm, F.lit(1), F.length(norm) - 1), F.lit(1)), *seed))
     # The last digit stays as far from the right one as it was.
     card = _let(body, lambda b: F.concat(b, ((20 + _luhn(norm) - _luhn(F.concat(b, F.lit("0"))) % 10) % 10).cast("string")))
     country = F.when(norm.startswith("+1"), 2).when(norm.startswith("+"), 3).otherwise(0)
-    out = F.when(kind == "email", email).when(kind == "ip", _dotted(_permuted(_octets(norm), *seed))).when(kind == "card", card)
+    out = F.when(kind == "email", email).when(kind == "ip", _dotted(_permuted(_octets(norm), *seed))).when(kind == "ip6", _spelled(_permuted(_hex_cells(norm), *seed))).when(kind == "card", card)
     out = out.when(kind == "phone", _spelled(_permuted(_cells(norm, country), *seed, F.length(norm).cast("string")))).when(kind == "ssn", _spelled(_permuted(_cells(norm, F.lit(0)), *seed)))
     for name in PERSONAL:
         out = out.when(kind == name, _let(_stream(*seed, norm), _composed(name)))
@@ -305,7 +359,21 @@ def _form(kind: Column, feminine: Column, surrogate: Column) -> Column:
     return F.when(feminine & (kind == "cyrillic family"), F.concat(surrogate, F.lit("а"))).when(feminine & (kind == "greek family"), F.regexp_replace(surrogate, "ς$", "")).otherwise(surrogate)
 
 
-def _written(m: Column, given: Column) -> Column:
+def _initials(key: str) -> tuple[str, str]:
+    """Two alphabets, plain and in a keyed order: what initials become."""
+    import hashlib
+
+    plain = "".join(chr(c) for a, z in ((65, 90), (0x0410, 0x042F), (0x0391, 0x03A9), (0x0531, 0x0556)) for c in range(a, z + 1) if c != 0x03A2)
+    blocks = [[c for c in plain if a <= ord(c) <= z] for a, z in ((65, 90), (0x0410, 0x042F), (0x0391, 0x03A9), (0x0531, 0x0556))]
+    # Sorted by a keyed hash, then moved on by one along that order, so that no letter stays.
+    turned = {}
+    for block in blocks:
+        order = sorted(block, key=lambda c: hashlib.sha256(f"{key}|{c}".encode()).digest())
+        turned |= dict(zip(order, [*order[1:], order[0]], strict=True))
+    return plain, "".join(turned[c] for c in plain)
+
+
+def _written(m: Column, given: Column, key: str) -> Column:
     """The replacement of a mention from its entities' surrogates, in the mention's own format and case."""
     kind, new = _kind(m), given[0]
     chars = F.split(m, "")
@@ -313,8 +381,20 @@ def _written(m: Column, given: Column) -> Column:
     # The n-th digit of the mention becomes the n-th digit of the surrogate.
     number = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[0-9]"), F.substring(digits, F.length(_digits(F.substring(m, F.lit(1), i + 1))), F.lit(1))).otherwise(c)), "")
     cased = F.array_join(F.zip_with(chars, F.split(new, ""), lambda a, b: F.when(a.rlike("[A-Z]"), F.upper(b)).otherwise(b)), "")
-    person = F.array_join(F.concat(F.array(F.substring_index(m, " ", 1)), given), " ")
-    return F.when(kind == "person", person).when(kind == "email", cased).when(kind == "ip", new).otherwise(number)
+    plain, turned = _initials(key)
+
+    def said(words: Column) -> Column:
+        def one(w: Column, i: Column) -> Column:
+            name = F.get(given, F.size(F.filter(F.slice(words, F.lit(2), i), _is_name)) - 1)
+            name = F.when(w.rlike(rf"^{_CAPITALS}$"), F.upper(name)).otherwise(name)
+            return F.when(i == 0, w).when(_is_name(w), name).when(w.rlike(rf"^{_INITIAL}$"), F.translate(w, plain, turned)).otherwise(w)
+
+        return F.array_join(F.transform(words, one), " ")
+
+    person = _let(_tokens(m), said)
+    # Initials that stood close to the name behind them do so again.
+    person = F.when(m.rlike(r"\p{Lu}[.]\p{Lu}\p{L}"), F.regexp_replace(person, r"(?<=\p{Lu}[.]) (?=\p{Lu}\p{L})", "")).otherwise(person)
+    return F.when(kind == "person", person).when(kind.isin("email", "ip6"), cased).when(kind == "ip", new).otherwise(number)
 
 
 def _alone() -> Column:
@@ -326,41 +406,53 @@ def _alone() -> Column:
     return F.filter(F.array(pair(word, F.col("form")), other), lambda x: x.isNotNull())
 
 
+def _gendered(said: DataFrame) -> DataFrame:
+    """A given name whose mention shows no gender takes the one that most of its mentions in the corpus show (of equals the male). Counts are made in the corpus, not per key in one task."""
+    script = F.substring_index("kind", " ", 1)
+    shown = said.where(F.col("kind").rlike(" [mf]$")).groupBy(script.alias("script"), "norm", F.col("kind").alias("shown")).agg(F.count(F.lit(1)).alias("n"))
+    shown = shown.groupBy("script", "norm").agg(F.max_by("shown", F.struct("n", "shown")).alias("shown"))
+    neutral = F.col("kind").endswith(" -")
+    return said.where(neutral).select("kind", "norm").distinct().withColumn("script", script).join(shown, ["script", "norm"]).select("kind", "norm", "shown")
+
+
 def replace(spark: SparkSession, docs: DataFrame, key: str) -> DataFrame:
     """docs with surrogates in text, the number of mentions of each kind, and n_bare names that stand alone."""
+    ident, held, named, listed = free(docs.columns, "_doc", "_map", "_named", "_kinds")
+    results = free(docs.columns, *[f"n_{k}" for k in ("email", "ip", "phone", "card", "ssn", "person", "bare")])
     whole = docs.withColumn("text", F.col("text").cast("string"))
     mentions = F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     doc = F.xxhash64(F.col("doc_id"), F.col("text"))
-    said = whole.select(doc.alias("_doc"), mentions.alias("m")).where(F.size("m") > 0).select("_doc", F.explode(F.array_distinct("m")).alias("m")).distinct()
+    said = whole.select(doc.alias("_doc"), mentions.alias("m")).where(F.size("m") > 0).select("_doc", F.explode(F.array_distinct("m")).alias("m")).distinct().where(_is_entity(F.col("m")))
     said = said.select("_doc", "m", F.posexplode(parts(F.col("m"))).alias("nth", "e")).select("_doc", "m", "nth", "e.*")
-    # A given name whose mention shows no gender takes the one that its document shows elsewhere.
-    shown = F.max(F.when(F.col("kind").rlike(" [mf]$"), F.col("kind"))).over(Window.partitionBy("_doc", "norm"))
-    said = shared_table(spark, said.withColumn("kind", F.when(F.col("kind").endswith(" -"), F.coalesce(shown, "kind")).otherwise(F.col("kind"))), "mentions")
+    said = shared_table(spark, said, "mentions-read")
+    told = shared_table(spark, _gendered(said), "mentions-gendered")
+    said = shared_table(spark, said.join(small(told), ["kind", "norm"], "left").withColumn("kind", F.coalesce("shown", "kind")).drop("shown"), "mentions")
     table = surrogates(spark, said.select("kind", "norm").distinct(), key)
     drawn = said.join(small(table), ["kind", "norm"]).withColumn("form", _form(F.col("kind"), F.col("feminine"), F.col("surrogate")))
     drawn = shared_table(spark, drawn, "mentions-drawn")
     given = F.transform(F.array_sort(F.collect_list(F.struct("nth", "form"))), lambda x: x["form"])
-    new = drawn.groupBy("_doc", "m").agg(given.alias("given")).select("_doc", "m", _written(F.col("m"), F.col("given")).alias("new"), F.lit(False).alias("alone"))
+    new = drawn.groupBy("_doc", "m").agg(given.alias("given")).select("_doc", "m", _written(F.col("m"), F.col("given"), key).alias("new"), F.lit(False).alias("alone"))
     alone = drawn.where(F.col("kind").isin(PERSONAL)).select("_doc", (~F.col("kind").endswith("family")).alias("later"), F.inline(_alone()))
     alone = alone.groupBy("_doc", "word").agg(F.min(F.struct("later", "new"))["new"].alias("new")).select("_doc", F.col("word").alias("m"), "new", F.lit(True).alias("alone"))
-    maps = new.unionByName(alone).groupBy("_doc").agg(F.map_from_entries(F.collect_list(F.struct("m", "new"))).alias("_map"), F.max("alone").alias("_named"))
+    maps = new.unionByName(alone).groupBy("_doc").agg(F.map_from_entries(F.collect_list(F.struct("m", "new"))).alias(held), F.max("alone").alias(named)).withColumnRenamed("_doc", ident)
     maps = shared_table(spark, maps, "replacements")
-    out = whole.withColumn("_doc", doc).join(small(maps), "_doc", "left")
+    out = whole.withColumn(ident, doc).join(small(maps), ident, "left")
 
     def found(pattern: str) -> Column:
         return F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
 
     def joined(pattern: str) -> Column:
-        return F.array_join(F.zip_with(F.split("text", pattern, -1), found(pattern), lambda g, m: F.concat(g, F.coalesce(F.try_element_at("_map", m), m, F.lit("")))), "")
+        return F.array_join(F.zip_with(F.split("text", pattern, -1), found(pattern), lambda g, m: F.concat(g, F.coalesce(F.try_element_at(held, m), m, F.lit("")))), "")
 
     def either(one: Callable[[str], Column], none: Column) -> Column:
-        return F.when(F.col("_map").isNull(), none).when(F.col("_named"), one(f"{ANY}|{WORD}")).otherwise(one(ANY))
+        return F.when(F.col(held).isNull(), none).when(F.col(named), one(f"{ANY}|{WORD}")).otherwise(one(ANY))
 
-    kinds = either(lambda p: F.transform(F.filter(found(p), lambda m: F.map_contains_key("_map", m)), _kind), F.array().cast("array<string>"))
+    kinds = either(lambda p: F.transform(F.filter(found(p), lambda m: F.map_contains_key(held, m)), _kind), F.array().cast("array<string>"))
     cols = [either(joined, F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    out = out.select(*cols, kinds.alias("_kinds"))
+    out = out.select(*cols, kinds.alias(listed))
 
-    def count(kind: str, name: str) -> Column:
-        return F.size(F.filter("_kinds", lambda k: k == kind)).cast("long").alias(f"n_{name}")
+    def count(*kinds: str) -> Column:
+        return F.size(F.filter(listed, lambda k: k.isin(*kinds))).cast("long")
 
-    return out.select(*docs.columns, *[count(k, k) for k in ("email", "ip", "phone", "card", "ssn", "person")], count("word", "bare"))
+    counts = [count(k) for k in ("email",)] + [count("ip", "ip6")] + [count(k) for k in ("phone", "card", "ssn", "person", "word")]
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *[c.alias(n) for c, n in zip(counts, results, strict=True)])

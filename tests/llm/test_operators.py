@@ -619,6 +619,62 @@ def test_pii_every_title_alone(spark):
     assert [t for k, t in enumerate(titles) if out[k].n_person != 1 or "Quux" in out[k].text or f"Yesterday {t} " not in out[k].text] == []
 
 
+def test_pii_styles_written_by_hand(spark):
+    """Twenty mentions in each of ten styles, listed without the module's patterns: none of their personal parts is left, what stands around them is."""
+    first = "Alex John Mary Peter Linda Omar Ines Yusuf Karin Pavel Greta Hans Luis Nadia Erik Rosa Tom Vera Igor Lena".split()
+    last = "Moore Smith Miller Jansen Garcia Weber Rossi Petrov Novak Dubois Larsen Costa Meyer Brown Clark Lopez Silva Adams Baker Young".split()
+    styles = [
+        lambda k: (f"Mr. {first[k][0]}. {last[k]}", [f"{first[k][0]}.", last[k]]), lambda k: (f"Mrs. O'{last[k]}", [last[k]]), lambda k: (f"Dr. Mc{last[k]}", [last[k]]), lambda k: (f"Herr van der {last[k]}", [last[k]]), lambda k: (f"MR. {last[k].upper()}", [last[k].upper()]),
+        lambda k: (f"Mr {first[k]} {first[-1 - k]} {last[k]}", [first[k], first[-1 - k], last[k]]), lambda k: (f"jos\u00e9.{first[k].lower()}{k}@example.com", [first[k].lower(), "example"]), lambda k: (f"{555 + k}.{123 + k}.{4567 + k}", [str(4567 + k), f"{123 + k}.{4567 + k}"]),
+        lambda k: (f"020 {7946 + k} {'%04d' % (958 + k)}", [f"{7946 + k} "]), lambda k: (f"2001:db8:{k:x}a1::{k + 0x8a2e:x}:7334", [f"{k + 0x8a2e:x}", "7334"]),
+    ]
+    texts, wants = [], []
+    for n, style in enumerate(styles):
+        for k in range(20):
+            mention, parts = style(k)
+            texts.append(f"On day {n} we met {mention} there, and later left.")
+            wants.append(parts)
+    assert len(texts) == 200
+    out = surrogate_text(spark, *texts)
+    missed = [(t, r.text) for t, r, parts in zip(texts, out, wants, strict=True) if any(p in r.text.split("we met")[1] for p in parts) or not re.fullmatch(r"On day [0-9] we met .+ there, and later left\.", r.text)]
+    assert missed == []
+    assert all(sum((r.n_email, r.n_ip, r.n_phone, r.n_card, r.n_ssn, r.n_person)) == 1 for r in out)
+
+
+def test_pii_cards_addresses_and_clean_texts(spark):
+    amex, diners, wrong, v6, clean, caps, dotted = surrogate_text(
+        spark, "card 3782 822463 10005 and 378282246310005.", "30569309025904 or 4222222222222", "3782 822463 10006 is none, nor is 4222222222223", "from 2001:DB8::1:2 and fe80:0:0:0:1:2:3:4 at 12:34:56, std::vector, a::b, 00:1a:2b:3c:4d:5e",
+        "On 01-02-2003 and 2003.04.05 at 10.5.2 we paid 0.123 456; version 1.2.3, id 1234567890123, O'Brien's bar, MR is a code. Van der Berg sings, 12:30:45.", "MR. SMITH LEFT. MRS. ANNA O'NEIL CAME.", "01 23 45 67 89, 0171/1234567, 030 123456",
+    )
+    a, b = re.fullmatch(r"card (3\d{3} \d{6} \d{5}) and (3\d{14})\.", amex.text).groups()
+    assert a.replace(" ", "") == b != "378282246310005" and amex.n_card == 2 and diners.n_card == 2
+    assert wrong.text.startswith("3782 822463 10006") and wrong.n_card == 0 and "4222222222223" in wrong.text
+    got = re.fullmatch(r"from ([0-9A-F]{4}:[0-9A-F]{3}::\d:\d) and ([a-f]{2}\d\d(?::\d){7}) at 12:34:56, std::vector, a::b, 00:1a:2b:3c:4d:5e", v6.text)
+    assert got and v6.n_ip == 2 and got[1] != "2001:DB8::1:2"
+    assert clean.text.startswith("On 01-02-2003 and 2003.04.05") and "Van der Berg" in clean.text and clean.n_person + clean.n_phone + clean.n_card == 0
+    assert re.fullmatch(r"MR\. [A-Z]+ LEFT\. MRS\. [A-Z]+ [A-Z]+ CAME\.", caps.text) and not re.search("SMITH|ANNA|NEIL", caps.text) and caps.n_person == 2
+    assert dotted.n_phone == 3 and "1234567" not in dotted.text
+
+
+def test_pii_one_surrogate_in_the_corpus(spark):
+    """Whatever the title; a name met as a man's and a woman's has one for each."""
+    a, b, c, d, e, f = surrogate_text(spark, "Dr. Alex Moore met.", "Mr Alex Moore met.", "PROF. MOORE met. Mr A. Moore met.", "Ms Kim Stone met.", "Mr Kim Stone met. Mr Kim Stone", "Dr Kim Stone met.")
+    assert a.text.split()[1:3] == b.text.split()[1:3] and a.text.split()[2].upper() in c.text and a.text.split()[2] in c.text
+    woman, man, doctor = d.text.split()[1], e.text.split()[1], f.text.split()[1]
+    assert woman != man == doctor and ends(woman, "latin f") and ends(man, "latin m") and d.text.split()[2] == f.text.split()[2]
+
+
+def test_clashing_result_and_helper_names(spark):
+    """A user's columns keep their names and values, whatever helpers and results are called."""
+    names = ["n_lines", "n_dropped", "_doc", "_drop", "_map", "_kinds", "_named", "n_email", "N_Person"]
+    data = [(k, f"same line of text here\nown words {chr(97 + k) * 3} of this one and more\nMr Smith {k}", *[f"mine{k}"] * len(names)) for k in range(4)]
+    df = spark.createDataFrame(data, ["doc_id", "text", *names])
+    for out in (line_dedup.drop_lines(spark, df), pii.replace(spark, df, "k")):
+        assert out.columns[: len(df.columns)] == df.columns and len({c.lower() for c in out.columns}) == len(out.columns)
+        assert all(r[n] == f"mine{r.doc_id}" for r in out.collect() for n in names)
+    assert {r["n_dropped_"] for r in line_dedup.drop_lines(spark, df).collect()} == {2}
+
+
 # 10 nearest neighbours ------------------------------------------------------------------------------------------
 
 
