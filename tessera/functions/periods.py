@@ -97,3 +97,18 @@ def canonical_scope(text: Column) -> Column:
     """CFS for consolidated, OFS for separate statements, by what the text contains."""
     t = F.upper(text)
     return F.when(t.contains("CFS") | t.contains("연결"), "CFS").when(t.contains("OFS") | t.contains("별도") | t.contains("개별"), "OFS")
+
+
+def canonical_period(text: Column) -> Column:
+    """2026년 2분기 for quarters and 2026년 for years, however they are written; marks of role go; any other text with single blanks.
+
+    Composed letters are expected, as `normal_form` gives them.
+    """
+    bare = F.regexp_replace(F.regexp_replace(F.trim(text), r"\s+", ""), "(?i)[_-]?(?:EST|F|E|A|P)$", "")
+    first, last, year = r"(?i)^([12][0-9]{3})년?(?:-?Q|년)?([1-4])(?:분기)?$", r"(?i)^([1-4])Q([12][0-9]{3}|[0-9]{2})$", r"(?i)^(?:FY)?([12][0-9]{3})년?(?:연간|사업연도|사업년도)?$"
+    part = lambda p, k: F.regexp_extract(bare, p, k)
+    full = F.when(F.length(part(last, 2)) == 2, F.concat(F.lit("20"), part(last, 2))).otherwise(part(last, 2))
+    return (
+        F.when(bare.rlike(first), F.concat(part(first, 1), F.lit("년 "), part(first, 2), F.lit("분기"))).when(bare.rlike(last), F.concat(full, F.lit("년 "), part(last, 1), F.lit("분기")))
+        .when(bare.rlike(year), F.concat(part(year, 1), F.lit("년"))).otherwise(F.regexp_replace(F.trim(text), r"\s+", " "))
+    )

@@ -1,3 +1,3 @@
 """Registered queries, by family."""
 
-from . import bandcharts, collection, decimals, discovery, evidence, formulas, graphs, growth, narrative, periods, pointintime, ranking, relational, reporting, sheets, sources, streams, texts, validation, workspace  # noqa: F401
+from . import bandcharts, collection, decimals, discovery, evidence, formulas, graphs, growth, mapping, narrative, official, periods, pointintime, ranking, relational, reporting, sheets, sources, streams, texts, validation, workspace  # noqa: F401
