@@ -111,3 +111,35 @@ def band_charts(charts: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFra
     ready = periods.join(status.where("blocker is null").select("chart"), "chart", "left_semi")
     series = ready.select("chart", "period", c("price_unit").alias("unit"), "price", F.coalesce("band_upper", upper.cast("decimal(38,12)")).cast("decimal(38,12)").alias("upper"), F.coalesce("band_lower", lower.cast("decimal(38,12)")).cast("decimal(38,12)").alias("lower"))
     return status, series
+
+
+#: How a slot or a record names its family.
+TEMPLATE = {"pe": "per?(?:band|밴드)|figure2chart", "pb": "pbr?(?:band|밴드)|figure3chart"}
+
+
+def template_family(key: Column) -> Column:
+    """pe or pb by the NFKC key of metric and scope; null for neither."""
+    return F.when(key.rlike(TEMPLATE["pe"]), "pe").when(key.rlike(TEMPLATE["pb"]), "pb")
+
+
+def band_bindings(slots: DataFrame, bridge: DataFrame, allowed: DataFrame) -> DataFrame:
+    """project, slot, family, evidence, address: chart slots bound to their family's records in a project's bridge sheet.
+
+    slots: project, slot, type, metric, scope. bridge: project, row, col, text (row 1: HEADERS in columns 1 to 7). allowed: project, evidence.
+    A record without evidence, or with evidence that is not allowed, takes its whole family out. A project whose header is another has no bindings.
+    """
+    c = F.col
+    b = bridge.where(c("col").between(1, len(HEADERS))).select("project", "row", "col", F.trim(F.coalesce("text", F.lit(""))).alias("text"))
+    head = b.where("row = 1").groupBy("project").agg(*[F.max(F.when(c("col") == k + 1, F.lower("text"))).alias(f"h{k}") for k in range(len(HEADERS))])
+    right = head.where(" and ".join(f"h{k} = '{h}'" for k, h in enumerate(HEADERS))).select("project")
+    last = b.groupBy("project").agg(F.max("row").alias("last"))
+    at = lambda k: F.coalesce(F.max(F.when(c("col") == k, c("text"))), F.lit(""))
+    rows = b.where("row > 1").groupBy("project", "row").agg(at(3).alias("evidence_ids"), at(4).alias("metric"), at(7).alias("scope"))
+    rows = rows.join(right, "project", "left_semi").withColumn("family", template_family(nfkc_key(F.concat_ws(" ", "metric", "scope")))).where("family is not null")
+    ids = F.filter(F.transform(F.split("evidence_ids", ","), lambda x: F.trim(x)), lambda x: x != "")
+    each = rows.select("project", "row", "family", F.explode_outer(F.when(F.size(ids) > 0, ids)).alias("evidence"))
+    judged = each.join(allowed.select("project", "evidence", F.lit(True).alias("ok")).distinct(), ["project", "evidence"], "left")
+    # A family names its evidence once each; records of a bridge are few against its cells.
+    families = judged.groupBy("project", "family").agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("whole"), F.array_sort(F.collect_set("evidence")).alias("evidence")).where("whole").drop("whole")
+    s = slots.where("type = 'chart'").withColumn("family", template_family(nfkc_key(F.concat_ws(" ", F.coalesce("metric", F.lit("")), F.coalesce("scope", F.lit(""))))))
+    return s.join(families, ["project", "family"]).join(last, "project").select("project", "slot", "family", F.array_join("evidence", ",").alias("evidence"), F.concat(F.lit("A1:G"), c("last").cast("string")).alias("address"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bandcharts as B
-from ..registry import query, view, views
+from ..registry import query, table, view, views
 
 #: Chart m of fourteen has one fault: see FAULTS. Every third chart is of book values, every fourth has no direct bands.
 CHARTS = """
@@ -58,3 +58,24 @@ def band_chart_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price and both bands of the ready charts: base times multiple, exact, and equal to a direct band where there is one."""
     charts, cells = _charts(spark, sf_dir)
     return B.band_charts(charts, cells)[1]
+
+
+SLOTS = """
+select o_custkey as project, o_orderkey as slot, case when o_orderkey % 4 = 0 then 'table' else 'chart' end as type, case o_orderkey % 5 when 0 then 'Figure 2 chart' when 1 then 'PBR' when 2 then 'P/E Band' when 3 then 'revenue' end as metric, case when o_orderkey % 5 = 1 then '밴드' end as scope from {orders}"""
+BRIDGE = """
+select o_custkey as project, line, i as place, case i when 3 then case when o_orderkey % 23 = 0 then ' , ' when o_orderkey % 29 = 0 then 'e9' else concat('e', cast(o_orderkey % 3 as string), ', e1') end
+  when 4 then case o_orderkey % 3 when 0 then 'PER  band upper' when 1 then 'BPS' else 'sales' end when 7 then case when o_orderkey % 3 = 1 then 'PBR 밴드' else 'CFS' end else 'x' end as text
+from (select *, 1 + row_number() over (partition by o_custkey order by o_orderkey) as line from {orders}) as o cross join (values (1), (2), (3), (4), (5), (6), (7)) as t(i)
+union all select c_custkey, 1, i, case i when 1 then 'Target_ID' when 2 then 'approved_value' when 3 then 'evidence_ids' when 4 then case when c_custkey % 9 = 0 then 'name' else ' metric' end when 5 then 'period' when 6 then 'unit' else 'scope' end
+from {customer} cross join (values (1), (2), (3), (4), (5), (6), (7)) as t(i)"""
+
+
+@query(f"""
+with {views(s=SLOTS, b=BRIDGE)}, last as (select project, max(line) as last from b group by 1),
+r as (select o_custkey as project, o_orderkey % 23 = 0 or o_orderkey % 29 = 0 as bad, case o_orderkey % 3 when 0 then 'pe' when 1 then 'pb' end as family, unnest(['e' || (o_orderkey % 3), 'e1']) as evidence from orders where o_custkey % 9 <> 0),
+f as (select project, family, string_agg(distinct evidence, ',' order by evidence) as evidence from r where family is not null group by 1, 2 having not bool_or(bad))
+select s.project, slot, f.family, f.evidence, 'A1:G' || last as address from s join f on f.project = s.project and f.family = case slot % 5 when 0 then 'pe' when 1 then 'pb' when 2 then 'pe' end join last on last.project = s.project where type = 'chart'""")
+def band_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chart slots bound to the records of a bridge sheet, family by family; bad evidence takes a family out."""
+    allowed = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("project"), F.explode(F.array(F.lit("e0"), F.lit("e1"), F.lit("e2"))).alias("evidence"))
+    return B.band_bindings(view(spark, sf_dir, SLOTS), view(spark, sf_dir, BRIDGE).withColumnsRenamed({"line": "row", "place": "col"}), allowed)

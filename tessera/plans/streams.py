@@ -73,3 +73,34 @@ def idempotent_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "idempotency")
     answered = I.respond(spark, requests(S.source(spark, f"{sf_dir}/events.parquet")), "1 day")
     return I.run_into(spark, answered, f"{path}/out", f"{path}/checkpoint").drop("ts")
+
+
+#: A user's events as results of one job: attempts grow with time and sometimes fall back, few different hashes, errors end an attempt.
+DECIDED = """
+with recursive r as (select event_id as result, user_id::varchar as job, event_id // 250 - case when event_id % 13 = 0 then 1 else 0 end as attempt, event_id % 40 as sequence, case when event_id % 17 = 0 then 'bad' else sha256(user_id || '/' || (event_id // 60) % 3) end as hash, event_type = 'error' as ends, ts from events),
+n as (select *, length(hash) = 64 as good, row_number() over (partition by job order by ts, result) as k from r),
+w as (
+  select job, k, result, attempt as row_attempt, sequence as row_sequence, case when ends then 'ended' when not good then 'hash_invalid' else 'publish' end as said,
+    case when ends or good then attempt end as attempt, case when good and not ends then hash end as hash, case when good and not ends then sequence end as sequence, ends as ended from n where k = 1
+  union all
+  select job, k, result, row_attempt, row_sequence, said, case when moves then row_attempt else old_attempt end,
+    case when moves then case when n_ends then null else n_hash end when said = 'publish' then n_hash else old_hash end, case when moves then case when n_ends then null else row_sequence end when said = 'publish' then row_sequence else old_sequence end,
+    case when moves then n_ends when n_ends and said = 'ended' then true else old_ended end
+  from (select n.job, n.k, n.result, n.attempt as row_attempt, n.sequence as row_sequence, n.hash as n_hash, n.ends as n_ends, w.attempt as old_attempt, w.hash as old_hash, w.sequence as old_sequence, w.ended as old_ended,
+      (n.ends or n.good) and (w.attempt is null or n.attempt > w.attempt) as moves,
+      case when n.ends then case when n.attempt < w.attempt then 'obsolete' else 'ended' end when not n.good then 'hash_invalid' when w.attempt is null or n.attempt > w.attempt then 'publish' when n.attempt < w.attempt then 'obsolete'
+        when w.hash is not null and n.hash <> w.hash then 'hash_conflict' when w.sequence is not null and n.sequence < w.sequence then 'out_of_order' when n.hash = w.hash then 'duplicate' when w.ended then 'terminal' else 'publish' end as said
+    from w join n on n.job = w.job and n.k = w.k + 1) as x)
+select job, result, row_attempt as attempt, row_sequence as sequence, said as disposition from w"""
+
+
+@query(DECIDED)
+def result_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Worker results fenced by attempt, hash and sequence: a stateful stream over all events, run to its end."""
+    path = shared_path(spark, "commits")
+    k, user = F.col("event_id"), F.col("user_id").cast("string")
+    e = S.source(spark, f"{sf_dir}/events.parquet")
+    digest = F.when(k % 17 == 0, "bad").otherwise(F.sha2(F.concat_ws("/", user, (F.floor(k / 60) % 3).cast("string")), 256))
+    attempt = F.floor(k / 250) - F.when(k % 13 == 0, 1).otherwise(0)
+    r = e.select(k.alias("result"), user.alias("job"), attempt.cast("long").alias("attempt"), (k % 40).alias("sequence"), digest.alias("hash"), (F.col("event_type") == "error").alias("ends"), F.col("ts").cast("timestamp").alias("ts"))
+    return I.run_into(spark, I.commit(spark, r, "1 day", 3650 * I.DAY), f"{path}/out", f"{path}/checkpoint").drop("ts")

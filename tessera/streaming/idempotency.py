@@ -78,3 +78,72 @@ def run_into(spark: SparkSession, stream: DataFrame, out: str, checkpoint: str)
     q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
+
+
+DECIDED = "job string, result long, ts timestamp, attempt long, sequence long, disposition string"
+
+
+class Commit(StatefulProcessor):
+    """One job's attempt, what it has committed (hash and sequence) and whether it ended; dropped when nothing came for `idle` seconds."""
+
+    def __init__(self, idle_seconds: int) -> None:
+        self.idle = idle_seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.job = handle.getValueState("job", "attempt long, hash string, sequence long, ended boolean, seen long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: ANN001, N802, N803
+        attempt, hash_, sequence, ended, seen = tuple(self.job.get()) if self.job.exists() else (None, None, None, False, 0)
+        for r in sorted(rows, key=lambda r: (r.at, r.result)):
+            seen = max(seen, r.at)
+            newer = attempt is None or r.attempt > attempt
+            if r.ends:
+                said = "obsolete" if not newer and r.attempt < attempt else "ended"
+                if newer:
+                    attempt, hash_, sequence, ended = r.attempt, None, None, True
+                elif said == "ended":
+                    ended = True
+            elif not r.good:
+                said = "hash_invalid"
+            elif newer:
+                said, attempt, hash_, sequence, ended = "publish", r.attempt, r.hash, r.sequence, False
+            elif r.attempt < attempt:
+                said = "obsolete"
+            elif hash_ is not None and r.hash != hash_:
+                said = "hash_conflict"
+            elif sequence is not None and r.sequence < sequence:
+                said = "out_of_order"
+            elif r.hash == hash_:
+                said = "duplicate"
+            elif ended:
+                said = "terminal"
+            else:
+                said, hash_, sequence = "publish", r.hash, r.sequence
+            yield Row(job=key[0], result=r.result, ts=r.ts, attempt=r.attempt, sequence=r.sequence, disposition=said)
+        if attempt is not None:
+            self.job.update((attempt, hash_, sequence, ended, seen))
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(-(-(seen + self.idle) // 1000))
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: ANN001, N802, N803
+        if self.job.exists() and self.job.get()[4] + self.idle <= expiredTimerInfo.getExpiryTimeInMs() * 1000:
+            self.job.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def commit(spark: SparkSession, results: DataFrame, late: str, idle_seconds: int = 30 * DAY) -> DataFrame:
+    """job, result, ts, attempt, sequence, disposition of a stream of worker results, in the order of arrival.
+
+    results: job, attempt, sequence, result (a number), hash (64 hexadecimal digits), ends (the attempt ended, without a result), ts.
+    The first result of an attempt is published; the same one again is a duplicate, another one a hash conflict, one of a smaller sequence out of
+    order, one after the end terminal, one of an older attempt obsolete. A newer attempt starts anew.
+    """
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    good = F.coalesce(F.col("hash").rlike("^[a-f0-9]{64}$"), F.lit(False))
+    r = results.withColumn("good", good).withColumn("at", F.unix_micros("ts")).withWatermark("ts", late)
+    return r.groupBy("job").transformWithState(Commit(idle_seconds), DECIDED, outputMode="append", timeMode="EventTime")
