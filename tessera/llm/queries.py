@@ -19,42 +19,52 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`documents` without lines whose template recurs. Odd tables: see line_dedup."""
     return line_dedup.drop_lines(spark, _table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "text")
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of `documents` that `benchmark` windows cover. Odd tables: see decontaminate."""
     return decontaminate.digest(decontaminate.find(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text of `documents`. Odd tables: see language_id."""
     return language_id.identify(spark, _table(spark, sf_dir, "documents"))
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All `documents` in sequences of 2,048 tokens. Odd tables: see packing."""
     return packing.pack(spark, _table(spark, sf_dir, "documents"))
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of linked `documents`. Odd tables: see jaccard_join."""
     return jaccard_join.join(spark, _table(spark, sf_dir, "documents"))
 
 
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in `documents`, also inside encoded layers. Odd tables: see secrets."""
     return secrets.digest(secrets.find(spark, _table(spark, sf_dir, "documents")))
 
 
 def op7_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log10 probability of every text of `documents`. Odd tables: see lm_score."""
     return lm_score.score(spark, _table(spark, sf_dir, "documents"))
 
 
 def op8_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of `documents`, written and read back. Odd tables: see id_store."""
     return id_store.round_trip(spark, _table(spark, sf_dir, "documents"))
 
 
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`documents` with surrogates for personal data. Odd tables: see pii."""
     return pii.replace(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
 
 
 def op10_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every fiftieth row of `embeddings`. Odd tables: see vptree."""
     return vptree.nearest(spark, _table(spark, sf_dir, "embeddings"))
 
 

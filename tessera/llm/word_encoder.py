@@ -10,11 +10,15 @@ each text whole.
 from __future__ import annotations
 
 import functools
+import itertools
+import os
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import byte_table, text_bytes
+
 #: What may stand behind a word of letters and is encoded apart from it.
 STOPS = ".,;:!?"
 #: Words handed to the library at once.
@@ -32,15 +36,21 @@ class WordEncoder:
     """Encodes texts into unsigned 32-bit ids. `most` bounds the words that are remembered."""
 
     def __init__(self, path: str, most: int = 400_000) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks keep the cores busy
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.cuts = splits_at_space(self.tok)
+        #: Does the tokenizer lower A to Z itself? Then words are remembered in lower case.
+        self.lowers = all(self.tok.encode(c, add_special_tokens=False).ids == self.tok.encode(c.lower(), add_special_tokens=False).ids for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
         self.most, self.known = most, {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        ends = list(itertools.accumulate(len(x) * 4 for x in ids))
+        raw = np.fromiter(itertools.chain.from_iterable(ids), "<u4", ends[-1] // 4 if ends else 0).tobytes()
+        return [raw[a:z] for a, z in zip([0, *ends], ends, strict=False)]
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
         heads = {w: h for w in words if (h := w.rstrip(STOPS)) != w and h.isalpha()}
@@ -68,6 +78,10 @@ class WordEncoder:
         if not len(texts):
             return np.zeros(0, "<u4"), np.zeros(1, np.int64)
         if self.cuts:
+            if self.lowers:  # byte by byte, which also holds for slices of a column
+                data, offs = text_bytes(texts)
+                lower = byte_table("space")[0][data]
+                texts = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(lower))
             words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
             coded = words.flatten().dictionary_encode()
             ids = pa.array(self._ids(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
@@ -80,7 +94,9 @@ class WordEncoder:
         sizes = np.diff(bounds)
         closed = np.concatenate([[0], np.cumsum(sizes + 1)])
         out = np.full(closed[-1], end_id, "<u4")
-        out[np.arange(len(flat)) + np.repeat(np.arange(len(sizes)), sizes)] = flat
+        inner = np.ones(len(out), bool)
+        inner[closed[1:] - 1] = False
+        out[inner] = flat
         return out, closed
 
 

@@ -210,6 +210,9 @@ def test_word_encoder(docs):
             flat, bounds = enc.encode(pa.array(texts), 2)
             for k, ids in enumerate(plain_ids(path, texts, 2)):
                 assert flat[bounds[k] : bounds[k + 1]].tolist() == ids.tolist(), texts[k]
+        part = pa.array(texts, pa.large_string()).slice(7, 50)
+        flat, bounds = enc.encode(part, 2)
+        assert [flat[a:z].tolist() for a, z in zip(bounds, bounds[1:], strict=False)] == [x.tolist() for x in plain_ids(path, texts[7:57], 2)]
     import public_tokenizers
 
     enc = word_encoder.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
