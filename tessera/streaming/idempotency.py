@@ -7,8 +7,10 @@ passed its end; a request later than the watermark is left out by Spark.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -18,6 +20,8 @@ DAY = 24 * 3600
 SHORTEST, LONGEST = 16, 128
 ANSWERED = "scope string, key string, request long, ts timestamp, disposition string, status int, answered_by long"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# The processors go to the workers whole, which then need no copy of this library.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 class Replay(StatefulProcessor):
