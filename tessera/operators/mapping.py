@@ -102,3 +102,32 @@ def outline_issues(outlines: DataFrame, pages: DataFrame, template: DataFrame, r
     unseen = pages.join(reviewed.select("outline", "page").distinct(), ["outline", "page"], "left_anti")
     out = say(changed, "PAGE_STRUCTURE_CHANGED").unionByName(say(lacking, "REQUIRED_NARRATIVE_MISSING", c("page"))).unionByName(say(outlines.where("not mapped"), "MAPPING_REVALIDATION_REQUIRED"))
     return out.unionByName(say(outlines.where("not evidenced"), "EVIDENCE_REVALIDATION_REQUIRED")).unionByName(say(unseen, "PAGE_REVIEW_REQUIRED", c("page")))
+
+
+def report_targets(spark: SparkSession, entries: DataFrame, executables: DataFrame) -> DataFrame:
+    """entry, readiness, status, executables, reason: what has to be collected for each entry of a report.
+
+    entries: entry, slot, metric, required, connected, source (cell, range, chart or market_data), sheet, coverage (of its periods: ready,
+    refresh_required or null), consensus (needs a source that is not collected). executables: target, sheet, slots (array). A target serves
+    an entry by its slot or by its sheet; both are equi joins, and a target that fits both ways counts once.
+    """
+    c = F.col
+    deferred = F.broadcast(spark.createDataFrame(DEFERRED, "metric string, resolution string, exclusive boolean"))  # a fixed table
+    by_slot = executables.select("target", F.explode("slots").alias("slot")).join(entries.select("entry", "slot"), "slot").select("entry", "target")
+    by_sheet = executables.select("target", "sheet").join(entries.where("sheet is not null").select("entry", "sheet"), "sheet").select("entry", "target")
+    served = by_slot.unionByName(by_sheet).distinct().groupBy("entry").agg(F.count(F.lit(1)).alias("executables"))
+    j = entries.join(deferred.drop("exclusive"), "metric", "left").join(served, "entry", "left").withColumn("executables", F.coalesce("executables", F.lit(0)))
+    valued = c("metric").isin(VALUATION)
+    ready = (
+        F.when(~c("connected"), "review_required").when(c("source") == "market_data", "ready").when(c("coverage") == "refresh_required", "period_refresh_required").when(c("resolution") == "external_pending", "source_collection_required")
+        .when(c("resolution") == "later_stage", "later_stage").when(valued, "valuation_required").otherwise("ready")
+    )
+    j = j.withColumn("readiness", ready)
+    base = (
+        F.when((c("resolution") == "later_stage") | c("readiness").isin("valuation_required", "later_stage") | valued, "later_stage").when(c("readiness").isin("source_collection_required", "period_refresh_required"), "collection_required")
+        .when(~c("connected"), F.when(c("resolution") == "external_pending", "collection_required").otherwise("connection_required")).when(c("readiness") == "ready", "carry_forward").otherwise("connection_required")
+    )
+    collect, none, backlog = base == "collection_required", c("executables") == 0, c("metric") == "figure_5_chart"
+    reason = F.when(c("consensus"), "SOURCE_NOT_SUPPORTED").when(~backlog & collect & none & c("required"), "EXECUTABLE_TARGET_MISSING").when(collect & backlog, "LATER_BY_RULE").when(collect & none, "LATER_WITHOUT_TARGET")
+    status = F.when(reason.isin("SOURCE_NOT_SUPPORTED", "EXECUTABLE_TARGET_MISSING"), "connection_required").when(reason.isNotNull(), "later_stage").otherwise(base)
+    return j.select("entry", "readiness", status.alias("status"), "executables", reason.alias("reason"))

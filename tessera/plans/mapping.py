@@ -95,3 +95,25 @@ def outline_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     turned = F.when((F.col("outline") % 10 == 3) & (F.col("nth") < 3), 3 - F.col("nth")).otherwise(F.col("nth"))
     t = p.where("not (outline % 10 = 4 and nth = 2)").select("outline", turned.alias("nth"), "page")
     return M.outline_issues(o, p, t, p.where("seen").select("outline", "page"))
+
+
+ENTRIES = """
+select o_orderkey as entry, concat('slot', cast(o_orderkey % 700 as string)) as slot, case o_orderkey % 9 when 0 then 'current_price' when 1 then 'figure_2_chart' when 2 then 'investment_opinion' when 3 then 'target_per' when 4 then 'figure_5_chart' else 'revenue' end as metric, o_custkey % 3 > 0 as required, o_orderkey % 4 > 0 as connected,
+  case when o_custkey % 11 = 0 then 'market_data' else 'range' end as source, case when o_custkey % 5 > 0 then concat('sheet', cast(o_custkey % 40 as string)) end as sheet, case o_custkey % 7 when 0 then 'refresh_required' when 1 then 'ready' end as coverage, o_orderkey % 31 = 0 as consensus
+from {orders}"""
+
+
+@query(f"""
+with {views(e=ENTRIES)}, x as (select s_suppkey as target, 'sheet' || (s_suppkey % 60) as sheet, ['slot' || (s_suppkey * 3 % 700), 'slot' || (s_suppkey * 7 % 700)] as slots from supplier where s_suppkey % 60 > 25),
+n as (select entry, count(distinct target) as k from e join x on list_contains(slots, slot) or x.sheet = e.sheet group by 1),
+r as (select e.*, coalesce(k, 0) as k, case metric when 'current_price' then 'x' when 'figure_2_chart' then 'x' when 'investment_opinion' then 'l' else '' end as d,
+  case when not connected then 'review_required' when source = 'market_data' then 'ready' when coverage = 'refresh_required' then 'period_refresh_required' when metric in ('current_price', 'figure_2_chart') then 'source_collection_required' when metric = 'investment_opinion' then 'later_stage' when metric = 'target_per' then 'valuation_required' else 'ready' end as readiness from e left join n using (entry)),
+b as (select *, case when metric in ('investment_opinion', 'target_per') then 'later_stage' when readiness in ('source_collection_required', 'period_refresh_required') or (not connected and d = 'x') then 'collection_required' when not connected then 'connection_required' else 'carry_forward' end as base from r),
+w as (select *, case when consensus then 'SOURCE_NOT_SUPPORTED' when base = 'collection_required' and metric = 'figure_5_chart' then 'LATER_BY_RULE' when base = 'collection_required' and k = 0 then case when required then 'EXECUTABLE_TARGET_MISSING' else 'LATER_WITHOUT_TARGET' end end as reason from b)
+select entry, readiness, case when reason in ('SOURCE_NOT_SUPPORTED', 'EXECUTABLE_TARGET_MISSING') then 'connection_required' when reason is not null then 'later_stage' else base end as status, k as executables, reason from w""")
+def report_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What has to be collected, connected or left to a later stage for each entry of a report."""
+    k = F.col("s_suppkey")
+    slot = lambda n: F.concat(F.lit("slot"), (k * n % 700).cast("string"))
+    x = table(spark, sf_dir, "supplier").where("s_suppkey % 60 > 25").select(k.alias("target"), F.concat(F.lit("sheet"), (k % 60).cast("string")).alias("sheet"), F.array(slot(3), slot(7)).alias("slots"))
+    return M.report_targets(spark, view(spark, sf_dir, ENTRIES), x)

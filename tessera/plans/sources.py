@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,3 +47,40 @@ def immutable_put(spark: SparkSession, sf_dir: str) -> DataFrame:
     listings.put_immutable(p.where(k % 2 == 0).select(k.alias("key"), F.col("p_brand").alias("content")), root, "key", "content")
     second = p.select(k.alias("key"), F.when(k % 7 == 0, F.col("p_type")).otherwise(F.col("p_brand")).alias("content"))
     return listings.put_immutable(second.unionByName(p.where(k % 5 == 0).select(k.alias("key"), F.col("p_name").alias("content"))), root, "key", "content")
+
+
+@query("""
+select 'orders' as source, count(*) as n, null as warning from orders union all select 'customer', count(*), null from customer union all select 'absent', null, 'AnalysisException' union all select 'broken', null, 'NumberFormatException'""")
+def collected_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources collected side by side: one is not there, one fails on a row while it is read; both are warnings, the others are whole."""
+    keyed = lambda name, key: table(spark, sf_dir, name).select(F.lit(name).alias("source"), F.col(key).cast("long").alias("key"))
+    wrong = F.when(F.col("s_suppkey") == 7, F.lit("seven")).otherwise(F.col("s_suppkey").cast("string")).cast("long")
+    sources = {
+        "orders": lambda: keyed("orders", "o_orderkey"), "absent": lambda: keyed("no_such_table", "key"), "broken": lambda: table(spark, sf_dir, "supplier").select(F.lit("broken").alias("source"), wrong.alias("key")), "customer": lambda: keyed("customer", "c_custkey"),
+    }
+    found, warnings = listings.collect_sources(spark, sources, "source string, key long")
+    return found.groupBy("source").agg(F.count(F.lit(1)).alias("n")).withColumn("warning", F.lit(None).cast("string")).unionByName(warnings.withColumn("n", F.lit(None).cast("long")))
+
+
+@query("select s_suppkey::varchar as code, case when s_suppkey % 9 = 0 then null else s_name || ' & <co>' end as name, lpad((s_suppkey % 1000)::varchar, 6, '0') as stock_code from supplier")
+def archived_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Company codes read from zipped XML, two hundred to an archive, with references decoded and blanks as nulls; a damaged archive gives none."""
+    code, name = F.col("s_suppkey").cast("string"), F.when(F.col("s_suppkey") % 9 == 0, " ").otherwise(F.concat("s_name", F.lit(" &amp; &lt;co&gt;")))
+    tag = lambda t, c: F.concat(F.lit(f"<{t}>"), c, F.lit(f"</{t}>"))
+    record = tag("list", F.concat(F.lit("\n"), tag("corp_code", code), tag("corp_name", name), tag("stock_code", F.lpad((F.col("s_suppkey") % 1000).cast("string"), 6, "0"))))
+    xml = table(spark, sf_dir, "supplier").groupBy(F.floor(F.col("s_suppkey") / 200).alias("part")).agg(F.array_join(F.collect_list(record), "").alias("xml"))  # 200 records
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for text in b.column("xml").to_pylist():
+                held = io.BytesIO()
+                with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr("CORPCODE.xml", f"<result>{text}</result>")
+                out.append(held.getvalue())
+            yield pa.record_batch([pa.array([str(p) for p in b.column("part").to_pylist()]), pa.array(out, pa.binary())], names=["path", "content"])
+
+    archives = xml.mapInArrow(packed, "path string, content binary")
+    damaged = archives.select(F.concat("path", F.lit("-damaged")).alias("path"), F.substring("content", 1, 40).alias("content"))
+    r = listings.archived_xml_records(archives.unionByName(damaged), "list", ["corp_code", "corp_name", "stock_code"])
+    return r.select(F.col("corp_code").alias("code"), F.col("corp_name").alias("name"), "stock_code")

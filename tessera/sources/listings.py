@@ -29,8 +29,13 @@ def valid_ticker(c: Column) -> Column:
 
 
 def zipped_xml_records(spark: SparkSession, path: str, record: str, fields: list[str]) -> DataFrame:
-    """Records of the first entry of each archive: text of the named fields inside each <record>."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    """Records of the first entry of each archive file: text of the named fields inside each <record>."""
+    return archived_xml_records(spark.read.format("binaryFile").load(path), record, fields)
+
+
+def archived_xml_records(archives: DataFrame, record: str, fields: list[str]) -> DataFrame:
+    """path and the named fields of each <record> in the first entry of archives (path, content); one that does not open gives none."""
+    files = archives.select("path", "content")
 
     def open_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -55,11 +60,14 @@ def json_pages(pages: DataFrame, column: str, items: str, schema: str) -> DataFr
 
 
 def collect_sources(spark: SparkSession, sources: dict[str, Callable[[], DataFrame]], schema: str) -> tuple[DataFrame, DataFrame]:
-    """The union of all sources that can be read, and a warning row for each that cannot."""
+    """The union of all sources that can be read to their end, and a warning row for each that cannot.
+
+    Each source is read once, into a table in the shared folder, so that one that fails while it runs is a warning too.
+    """
     found, warnings = spark.createDataFrame([], schema), []
     for name, read in sources.items():
         try:
-            found = found.unionByName(read())
+            found = found.unionByName(stored(spark, read(), f"source-{name}"))
         except Exception as e:  # noqa: BLE001  a failed source is a warning, not a failure
             warnings.append((name, type(e).__name__))
     return found, spark.createDataFrame(warnings, "source string, warning string")

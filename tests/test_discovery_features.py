@@ -15,7 +15,7 @@ from tessera.operators import densecharts, folds, mapping, narrative, official,
 #: Every code that a query's data must hold, so that no branch is green for want of rows.
 CODES = {
     "band_chart_status": ("blocker", 11), "official_values": ("status_code", 7), "official_prices": ("status", 3), "official_rates": ("status", 3), "approved_values": ("code", 12), "scalar_bindings": ("blocker", 5), "dense_chart_status": ("status", 5), "result_envelopes": ("code", 11),
-    "hydrated_snapshots": ("status", 5), "mapping_sets": ("status", 2), "outline_issues": ("code", 5), "idempotent_replay": ("disposition", 4), "result_commits": ("disposition", 8), "formula_warnings": ("warning", 8), "candidate_ranges": ("status", 2), "excel_targets": ("basis", 4),
+    "hydrated_snapshots": ("status", 5), "mapping_sets": ("status", 2), "report_targets": ("reason", 4), "outline_issues": ("code", 5), "idempotent_replay": ("disposition", 4), "result_commits": ("disposition", 8), "formula_warnings": ("warning", 8), "candidate_ranges": ("status", 2), "excel_targets": ("basis", 4),
 }
 
 
