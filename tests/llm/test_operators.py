@@ -14,6 +14,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
@@ -512,6 +513,49 @@ def test_id_store(spark, docs, weird, none, tmp_path):
             id_store.read_digest(spark, bad).collect()
 
 
+TRICKY = [
+    "Plain words, and stops?! Words again.\nA line: é ünï 日本語. naïve; naïve, naïve", "it's we'll 's x's a1b2 12 3.4 ... .a a. (a) _b_ ÀÉ. Ωmega: \u00a0nb\u00a0sp", " lead", "trail ", "two  spaces", "tab\tin a\ttab", "", None, "\n", "a\n\nb", "\x01mark",
+    "x" * 31 + " " + "x" * 32 + " " + "x" * 33 + ". " + "y" * 5000, "nul\0in nul nul\0in. nul.", "<|endoftext|> end<|endoftext|>of text", "Ġ Ġa aĠ Ġ. ĊB", "e\u0301 cafe\u0301. \u200bzero \ufeffbom", "A\nB\nC. D\nA. B\nÄ, B", "word. word, word; word: word! word? word",
+]
+
+
+@pytest.mark.parametrize("most", [450_000, 7, 0])
+def test_encoder_gives_the_librarys_ids(docs, monkeypatch, most):
+    """Whatever is remembered, also under one hash for all pieces; a slice of a column, and words met before."""
+    texts = [*TRICKY, *(r.text for r in docs.limit(60).collect())]
+    for mix in (encoding.mix, np.zeros_like):
+        monkeypatch.setattr(encoding, "mix", mix)
+        enc = encoding.Encoder(encoding.default_tokenizer(), most)
+        want = [np.array([*enc.tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for t in texts]
+        for lo, hi in ((0, len(texts)), (3, 30), (0, 0), (0, len(texts))):
+            flat, bounds = enc.encode(pa.array(texts, pa.string()).slice(lo, hi - lo), 2)
+            assert flat.tolist() == [i for w in want[lo:hi] for i in w.tolist()]
+            assert bounds.tolist() == np.cumsum([0, *map(len, want[lo:hi])]).tolist()
+
+
+def test_encoder_remembers_few_bytes_and_asks_once():
+    """Long pieces don't stay, and what is known is not encoded again: no word goes to the library twice."""
+    enc = encoding.Encoder(encoding.default_tokenizer())
+    enc.encode(pa.array([" ".join(f"{i}" + "z" * 4000 for i in range(200))]), 2)
+    assert enc.known.ids.nbytes < 10_000
+    column = pa.array(["some words, and some more words. and words"] * 50)
+    first = enc.encode(column, 2)[0]
+    enc.tok = enc.bare = None  # a call would fail
+    assert enc.encode(column, 2)[0].tolist() == first.tolist()
+
+
+def test_encoder_with_a_tokenizer_that_merges_across_spaces(tmp_path):
+    """Without the splitter's pattern a token may hold a space, and without a line end nothing marks a line; texts are then encoded whole."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    for pattern, more in ((True, {"Ċ": 5}), (True, {}), (False, {"Ċ": 5})):
+        tok = Tokenizer(models.BPE({"a": 0, "Ġ": 1, "b": 2, "aĠ": 3, "aĠb": 4} | more, [("a", "Ġ"), ("aĠ", "b")]))
+        tok.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=pattern)
+        tok.save(path := str(tmp_path / f"{pattern}.json"))
+        texts = ["a b a b", "b a b", "aa bb a\nb a b"]
+        assert encoding.Encoder(path).encode(pa.array(texts), 9)[0].tolist() == [i for t in texts for i in [*tok.encode(t).ids, 9]]
+
+
 def test_id_store_small_nodes_and_hot_chunks(spark, docs, monkeypatch):
     """Many levels of the manifest, every chunk a hot one, many buckets, numbers as texts."""
     want = count(rows(id_store.round_trip(spark, docs), "doc_id", "start", "n_tokens", "ids_crc32"))
