@@ -166,10 +166,10 @@ def _meet(spark: SparkSession, rows: DataFrame, anchors: DataFrame, turns, k: in
         dim, turn = held["dim"], turns.value[held["dim"]] if held["dim"] else np.zeros((0, 0))
         q, names, labels, numbers = _matrix(asked.column("q"), dim), asked.column("vec_id").to_numpy(), asked.column("label").to_numpy(), asked.column("anchor").to_numpy()
         wants = asked.column("asked").to_pylist() if percent else [None] * len(q)
-        if "rows" not in held:
-            held["q"], held["ids"], held["labels"] = np.concatenate(held["q"]), np.concatenate(held["ids"]), np.concatenate(held["labels"])
-            held["rows"], held["loose"] = Turned(held["q"], turn), slack(turn)
-        most = max(1, TESTED // max(1, len(held["q"])) // (5 if percent else 1))
+        if "rows" not in held:  # a shard may meet more than one batch of anchors
+            held["ids"], held["labels"] = np.concatenate(held["ids"]), np.concatenate(held["labels"])
+            held["rows"], held["loose"] = Turned(np.concatenate(held.pop("q")), turn), slack(turn)
+        most = max(1, TESTED // max(1, len(held["ids"])) // (5 if percent else 1))
         lo = 0
         while lo < len(q):
             hi = min(int(np.searchsorted(labels[lo:], labels[lo], "right")) + lo, lo + most)  # anchors of one label
@@ -215,7 +215,7 @@ def _meet(spark: SparkSession, rows: DataFrame, anchors: DataFrame, turns, k: in
                     held["q"].append(_matrix(s.column("q"), held["dim"]))
                     held["ids"].append(s.column("vec_id").to_numpy())
                     held["labels"].append(s.column("label").to_numpy())
-                elif held["q"]:  # a shard may have no rows
+                elif len(held["ids"]):  # a shard may have no rows
                     yield from answer(held, s)
 
     return laid.mapInArrow(run, "anchor long, anchor_id long, id long, score long, nth long, positive_id long, positive_score long")

@@ -59,6 +59,21 @@ def test_hard_negatives(spark, dim, values, monkeypatch):
     assert got == mined(data, every=20) and got
 
 
+def test_hard_negatives_in_many_batches(spark):
+    """A shard meets anchors that come in more than one Arrow batch."""
+    rng = np.random.default_rng(3)
+    data = [(i, int(rng.integers(3)), rng.normal(size=8).tolist()) for i in range(300)]
+    df = spark.createDataFrame([(*r, 1, "s", "a") for r in data], SHAPE).repartition(3)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        got = Counter(rows(hard_negatives.mine(spark, df, every=3), "anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"))
+    finally:
+        spark.conf.set(key, before)
+    assert got == mined(data, every=3) and got
+
+
 def test_hard_negatives_odd(spark):
     inf = float("inf")
     data = [(0, 1, [1.0, 0.0]), (0, 1, [1.0, 0.0]), (0, 2, [0.5, 0.5]), (1, 1, [0.9, 0.1]), (1, 1, [0.9, 0.1]), (2, 2, [0.5, -0.5]), (3, 2, [0.5, -0.5]), (4, None, [1.0, 1.0]), (None, 1, [1.0, 1.0]), (5, 1, None)]
