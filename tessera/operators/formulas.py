@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .graph import stored
+from .graph import COMPACT, side, stored
 
 #: A sheet's limits, and the functions that make references dynamic, conditional or tolerant of blanks.
 ROWS, COLUMNS = 1_048_576, 16_384
@@ -114,21 +114,25 @@ def inputs_behind(spark: SparkSession, outputs: DataFrame, cells: DataFrame, ref
 
     conditional: each way to the cell passes a formula with a branch. refs: of the formula at sheet `at`, row, col.
     Only what was reached anew, or now without a branch, is followed in the next round, so cycles end.
+    Only rounds of few rows are broadcast.
     """
     place = [*book, "sheet", "row", "col"]
     refs = stored(spark, refs.where("problem is null").drop("problem", "tolerant"), "formula-refs")
     cells = stored(spark, cells.select(*place).distinct(), "formula-cells")
     now = stored(spark, outputs.select("metric", *place).distinct().withColumn("conditional", F.lit(False)), "formula-walk")
-    every = now
+    every, rounds = now, 0
+    best = lambda df: df.groupBy("metric", *place).agg(F.bool_and("conditional").alias("conditional"))
     while now.limit(1).count():
-        steps = now.withColumnsRenamed({"sheet": "at", "conditional": "_c"}).join(refs, [*book, "at", "row", "col"])
+        steps = side(now).withColumnsRenamed({"sheet": "at", "conditional": "_c"}).join(refs, [*book, "at", "row", "col"])
         boxes = steps.select("metric", *book, "sheet", "top", "left", "bottom", "right", (F.col("_c") | F.col("conditional")).alias("conditional"))
-        boxes = boxes.groupBy("metric", *book, "sheet", "top", "left", "bottom", "right").agg(F.bool_and("conditional").alias("conditional"))
-        found = touching(cells, boxes, [*book, "sheet"]).groupBy("metric", *place).agg(F.bool_and("conditional").alias("conditional"))
-        seen = every.groupBy("metric", *place).agg(F.bool_and("conditional").alias("_seen"))
+        boxes = stored(spark, boxes.groupBy("metric", *book, "sheet", "top", "left", "bottom", "right").agg(F.bool_and("conditional").alias("conditional")), "formula-boxes")
+        seen = best(every).withColumnRenamed("conditional", "_seen").hint("merge")
+        found = best(touching(cells, side(boxes), [*book, "sheet"]))
         now = stored(spark, found.join(seen, ["metric", *place], "left").where("_seen is null or (_seen and not conditional)").drop("_seen"), "formula-walk")
-        every = every.unionByName(now)
-    return every.groupBy("metric", *place).agg(F.bool_and("conditional").alias("conditional"))
+        every, rounds = every.unionByName(now), rounds + 1
+        if rounds % COMPACT == 0:
+            every = stored(spark, best(every), "formula-walk")
+    return best(every)
 
 
 def required(cells: DataFrame, editable: DataFrame, refs: DataFrame, book: list[str]) -> DataFrame:

@@ -96,7 +96,7 @@ def formula_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = hit.groupBy(*place).agg(F.array_sort(F.collect_set("metric")).alias("m"), F.bool_or(~F.col("conditional")).alias("a"))  # three metrics at most
     names = F.coalesce("m", F.array().cast("array<string>"))
     impact = F.when(F.size(names) == 0, "unmapped").otherwise(F.array_join(F.transform(names, lambda m: F.concat(m, F.lit("_driver"))), ","))
-    return editable.join(found, place, "left").select(*place, impact.alias("impact"), F.array_join(names, ",").alias("outputs"), F.when(F.col("a"), True).alias("active"))
+    return editable.join(found.hint("merge"), place, "left").select(*place, impact.alias("impact"), F.array_join(names, ",").alias("outputs"), F.when(F.col("a"), True).alias("active"))
 
 
 #: A grid of labels and values: every seventh row is a header, every fourteenth one a whole row of periods.

@@ -99,6 +99,18 @@ def test_inputs_behind_cycles(spark):
     assert got == {("m1", 1): False, ("m1", 2): True, ("m1", 3): True, ("m4", 4): False, ("m4", 5): True}
 
 
+def test_inputs_behind_broadcasts_few_rows_only(spark, monkeypatch):
+    """Beyond the bound no join of the walk is a broadcast, however few bytes the stored files have."""
+    plans, real = [], formulas.stored
+    monkeypatch.setattr(formulas, "stored", lambda s, df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(s, df, name))
+    monkeypatch.setattr(graph, "FEW", 0, raising=False)
+    df = spark.range(1, 60).selectExpr("'b' as book", "'Main' as sheet", "cast(id as int) as row", "1 as col", "concat('=SUM(A', id * 2, ':A', id * 2 + 1, ')') as formula")
+    refs = formulas.references(df.withColumn("at", F.col("sheet")), ["book", "at", "row", "col"], df.select("book", "sheet").distinct(), ["book"])
+    out = df.where("row = 1").select(F.lit("m").alias("metric"), "book", "sheet", "row", "col")
+    assert formulas.inputs_behind(spark, out, df, refs, ["book"]).count() == 59
+    assert len(plans) > 6 and not any("BroadcastHashJoin" in p for p in plans[2:])
+
+
 def test_best_first_order_against_a_heap(spark):
     rng = random.Random(9)
     edges, want = [], {}
