@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .graph import side, stored
+
 #: Other names of metrics.
 ALIASES = {
     "target_price": ["목표주가", "target price", "적정주가"], "current_price": ["현재주가", "current price", "종가"], "revenue": ["매출액", "매출", "revenue", "sales"], "operating_profit": ["영업이익", "operating profit", "op"],
@@ -104,6 +106,35 @@ def outline_issues(outlines: DataFrame, pages: DataFrame, template: DataFrame, r
     return out.unionByName(say(outlines.where("not evidenced"), "EVIDENCE_REVALIDATION_REQUIRED")).unionByName(say(unseen, "PAGE_REVIEW_REQUIRED", c("page")))
 
 
+def served(spark: SparkSession, entries: DataFrame, executables: DataFrame) -> DataFrame:
+    """entries with `executables`: how many different targets serve an entry by its slot or by its sheet.
+
+    Targets are counted for each slot, for each sheet and for both at once, so an entry's number is a sum over its place and
+    no entry meets a target. An entry that stands at several places is served by the union of theirs: its set
+    of places meets the targets, once for all entries that have the same set.
+    """
+    c = F.col
+    slots = executables.select("target", F.explode("slots").alias("_slot")).where("_slot is not null").distinct()
+    sheets = executables.select("target", c("sheet").alias("_sheet")).where("_sheet is not null").distinct()
+    n = F.count(F.lit(1))
+    both = slots.join(sheets.withColumnRenamed("target", "_t"), c("target").eqNullSafe(c("_t"))).groupBy("_slot", "_sheet").agg(n.alias("_both"))
+    places = entries.select(c("slot").alias("_slot"), c("sheet").alias("_sheet")).distinct()
+    places = places.join(slots.groupBy("_slot").agg(n.alias("_a")), "_slot", "left").join(sheets.groupBy("_sheet").agg(n.alias("_b")), "_sheet", "left").join(both, ["_slot", "_sheet"], "left")
+    number = lambda x: F.coalesce(x, F.lit(0).cast("long"))
+    places = stored(spark, places.select("_slot", "_sheet", (number("_a") + number("_b") - number("_both")).alias("_n")), "target-places")
+    j = entries.join(side(places), c("slot").eqNullSafe(c("_slot")) & c("sheet").eqNullSafe(c("_sheet")), "left").drop("_slot", "_sheet")
+    repeated = stored(spark, entries.where("entry is not null").groupBy("entry").agg(n.alias("_k")).where("_k > 1").select("entry"), "target-entries")
+    if repeated.limit(1).count():
+        own = entries.select("entry", F.struct(c("slot").alias("_slot"), c("sheet").alias("_sheet")).alias("_p")).join(side(repeated), "entry", "left_semi")
+        own = own.groupBy("entry").agg(F.array_sort(F.collect_set("_p")).alias("_places")).where(F.size("_places") > 1)
+        sets = stored(spark, own.select("_places").distinct().withColumn("_id", F.monotonically_increasing_id()), "target-sets")
+        flat = sets.select("_id", F.explode("_places").alias("_p")).select("_id", "_p.*")
+        pairs = flat.join(slots, "_slot").select("_id", "target").unionByName(flat.join(sheets, "_sheet").select("_id", "target")).distinct()
+        union = sets.join(pairs.groupBy("_id").agg(n.alias("_union")), "_id", "left").select("_places", number("_union").alias("_union"))
+        j = j.join(side(stored(spark, own.join(union, "_places").select("entry", "_union"), "target-unions")), "entry", "left").withColumn("_n", F.coalesce("_union", "_n")).drop("_union")
+    return j.withColumn("executables", F.when(c("entry").isNull(), F.lit(0).cast("long")).otherwise(c("_n"))).drop("_n")
+
+
 def report_targets(spark: SparkSession, entries: DataFrame, executables: DataFrame) -> DataFrame:
     """entry, readiness, status, executables, reason: what has to be collected for each entry of a report.
 
@@ -113,10 +144,7 @@ def report_targets(spark: SparkSession, entries: DataFrame, executables: DataFra
     """
     c = F.col
     deferred = F.broadcast(spark.createDataFrame(DEFERRED, "metric string, resolution string, exclusive boolean"))  # a fixed table
-    by_slot = executables.select("target", F.explode("slots").alias("slot")).join(entries.select("entry", "slot"), "slot").select("entry", "target")
-    by_sheet = executables.select("target", "sheet").join(entries.where("sheet is not null").select("entry", "sheet"), "sheet").select("entry", "target")
-    served = by_slot.unionByName(by_sheet).distinct().groupBy("entry").agg(F.count(F.lit(1)).alias("executables"))
-    j = entries.join(deferred.drop("exclusive"), "metric", "left").join(served, "entry", "left").withColumn("executables", F.coalesce("executables", F.lit(0)))
+    j = served(spark, entries, executables).join(deferred.drop("exclusive"), "metric", "left")
     valued = c("metric").isin(VALUATION)
     ready = (
         F.when(~c("connected"), "review_required").when(c("source") == "market_data", "ready").when(c("coverage") == "refresh_required", "period_refresh_required").when(c("resolution") == "external_pending", "source_collection_required")

@@ -178,3 +178,33 @@ def test_sections_stop_at_a_gap(spark):
     (s,) = whole.collect()
     assert (s.heading, s.runs, s.uncovered, s.x0, s.y0, s.x1, s.y1) == (1, 5, 1, 40.0, 220.0, 400.0, 286.0) and s.text.startswith("a long line of body text number 0 here a long")
     assert {(r.object, r.covered) for r in each.collect()} == {(2 + k, True) for k in range(5)} | {(20, False)}
+
+
+def most_joined(df) -> int:  # noqa: ANN001
+    """Rows that the largest join of the plan made, as it ran."""
+    df.collect()
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        p = todo.pop()
+        name = p.nodeName()
+        if "Join" in name:
+            most = max(most, p.metrics().get("numOutputRows").get().value())
+        below = p.children()
+        todo += [p.executedPlan()] if name == "AdaptiveSparkPlan" else [p.plan()] if "QueryStage" in name else [below.apply(k) for k in range(below.size())]
+    return most
+
+
+def test_targets_are_counted_without_pairs(spark):
+    """Entries of one sheet and its targets: no join makes their product; entries at several places have the union, null ones nothing."""
+    shape = "entry long, slot string, metric string, required boolean, connected boolean, source string, sheet string, coverage string, consensus boolean"
+    rng = random.Random(2)
+    rows = [(k, f"s{rng.randrange(9)}" if k % 7 else None, "hot" if k % 3 else None) for k in range(400)] + [(k, f"s{k % 9}", f"x{k % 4}") for k in range(60)] + [(None, "s1", "hot"), (3, None, None), (500, "none", "none")]
+    entries = spark.createDataFrame([(e, slot, "revenue", True, True, "range", sheet, None, False) for e, slot, sheet in rows], shape)
+    targets = [(t, "hot" if t % 4 else f"x{t % 3}", [f"s{t % 11}", None, f"s{t % 5}"] if t % 6 else None) for t in range(300)] + [(1, "x1", ["s8"]), (1, "hot", ["s1"])]
+    df = mapping.report_targets(spark, entries, spark.createDataFrame(targets, "target long, sheet string, slots array<string>"))
+    want: dict = {}
+    for e, slot, sheet in rows:
+        want.setdefault(e, set()).update(t for t, s, slots in targets if (sheet is not None and s == sheet) or (slot is not None and slot in (slots or [])))
+    got = [(r.entry, r.executables) for r in df.collect()]
+    assert sorted(got, key=str) == sorted(((e, len(want[e]) if e is not None else 0) for e, _, _ in rows), key=str)
+    assert most_joined(df) < 5_000
