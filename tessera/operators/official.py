@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.decimals import canonical
 from ..functions.normalise import value_kind
 from ..functions.periods import canonical_period, canonical_scope
-from .graph import set_digest
+from .graph import set_digest, side, stored
 from .growth import strict_decimal
 from .units import convert
 
@@ -115,12 +115,21 @@ def scalar_bindings(bindings: DataFrame, scalars: DataFrame, cells: DataFrame) -
     """
     c = F.col
     key = lambda x: F.lower(F.regexp_replace(x, r"[\s_-]+", ""))
-    s = scalars.select(key(c("metric")).alias("_key"), "nth", c("source_type").alias("_type"), c("source_address").alias("_address"), c("value").alias("_value"))
-    b = bindings.withColumn("_key", key(c("metric")))
-    fits = (c("source_type").isNull() | (c("source_type") == c("_type"))) & (c("source_address").isNull() | (c("source_address") == c("_address")))
-    found = b.where("confirmed").select("binding", "_key", "source_type", "source_address").join(s, "_key").where(fits).groupBy("binding").agg(F.min_by(F.struct("_value", "_type", "_address"), "nth").alias("_s"))
-    at = cells.select("sheet", "row", "col", c("text").alias("_text"), c("formula").alias("_formula"), F.lit(True).alias("_there"))
-    j = b.join(found, "binding", "left").join(at, ["sheet", "row", "col"], "left")
+    # The first scalar for each way to ask: by metric alone, with its type, with its address, with both. So a binding meets one row, not all of its metric.
+    spark, told_type, told_address = bindings.sparkSession, c("_ask") % 2 == 1, c("_ask") >= 2
+    first = scalars.where("nth is not null").select(key(c("metric")).alias("_key"), F.struct("nth", c("value").alias("_value"), c("source_type").alias("_type"), c("source_address").alias("_address")).alias("_s"), F.explode(F.array(*map(F.lit, range(4)))).alias("_ask"))
+    first = first.select("_key", "_ask", F.when(told_type, c("_s._type")).otherwise("").alias("_by_type"), F.when(told_address, c("_s._address")).otherwise("").alias("_by_address"), "_s").where("_by_type is not null and _by_address is not null")
+    asked = ["_key", "_ask", "_by_type", "_by_address"]
+    first = stored(spark, first.groupBy(*asked).agg(F.min("_s").alias("_s")), "scalars")
+    b = bindings.withColumn("_key", key(c("metric"))).withColumn("_ask", c("source_type").isNotNull().cast("int") + 2 * c("source_address").isNotNull().cast("int"))
+    b = b.withColumn("_by_type", F.coalesce("source_type", F.lit(""))).withColumn("_by_address", F.coalesce("source_address", F.lit("")))
+    j = b.join(side(first), asked, "left").withColumn("_s", F.when(c("confirmed") & c("binding").isNotNull(), c("_s")))
+    again = stored(spark, bindings.where("binding is not null").groupBy("binding").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("binding"), "bindings-again")
+    if again.limit(1).count():  # a binding that stands more than once has the first scalar of all its rows
+        shared = stored(spark, j.join(side(again), "binding", "left_semi").groupBy("binding").agg(F.min("_s").alias("_first")), "bindings-shared")
+        j = j.join(side(shared), "binding", "left").withColumn("_s", F.coalesce("_first", "_s")).drop("_first")
+    at = stored(spark, cells.select("sheet", "row", "col", c("text").alias("_text"), c("formula").alias("_formula")), "scalar-cells")
+    j = j.join(side(at), ["sheet", "row", "col"], "left")
     one = (c("row") == c("last_row")) & (c("col") == c("last_col"))
     blocker = F.when(~c("confirmed"), "BINDING_NOT_CONFIRMED").when(c("_s").isNotNull(), None).when(c("sheet").isNull(), "SCALAR_SOURCE_REQUIRED").when(~one, "SCALAR_SOURCE_CELL_UNAVAILABLE").when(F.coalesce("_text", F.lit("")) == "", "SCALAR_SOURCE_CELL_EMPTY")
     j = j.withColumn("blocker", blocker)

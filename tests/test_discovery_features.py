@@ -208,3 +208,30 @@ def test_targets_are_counted_without_pairs(spark):
     got = [(r.entry, r.executables) for r in df.collect()]
     assert sorted(got, key=str) == sorted(((e, len(want[e]) if e is not None else 0) for e, _, _ in rows), key=str)
     assert most_joined(df) < 5_000
+
+
+def test_scalars_are_found_without_pairs(spark):
+    """Bindings and scalars of one metric: no join makes their product; types and addresses that are null, repeated bindings, ties."""
+    rng = random.Random(6)
+    scalars = [(rng.choice([None, *range(150)]), rng.choice(["Hot", "h-o_t", "cold"]), rng.choice(["a", "b", None]), rng.choice(["A1", "B2", "", None]), f"v{k}") for k in range(300)]
+    rows = [(k % 260 if k % 50 else None, rng.choice([True, True, False, None]), rng.choice(["HOT", "co ld", "none", None]), rng.choice([None, "a", "b", "c"]), rng.choice([None, "A1", "", "C3"])) for k in range(300)]
+    bindings = spark.createDataFrame([(*r, None, None, None, None, None) for r in rows], "binding long, confirmed boolean, metric string, source_type string, source_address string, sheet string, row int, col int, last_row int, last_col int")
+    cells = spark.createDataFrame([], "sheet string, row int, col int, text string, formula string")
+    df = official.scalar_bindings(bindings, spark.createDataFrame(scalars, "nth int, metric string, source_type string, source_address string, value string"), cells)
+    name = lambda m: "".join(x for x in m.lower() if x not in " _-")
+    fits: dict = {}
+    for b, ok, metric, kind, address in rows:
+        if b is not None and ok and metric is not None:
+            fits.setdefault(b, []).extend((n, v) for n, m, t, a, v in scalars if n is not None and name(m) == name(metric) and kind in (None, t) and address in (None, a))
+    least = {b: {v for n, v in x if n == min(x)[0]} for b, x in fits.items() if x}
+    got = df.collect()
+    assert len(got) == len(rows) and any(r.value for r in got)
+    confirmed = {}
+    for b, ok, *_ in rows:
+        confirmed.setdefault(b, []).append(ok)
+    for r in got:
+        if r.blocker == "BINDING_NOT_CONFIRMED":
+            assert False in confirmed[r.binding]
+        else:
+            assert r.value in least[r.binding] if r.binding in least else r.value is None, r
+    assert most_joined(df) < 1_000
