@@ -8,6 +8,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from tessera import catalog
 from tessera.operators import bandcharts, formulas, graph, growth, sheets
 
 
@@ -184,3 +185,9 @@ def test_band_first_bad_row_decides(spark):
     assert {r.chart: r.blocker for r in status.collect()} == {0: None, 1: "BAND_COMPONENT_VALUE_INVALID", 2: "BAND_COMPONENT_PROVENANCE_INCOMPLETE", 3: "BAND_BRIDGE_SCHEMA_INVALID"}
     assert [(r.chart, float(r.price), float(r.upper), float(r.lower)) for r in series.collect()] == [(0, 1000.0, 120.0, 80.0)]
     assert re.fullmatch("KRW", series.first().unit)
+
+
+def test_growth_reads_lines_for_terms_and_records_only(spark, sf):
+    """The plan derives candidates and contents from one stored table: lines are read for terms (three times) and records (two times three), not again for each join."""
+    plan = catalog.queries()["growth_recomputation"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation [" in x and "l_orderkey" in x for x in plan.split("\n")) <= 9
